@@ -33,4 +33,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
-ORACLES = {"op7_quality_rules": OP7}
+OP5 = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (3 * sum(size))::DOUBLE AS cap FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0) AS left_words,
+             sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight
+      FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, left_words / left_weight AS share FROM l),
+t AS (SELECT source, source_size, cap, weight,
+             coalesce(least(cap, weight * (SELECT arg_min(share, cap / weight) FROM f WHERE share * weight <= cap)), cap) AS target FROM f),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size::VARCHAR), d.doc_id, d.size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_word
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       (greatest(0, least(size, floor(target)::BIGINT - begin_word))
+        + greatest(0, least(size, floor(target)::BIGINT - begin_word - source_size))
+        + greatest(0, least(size, floor(target)::BIGINT - begin_word - 2 * source_size)))::BIGINT AS taken
+FROM p
+"""
+
+ORACLES = {"op5_source_mixing": OP5, "op7_quality_rules": OP7}

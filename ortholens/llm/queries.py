@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ortholens.llm.common import table
+from ortholens.llm.mixing import mix
 from ortholens.llm.oracles import ORACLES
 from ortholens.llm.quality_rules import quality_rules
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
     "op7_quality_rules": op7_quality_rules,
 }
 
