@@ -54,4 +54,13 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM p
 """
 
-ORACLES = {"op5_source_mixing": OP5, "op7_quality_rules": OP7}
+OP10 = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS intact
+FROM f
+"""
+
+ORACLES = {"op10_warc": OP10, "op5_source_mixing": OP5, "op7_quality_rules": OP7}

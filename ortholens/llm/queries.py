@@ -9,6 +9,7 @@ from ortholens.llm.common import table
 from ortholens.llm.mixing import mix
 from ortholens.llm.oracles import ORACLES
 from ortholens.llm.quality_rules import quality_rules
+from ortholens.llm.warc import round_trip
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 
