@@ -1,6 +1,7 @@
 """DuckDB SQL for the corpus queries whose rows SQL can express."""
 
 from ortholens.llm.quality_rules import STOP_WORDS
+from ortholens.llm.secrets import ASSIGN
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
 
@@ -63,4 +64,59 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+def _spans(kind: str, rank: int, pattern: str, test: str, groups: str = "[]") -> str:
+    """DuckDB: the matches of a pattern with their offsets, from the lengths of matches and of the gaps between them."""
+    hits = f"regexp_extract_all(t, '{pattern}', 0)"
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {rank} AS rank, hit, g2, b AS s, b + length(hit) AS e FROM (
+  SELECT doc_id, hits[i] AS hit, g[i] AS g2,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0))::BIGINT AS b
+  FROM (SELECT doc_id, {hits} AS hits, string_split_regex(t, '{pattern}') AS gaps, {groups} AS g,
+               unnest(range(1, len({hits}) + 1)) AS i FROM d)) WHERE {test}"""
+
+
+def _quote(x: str) -> str:
+    return x.replace("'", "''")
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT"
+    f" WHEN {_DIGITS}[-i]::INT > 4 THEN 2 * {_DIGITS}[-i]::INT - 9 ELSE 2 * {_DIGITS}[-i]::INT END)) % 10 = 0"
+)
+
+OP8_BASE = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join((
+        _spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        _spans("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255"),
+        _spans("card", 2, r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+        _spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    ))
+    + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+       count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '')) AS base_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+)
+
+_ASSIGN = _quote(ASSIGN)
+OP9_BASE = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join((
+        _spans("assign", 0, _ASSIGN, "length(g2) >= 6", f"regexp_extract_all(t, '{_ASSIGN}', 2)"),
+        _spans("access", 1, "AKIA[A-Z0-9]+", "length(hit) >= 20"),
+        _spans("hex", 2, "[0-9a-f]{4,}", "length(hit) >= 24"),
+    ))
+    + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '')) AS base_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+)
+
 ORACLES = {"op10_warc": OP10, "op5_source_mixing": OP5, "op7_quality_rules": OP7}

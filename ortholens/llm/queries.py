@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ortholens.llm import pii, secrets
 from ortholens.llm.common import table
 from ortholens.llm.mixing import mix
 from ortholens.llm.oracles import ORACLES
@@ -20,6 +21,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -27,6 +36,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_personal_data": op8_personal_data,
+    "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
 }
 
