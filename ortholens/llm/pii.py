@@ -73,7 +73,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", t.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base")).where(F.size("base") > 0)
     clear = lambda terms, base: F.filter(terms, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return found.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_key"), "t", "base", F.explode("base").alias("s")).select(
+    return found.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_key"), "t", "base", F.explode_outer("base").alias("s")).select(
         "doc_id", "text_key", F.concat_ws(":", F.col("s.kind"), F.lower("s.hit")).alias("entity"), clear(_around(F.col("t"), F.col("s")), F.col("base")).alias("terms")
     )
 
@@ -91,7 +91,7 @@ def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEX
     candidates = stash(pairs.join(per_entity, "entity"), "pii-candidates")
     terms = candidates.select("term").distinct()
     n_terms, n_docs = terms.count(), max(docs.count(), 1)
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    said = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     # a checked size decides; beyond it the join shuffles the terms of the corpus, after the aggregation has begun
     known = said.join(F.broadcast(terms), "term", "left_semi") if n_terms <= BROADCAST_TERMS else said.groupBy("term").agg(F.count(F.lit(1)).alias("c")).join(terms, "term", "left_semi")
     frequency = known.groupBy("term").agg((F.count(F.lit(1)) if n_terms <= BROADCAST_TERMS else F.sum("c")).alias("of_term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ortholens.llm import pii, secrets
+from ortholens.llm import decontaminate, pii, secrets
 from ortholens.llm.common import table
 from ortholens.llm.mixing import mix
 from ortholens.llm.oracles import ORACLES
@@ -13,6 +13,10 @@ from ortholens.llm.quality_rules import quality_rules
 from ortholens.llm.warc import round_trip
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -34,6 +38,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_source_mixing": op5_source_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,

@@ -43,7 +43,7 @@ def ordinary_identifiers(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) ->
     n = max(docs.count(), 1)
     part = min(1.0, fit_documents / n)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select(F.coalesce("text", F.lit("")).alias("t"))
-    return chosen.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}(?:[_ /-][A-Za-z]{3,}){0,3}"), F.lit(0))).alias("token")).select(
+    return chosen.select(F.explode_outer(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}(?:[_ /-][A-Za-z]{3,}){0,3}"), F.lit(0))).alias("token")).select(
         F.translate("token", " ", "_").alias("token")
     )
 
