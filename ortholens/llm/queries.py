@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ortholens.llm import decontaminate, pii, secrets
 from ortholens.llm.common import table
 from ortholens.llm.mixing import mix
+from ortholens.llm.near_dedup import near_classes
 from ortholens.llm.oracles import ORACLES
 from ortholens.llm.quality_rules import quality_rules
 from ortholens.llm.warc import round_trip
@@ -21,6 +22,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
