@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ortholens.llm.common import stash, table
+from ortholens.llm.decontaminate import drop_contaminated
+from ortholens.llm.mixing import mix
+from ortholens.llm.near_dedup import keep_first
+from ortholens.llm.pii import sanitise
 from ortholens.llm.quality_rules import keep_good
 
 
@@ -13,9 +17,35 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return keep_first(docs)
 
-#: Near-duplicate groups come from sampled hashes, which DuckDB does not share.
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and disclosing terms replaced in text."""
+    return sanitise(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, by output shard."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("near_dedup", near),
+    ("decontamination", clean_of_benchmark),
+    ("personal_data", without_personal_data),
+    ("source_mixing", mixed),
+]
+
+#: Near-duplicate classes rest on sampled hashes that DuckDB does not have.
 ORACLE_SQL = None
 
 

@@ -51,6 +51,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of df that meet the condition on its computed columns, each computed once.
+
+    A plain filter is pushed below the projection and takes a copy of all that it tests along. It stays where it is if the
+    projection also numbers the rows and the filter looks at the number.
+    """
+    marked = df.select("*", F.monotonically_increasing_id().alias("__nr"))
+    return marked.where(condition & (F.col("__nr") >= 0)).drop("__nr")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels may not be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ortholens.llm.common import BLANK, let, words_of
+from ortholens.llm.common import BLANK, let, settled, words_of
 
 #: Frequent function words of the languages the corpus is written in.
 STOP_WORDS = (
@@ -37,7 +37,12 @@ SYMBOLS = "#*$%&|<>"
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: windows sorted beside their equals, then the union of their spans."""
+    """Words inside 3-word windows that occur twice or more."""
+    return let(words, _repeat_words)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Windows are sorted beside their equals; then the union of the repeated ones' spans is measured."""
     windows = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
         lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("p")),
@@ -114,4 +119,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("text").alias("text"))
-    return quality_rules(own, keep_cols=("__row",)).where("kept").select("__row.*")
+    return settled(quality_rules(own, keep_cols=("__row",)), F.col("kept")).select("__row.*")

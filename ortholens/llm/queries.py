@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ortholens.llm import decontaminate, pii, secrets
+from ortholens.llm import decontaminate, language_id, pii, quality_knn, secrets
 from ortholens.llm.common import table
 from ortholens.llm.mixing import mix
 from ortholens.llm.near_dedup import near_classes
 from ortholens.llm.oracles import ORACLES
 from ortholens.llm.quality_rules import quality_rules
+from ortholens.llm.substring_dedup import repeated_passages
 from ortholens.llm.warc import round_trip
 
 
@@ -18,6 +19,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -44,6 +57,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_source_mixing": op5_source_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
