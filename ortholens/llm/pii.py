@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ortholens.llm.common import bare, let, spans, spans_text, stash
+from ortholens.llm.common import bare, let, settled, spans, spans_text, stash
 
 #: The contract's patterns. A match can only begin where a run begins or where the last match ended, so runs are possessive
 #: and anchored there: the same matches, in linear time. Chains of fewer than 12 digits hold no longer chain.
@@ -71,7 +71,7 @@ def _around(t: Column, s: Column) -> Column:
 def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, entity, terms: one row per match of a fixed pattern, copies of a text once."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", t.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base")).where(F.size("base") > 0)
+    found = settled(docs.select("doc_id", t.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base")), F.size("base") > 0)
     clear = lambda terms, base: F.filter(terms, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
     return found.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_key"), "t", "base", F.explode_outer("base").alias("s")).select(
         "doc_id", "text_key", F.concat_ws(":", F.col("s.kind"), F.lower("s.hit")).alias("entity"), clear(_around(F.col("t"), F.col("s")), F.col("base")).alias("terms")
@@ -88,9 +88,16 @@ def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEX
     seen = found.select("entity", context.alias("context"), F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_contexts)
     per_entity = found.select("entity", context.alias("context")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    candidates = stash(pairs.join(per_entity, "entity"), "pii-candidates")
+    # a term's documents are at least those whose contexts hold it; with more than this many it cannot reach the threshold
+    n_docs = max(docs.count(), 1)
+    near = found.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).distinct()
+    at_least = near.groupBy("term").agg(F.count(F.lit(1)).alias("at_least"))
+    most = F.col("both") * F.pow(F.lit(float(n_docs)) / F.col("of_entity"), F.lit(1 - generalise))
+    candidates = stash(
+        pairs.join(per_entity, "entity").join(at_least, "term").where(F.col("at_least") <= F.ceil(most)).drop("at_least"), "pii-candidates"
+    )
     terms = candidates.select("term").distinct()
-    n_terms, n_docs = terms.count(), max(docs.count(), 1)
+    n_terms = terms.count()
     said = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     # a checked size decides; beyond it the join shuffles the terms of the corpus, after the aggregation has begun
     known = said.join(F.broadcast(terms), "term", "left_semi") if n_terms <= BROADCAST_TERMS else said.groupBy("term").agg(F.count(F.lit(1)).alias("c")).join(terms, "term", "left_semi")
