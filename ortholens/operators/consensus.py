@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholens.operators.groups import GENE
+from ortholens.sources.shared import rewritten
 
 
 def merge_methods(*methods: DataFrame) -> DataFrame:
@@ -22,15 +20,6 @@ def merge_methods(*methods: DataFrame) -> DataFrame:
     return joined.join(kept, ids, "left_semi").select(F.concat_ws("-", *ids).alias("group_id"), *GENE)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lineage does not grow with the rounds."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-components-")
-    path = f"{top.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root over edges (a, b): the least node of each component, for nodes with an edge.
 
@@ -38,14 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = _cut(low(edges))
+    edges = rewritten(low(edges), "components")
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = _cut(low(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))))
+        star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        edges = rewritten(low(star), "components")
         if (now := mark(edges)) == before:
             break
         before = now
