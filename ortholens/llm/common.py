@@ -51,6 +51,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Ids that may be broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text (the least, where rows repeat an id) of the documents whose id is in ids(n), written to the shared folder.
+
+    ids is counted first: up to BROADCAST_IDS it is sent to the scan, beyond that both sides are shuffled.
+    """
+    ids = stash(ids.select("n").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    own = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("n"), "left_semi")
+    return stash(own.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+
 def settled(df: DataFrame, condition: Column) -> DataFrame:
     """The rows of df that meet the condition on its computed columns, each computed once.
 
