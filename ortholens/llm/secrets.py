@@ -27,6 +27,10 @@ CANDIDATE = r"[A-Za-z0-9_+/-]{20,}"
 FIT_DOCUMENTS = 2_000
 RANDOM_STRINGS = 6_000
 THRESHOLD = 0.5
+#: Weight of the overall distribution in each row of transitions, in observations.
+PRIOR = 2.0
+#: No single transition decides: ratios are held within this.
+LIMIT = 3.0
 
 
 def random_strings(spark, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -66,22 +70,24 @@ def train(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> list[float]:
     size = len(ALPHABET)
 
     def logs(label: str) -> list[list[float]]:
+        # each row is smoothed by what follows any character, so that characters a label never uses stay unlikely
+        any_ = [sum(seen.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET]
+        whole = sum(any_)
         out = []
         for a in ALPHABET:
-            row = [seen.get((label, a + b), 0) + 0.5 for b in ALPHABET]
+            row = [seen.get((label, a + b), 0) + PRIOR * any_[k] / whole for k, b in enumerate(ALPHABET)]
             total = sum(row)
             out.append([math.log(x / total) for x in row])
         return out
 
     r, o = logs("random"), logs("ordinary")
-    return [round(r[i][j] - o[i][j], 4) for i in range(size) for j in range(size)]
+    return [round(max(-LIMIT, min(LIMIT, r[i][j] - o[i][j])), 4) for i in range(size) for j in range(size)]
 
 
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the token's transitions."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    at = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: place(F.substring(token, i, F.lit(1))))
+    at = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
     def mean(p: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.get(table, F.get(p, i) * len(ALPHABET) + F.get(p, i + 1)))
