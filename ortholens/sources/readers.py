@@ -188,7 +188,7 @@ def read_chromosomes(spark: SparkSession, path, min_len: int = 1_000_000, layout
 def read_tree_clusters(spark: SparkSession, path) -> DataFrame:
     c = _cells(spark, path)
     last = F.coalesce(F.get(F.col("cells"), F.size("cells") - 1), F.lit(""))
-    part = lambda k: F.regexp_extract_all(last, F.lit(r"(\S+) ([^,(]*)\(([^)]*)\)"), F.lit(k))
+    part = lambda k: F.regexp_extract_all(last, F.lit(r"([^\s,]+) ([^,(]*)\(([^)]*)\)"), F.lit(k))
     partners = F.zip_with(part(1), part(3), lambda o, g: F.struct(o.alias("org"), g.alias("gene")))
     return c.select(_cell(0).alias("cluster_id"), _cell(2).cast("int").alias("org_count"), _cell(3).alias("org"), _cell(4).alias("chrom"), _cell(5).alias("gene"), _cell(6).alias("name"), partners.alias("partners"))
 
