@@ -215,10 +215,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("origin")
         .agg(
             F.max("page_id").alias("page_id"), F.max("stated_bytes").alias("stated_bytes"), F.max("digest").alias("digest"),
+            F.max(F.when(F.col("segment") == 1, F.col("kind"))).alias("kind"), F.max("refers_to").alias("refers_to"),
             F.max("total").alias("total"), F.max("segment").alias("last"), F.count(F.lit(1)).alias("n"), parts.alias("parts"),
         )
         .select(
-            F.lit("response").alias("kind"), "page_id", "stated_bytes", "digest", F.lit(None).cast("long").alias("refers_to"),
+            F.coalesce("kind", F.lit("response")).alias("kind"), "page_id", "stated_bytes", "digest", "refers_to",
             (F.col("n") == F.col("last")).alias("all"), "total", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")).alias("block"),
         )
         .select("kind", "page_id", "stated_bytes", "digest", "refers_to", F.coalesce(F.col("all") & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("length_ok"), "block")
