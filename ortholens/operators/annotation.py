@@ -105,3 +105,35 @@ def number_models(hits: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("kind").orderBy("chrom", "start", "end", "line"))
     named = hits.select("*", F.concat(F.lit("ncRNA-"), F.col("kind"), F.lit("-"), n.cast("string")).alias("id"))
     return named.select("id", F.explode(F.array(F.lit("gene"), F.lit("transcript"), F.lit("exon"))).alias("feature"), "kind", "chrom", "start", "end")
+
+
+def attach_parent(records: DataFrame) -> DataFrame:
+    """Records (id, parent, gene_id, feature) with gene_id filled: the own one, else the parent's, else the grandparent's.
+
+    A gene is its own parent; ids are also tried without version; records of `unassigned_gene_` are left out.
+    """
+    base = F.substring_index("id", ".", 1)
+    up = records.where("id is not null").select(F.col("id").alias("pid"), "parent", F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id")).otherwise(F.col("gene_id")).alias("g"))
+    short = records.where("id is not null").groupBy(base.alias("bid")).agg(F.min(F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id"))).alias("bg"))
+    one = up.groupBy("pid").agg(F.min("parent").alias("pp"), F.min("g").alias("pg"))
+    j = records.join(one, F.col("parent") == F.col("pid"), "left")
+    j = j.join(one.toDF("gid", "gpp", "gg"), F.col("pp") == F.col("gid"), "left").join(short, F.substring_index(F.coalesce("pp", "parent"), ".", 1) == F.col("bid"), "left")
+    own = F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id")).otherwise(F.col("gene_id"))
+    out = j.select("id", "parent", "feature", F.coalesce(own, "pg", "gg", "bg").alias("gene_id"))
+    return out.where(F.col("gene_id").isNull() | ~F.col("gene_id").startswith("unassigned_gene_"))
+
+
+def noncoding_transcripts(records: DataFrame, genome: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spliced sequences of the transcripts of genes without CDS, and the chromosomes that the genome lacks.
+
+    records: gene_id, transcript_id, feature, chrom, start, end.
+    """
+    exons = records.where("feature = 'exon'").join(noncoding_genes(records), "gene_id", "left_semi")
+    lost = records.select("chrom").distinct().join(genome.select("chrom"), "chrom", "left_anti")
+    return splice(exons.select("transcript_id", "chrom", "start", "end"), genome), lost
+
+
+def filter_by_ids(sequences: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sequences whose id, without version, is in wanted(isoform)."""
+    keep = wanted.select(F.substring_index("isoform", ".", 1).alias("base")).distinct()
+    return sequences.withColumn("base", F.substring_index("seq_id", ".", 1)).join(keep, "base", "left_semi").drop("base")

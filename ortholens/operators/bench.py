@@ -146,3 +146,17 @@ def majority_groups(m: DataFrame) -> DataFrame:
     n = m.where("ref is not null and pred is not null").groupBy("ref", "spp", "pred").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("ref", "spp").orderBy(F.desc("n"), "pred")
     return n.withColumn("k", F.row_number().over(w)).where("k = 1").select("ref", "spp", "pred")
+
+
+def top_paralog_groups(pred: DataFrame, ref: DataFrame, k: int = 5) -> DataFrame:
+    """The k predicted groups with most would-be false pairs of genes in single-species reference groups; ties by id."""
+    per = paralog_pairs(pred, ref).groupBy("pred").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("tp_pairs").alias("tp_pairs"), F.sum("fp_pairs").alias("fp_pairs"))
+    return per.orderBy(F.desc("fp_pairs"), "pred").limit(k)
+
+
+def paralog_evidence(pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """Adds to paralog_pairs whether the gene's species already has a member of the group's main reference group."""
+    m = mapped(pred, exclude_single_species(ref), "orig_group")
+    main = main_groups(m).select("pred", "main")
+    has = m.join(main, "pred").where("ref = main").select("pred", "spp").distinct().withColumn("spp_in_main", F.lit(True))
+    return paralog_pairs(pred, ref).join(has, ["pred", "spp"], "left").na.fill(False, ["spp_in_main"])

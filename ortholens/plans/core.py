@@ -40,6 +40,10 @@ QUERIES = {
     "pair_benchmark_rescue": lambda s, d: bench.pair_benchmark(pred(s, d), ref(s, d), rescue=True),
     "misplaced_genes": lambda s, d: bench.misplaced_genes(pred(s, d), ref(s, d)),
     "paralog_pairs": lambda s, d: bench.paralog_pairs(pred(s, d), ref(s, d)),
+    "top_paralog_groups": lambda s, d: bench.top_paralog_groups(pred(s, d), ref(s, d)),
+    "paralog_evidence": lambda s, d: bench.paralog_evidence(pred(s, d), ref(s, d)),
+    "refog_total": lambda s, d: bench.refog_total(bench.refog_scores(ref(s, d), _uncertain(s, d), pred(s, d))).select(*(F.round(c, 4).alias(c) for c in ("precision", "recall", "f1"))),
+    "filter_groups": lambda s, d: groups.filter_groups(pred(s, d), [1, 2, 3, 100]),
     "refog_scores": lambda s, d: bench.refog_scores(ref(s, d), _uncertain(s, d), pred(s, d)),
     "validate_groups": lambda s, d: bench.validate_groups(multi(s, d), genes(s, d)),
     "classify_reference": lambda s, d: compare.classify_reference(ref(s, d), pred(s, d)),
@@ -285,3 +289,13 @@ j AS (SELECT p.group_id AS pred, spp, gene, t.group_id AS merged FROM pred p LEF
 m AS (SELECT pred, merged AS main, row_number() OVER (PARTITION BY pred ORDER BY count(*) DESC, merged) AS k FROM j WHERE merged IS NOT NULL GROUP BY pred, merged QUALIFY k = 1)
 SELECT j.pred, spp, gene, merged, main FROM j JOIN m USING (pred) WHERE merged IS NULL OR merged <> main""",
 }
+
+ORACLES |= {
+    "top_paralog_groups": f"""SELECT pred, count(*) AS n_genes, sum(tp_pairs)::BIGINT AS tp_pairs, sum(fp_pairs)::BIGINT AS fp_pairs FROM ({ORACLES["paralog_pairs"]}) GROUP BY pred ORDER BY fp_pairs DESC, pred LIMIT 5""",
+    "paralog_evidence": ORACLES["paralog_pairs"].replace(
+        "\nSELECT x.pred, x.spp, x.gene", "\nSELECT x.pred, x.spp, x.gene, EXISTS (SELECT 1 FROM m z WHERE z.pred = x.pred AND z.spp = x.spp AND z.ref = any_value(mg.main)) AS spp_in_main"
+    ).replace("GROUP BY ALL", "GROUP BY x.pred, x.spp, x.gene, x.ref"),
+    "refog_total": f"""WITH t AS (SELECT sum(even_tp) AS tp, sum(even_fp) AS fp, sum(even_fn) AS fn FROM ({ORACLES["refog_scores"]}))
+SELECT round(100 * tp / (tp + fp), 4) AS precision, round(100 * tp / (tp + fn), 4) AS recall, round(200 * tp / (2 * tp + fp + fn), 4) AS f1 FROM t""",
+    "filter_groups": with_views("pred") + " SELECT * FROM pred WHERE group_id IN (1, 2, 3, 100)",
+}

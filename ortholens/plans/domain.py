@@ -62,6 +62,36 @@ def splice_exons(s, d):
     return annotation.splice(ex.select(F.col("chrom").alias("transcript_id"), "chrom", "x.start", "x.end"), docs).select("transcript_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("seq").cast("long").alias("n"))
 
 
+def _gff(s, d):
+    """Genes, transcripts and exons that only name their parent."""
+    line = _line(s, d).select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    g, t = F.concat(F.lit("g"), F.col("l_orderkey").cast("string")), F.concat_ws("-", F.lit("t"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    none = F.lit(None).cast("string")
+    gene = line.select(F.concat(g, F.lit(".1")).alias("id"), none.alias("parent"), none.alias("gene_id"), F.lit("gene").alias("feature")).distinct()
+    tx = line.select(t.alias("id"), g.alias("parent"), none.alias("gene_id"), F.lit("transcript").alias("feature")).distinct()
+    exon = line.select(none.alias("id"), t.alias("parent"), F.when(F.col("l_returnflag") == "A", g).alias("gene_id"), F.lit("exon").alias("feature")).distinct()
+    return gene.unionByName(tx).unionByName(exon)
+
+
+def attach_parent(s, d):
+    return annotation.attach_parent(_gff(s, d)).groupBy("feature", "gene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def noncoding_transcripts(s, d):
+    t = table(s, d, "documents").where("length(text) >= 400")
+    genome = t.where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("chrom"), F.col("text").alias("seq"))
+    row = lambda f, b, e: F.struct(F.lit(f).alias("feature"), F.lit(b).cast("long").alias("start"), F.lit(e).cast("long").alias("end"))
+    kinds = F.when(F.col("doc_id") % 3 == 0, F.array(row("exon", 51, 60), row("exon", 5, 9), row("CDS", 5, 9))).otherwise(F.array(row("exon", 51, 60), row("exon", 5, 9)))
+    rec = t.select(F.col("doc_id").cast("string").alias("chrom"), F.explode_outer(kinds).alias("x")).select(F.col("chrom").alias("gene_id"), F.col("chrom").alias("transcript_id"), "chrom", "x.feature", "x.start", "x.end")
+    return annotation.noncoding_transcripts(rec, genome)[0]
+
+
+def filter_by_ids(s, d):
+    p = table(s, d, "part")
+    q = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".2")).alias("seq_id"), F.col("p_name").alias("seq"))
+    return annotation.filter_by_ids(q, p.where("p_partkey % 3 = 0").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".7")).alias("isoform")))
+
+
 def longest_per_key(s, d):
     t = table(s, d, "documents").select("source", "lang", "doc_id", "text")
     return annotation.longest_per_key(t, ["source", "lang"], "text", "doc_id").select("source", "lang", "doc_id", F.length("text").cast("long").alias("n"))
@@ -306,6 +336,9 @@ QUERIES = {
     "noncoding_genes": lambda s, d: annotation.noncoding_genes(_features(s, d)),
     "noncoding_share": lambda s, d: annotation.noncoding_share(_features(s, d)),
     "splice_exons": splice_exons,
+    "attach_parent": attach_parent,
+    "noncoding_transcripts": noncoding_transcripts,
+    "filter_by_ids": filter_by_ids,
     "longest_per_key": longest_per_key,
     "fasta_roundtrip": fasta_roundtrip,
     "wide_roundtrip": wide_roundtrip,
@@ -373,6 +406,12 @@ sy AS (SELECT p.group_id, p.org, p.gene, p.name, coalesce(p.good,
   FROM nm p LEFT JOIN nm u ON u.gene = p.gene + 1 LEFT JOIN nm v ON v.gene = p.gene - 1)"""
 
 ORACLES = {
+    "attach_parent": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_returnflag AS f FROM lineitem)
+SELECT 'gene' AS feature, 'g' || o || '.1' AS gene_id, 1::BIGINT AS n FROM (SELECT DISTINCT o FROM l)
+UNION ALL SELECT 'transcript', 'g' || o || '.1', count(DISTINCT n) FROM l GROUP BY o
+UNION ALL SELECT 'exon', g, count(*) FROM (SELECT DISTINCT o, n, CASE WHEN f = 'A' THEN 'g' || o ELSE 'g' || o || '.1' END AS g FROM l) GROUP BY g""",
+    "noncoding_transcripts": "SELECT doc_id::VARCHAR AS transcript_id, substr(text, 5, 5) || substr(text, 51, 10) AS seq FROM documents WHERE length(text) >= 400 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0",
+    "filter_by_ids": "SELECT p_partkey || '.2' AS seq_id, p_name AS seq FROM part WHERE p_partkey % 3 = 0",
     "gtf_attributes": """SELECT DISTINCT 'G' || l_orderkey AS gene_id, 'P' || l_partkey || '.' || l_linenumber AS isoform, count(*) OVER (PARTITION BY l_orderkey) AS n_records, max(l_linestatus) OVER (PARTITION BY l_orderkey) AS last_note FROM lineitem""",
     "gff_to_gtf": """SELECT 'transcript' AS feature, 'gene_id "' || l_orderkey || '"; transcript_id "' || l_partkey || '"; gene_name "' || l_returnflag || '";' AS attributes, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY ALL""",
     "merge_annotations": f"""WITH {_FEATURES} SELECT chrom, gene_id, feature, start, "end", source, row_number() OVER (PARTITION BY chrom ORDER BY gs, ge, gene_id, CASE feature WHEN 'gene' THEN 0 WHEN 'transcript' THEN 1 ELSE 2 END, start, "end", source) AS place
