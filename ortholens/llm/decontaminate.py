@@ -7,6 +7,9 @@ region of a document is measured in covered item tokens, and the placeholders' v
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ WINDOW = 5
 LEAST_SHARE = 0.8
 LEAST_CONSISTENT = 0.8
 DRIFT = 64
+WIDTHS = tuple(1 << k for k in range(DRIFT.bit_length()))
 BROADCAST_WINDOWS = 1_000_000
 
 #: Units that may follow a number.
@@ -78,8 +82,9 @@ def matches(
     """doc_id, text_key, item_id, n_tokens, covered_tokens, share, consistency: one row per document and item it contains.
 
     share is the part of the item's template tokens that five-token windows of one region of the document cover.
-    consistency is the part of slot observations in which an item's value meets the value it mostly meets: 1 where the item
-    has no slots or was re-parameterised throughout.
+    consistency is the part of the same region's slot observations in which an item's value meets the value it mostly meets:
+    1 where the item has no slots or was re-parameterised throughout. One region that passes both is enough, whatever else
+    the document holds; regions are bands of diagonals of 1 to DRIFT tokens' width.
     Null and empty texts, and items under five tokens, have no windows and never match. Rows with equal doc_id and text are one
     document; equal items are reported each.
     """
@@ -105,21 +110,43 @@ def matches(
         "benchmark-hits",
     )
     # slots are looked at again only where an item that has some was found
-    slotted = of_items.where(F.size("slots") > 0).select("item_id", "h", F.col("slots").alias("item_slots"))
-    suspects = found.join(slotted.select("item_id").distinct(), "item_id", "left_semi").select("doc_id", "text_key").distinct()
-    again = keyed.join(F.broadcast(suspects) if suspects.count() <= BROADCAST_WINDOWS else suspects, ["doc_id", "text_key"], "left_semi")
-    observed = windows(again, ["doc_id", "text_key"], window, slots=True).where(F.size("slots") > 0).select("doc_id", "text_key", "h", "slots")
+    slotted = of_items.where(F.size("slots") > 0).select("item_id").distinct().withColumnRenamed("item_id", "s_item_id")
+    of_slotted = F.col("item_id").eqNullSafe(F.col("s_item_id"))
+    free = found.join(slotted, of_slotted, "left_anti").withColumn("consistency", F.lit(1.0))
+    suspects = found.join(slotted, of_slotted, "left_semi").select(*key)
+    few = suspects.count() <= BROADCAST_WINDOWS
+    sus = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    texts = suspects.select(F.col("doc_id").alias("s_doc_id"), F.col("text_key").alias("s_text_key")).distinct()
+    again = keyed.join(sus(texts), F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key")), "left_semi").distinct()
+    valued = of_items.select("item_id", "n_tokens", F.col("place").alias("at"), "h", F.col("slots").alias("item_slots"))
+    met = windows(again, ["doc_id", "text_key"], window, slots=True).drop("n_tokens").join(sent(valued), "h")
+    met = met.join(sus(suspects.withColumnsRenamed({k: f"s_{k}" for k in key})), _same(key), "left_semi")
+    # one row per hit and region that it lies in; regions at all widths, as copies may follow each other closer than DRIFT
+    bands = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(o).alias("o"), F.floor((shift + o) / F.lit(w)).alias("r")) for w in WIDTHS for o in sorted({0, w // 2})))
+    seen = stash(met.select(*key, "n_tokens", "at", shift.alias("shift"), bands.alias("bands"), F.arrays_zip("item_slots", "slots").alias("xs")), "benchmark-slots")
+    each = seen.select(*key, "n_tokens", "at", "xs", F.explode("bands").alias("region"))
+    whole = stash(
+        each.groupBy(*key, "region").agg(F.max("n_tokens").cast("long").alias("n_tokens"), covered(F.sort_array(F.collect_set("at")), window).cast("long").alias("covered_tokens"))
+        .withColumn("share", F.col("covered_tokens") / F.col("n_tokens")).where(F.col("share") >= least_share),
+        "benchmark-regions",
+    )
+    place = [*key, "region"]
+    within = each.join(whole.select(*place).withColumnsRenamed({k: f"s_{k}" for k in place}), _same(place), "left_semi")
     slots = (
-        observed.join(sent(slotted), "h")
-        .select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("x"))
-        .groupBy(*key, F.col("x.item_slots").alias("v"), F.col("x.slots").alias("w")).agg(F.count(F.lit(1)).alias("c"))
-        .groupBy(*key, "v").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
-        .groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("consistency"))
+        within.select(*place, F.explode("xs").alias("x"))
+        .groupBy(*place, F.col("x.item_slots").alias("v"), F.col("x.slots").alias("w")).agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(*place, "v").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+        .groupBy(*place).agg((F.sum("most") / F.sum("all")).alias("consistency"))
     )
-    renamed = slots.withColumnsRenamed({k: f"s_{k}" for k in key})
-    on = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_key") == F.col("s_text_key")) & F.col("item_id").eqNullSafe(F.col("s_item_id"))
-    judged = found.join(renamed, on, "left").select(*key, "n_tokens", "covered_tokens", "share", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    return judged.where(F.col("consistency") >= least_consistent)
+    judged = whole.join(slots.withColumnsRenamed({k: f"s_{k}" for k in place}), _same(place), "left")
+    passed = judged.withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= least_consistent)
+    best = passed.groupBy(*key).agg(F.max(F.struct("covered_tokens", "consistency", "n_tokens", "share")).alias("m"))
+    return free.unionByName(best.select(*key, "m.n_tokens", "m.covered_tokens", "m.share", "m.consistency"))
+
+
+def _same(names: list[str]) -> Column:
+    """Null-safe equality of the columns with those of the other side, named s_<column>."""
+    return functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in names))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -183,6 +183,21 @@ def test_windows_scattered_over_a_document_do_not_add_up(spark):
     assert decontaminate.matches(docs(spark, []), bench).count() == 0
 
 
+def test_copies_with_other_values_do_not_hide_each_other(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, "take 5 then 5 then 5 then 5 then 5 then 5 then 5 then 5")], "item_id long, text string")
+    vary = lambda k: ITEM.replace("12", str(40 + k)).replace("5 apples", f"{7 + k} apples").replace("3.5", str(100 + k))
+    pad = " ".join(f"filler{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150))
+    texts = [
+        ITEM + " " + vary(1), " ".join(vary(k) for k in range(12)), f"{ITEM} {pad} {vary(1)} {pad} {vary(2)}", "then " + " then ".join(str(k) for k in range(300)) + f" {pad} " + ITEM,
+        f"take 5 then 5 then 5 then 5 then 5 then 5 then 5 then 5 {pad} " + " then ".join(str(k) for k in range(300)),
+        " then ".join(str(k) for k in range(300)),
+    ]
+    d = docs(spark, texts).unionByName(docs(spark, [" then ".join(str(k) for k in range(300))]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(d, bench).sort("doc_id").collect()] == [None, 5]
+
+
 # -- mixing -------------------------------------------------------------------------------------------------------------
 
 
