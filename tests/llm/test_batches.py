@@ -97,6 +97,28 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
 # -- passages -----------------------------------------------------------------------------------------------------------
 
 
+def test_passages_whose_words_also_stand_elsewhere():
+    rnd = np.random.RandomState(4)
+    say = lambda n: rnd.randint(1, 2**62, n)
+    got = lambda x, y: {p[:4] for p in substring_dedup.passages(*(shingles.shingle_hashes(w.astype(np.uint64)) for w in (x, y)))}
+    p = say(60)
+    # the first words of the passage stand earlier in b
+    b = np.concatenate((p[:20], say(100), p, say(30)))
+    assert got(np.concatenate((say(40), p, say(10))), b) == {(40, 100, 120, 180)}
+    # b holds it three times
+    b = np.concatenate((p, say(100), p, say(200), p))
+    assert got(p, b) == {(0, 60, 0, 60), (0, 60, 160, 220), (0, 60, 420, 480)}
+    # two passages in turn, without a gap in a, near one diagonal and far from it
+    q = say(60)
+    for n in (55, 300):
+        assert {(x[0] // 50, x[2] // 50) for x in got(np.concatenate((p, q)), np.concatenate((p, say(n), q)))} == {(0, 0), (1, (60 + n) // 50)}
+    # the second stands before the first
+    assert len(got(np.concatenate((p, q)), np.concatenate((q, p)))) == 2
+    line = say(10)
+    assert got(np.tile(line, 300), np.tile(line, 500)) and got(np.zeros(20000, int), np.zeros(20000, int))
+    assert got(say(200), say(200)) == set() and got(say(3), p) == set() == got(p, say(3))
+
+
 def test_compact_windows_hold_each_subsequence_once():
     rnd = np.random.RandomState(1)
     v = rnd.permutation(60)
