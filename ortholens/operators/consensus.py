@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root over edges (a, b): the least node of each component, for nodes with an edge.
 
     Large-star and small-star steps by turns; every round is joins and aggregates, and the number of rounds is logarithmic.
+    The least neighbours are written before they are joined: the join then comes straight from two shuffles, and AQE can
+    split the key of a node that holds most edges.
     """
     low = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -31,9 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = rewritten(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        large = rewritten(large, "components")
+        small = large.join(rewritten(large.groupBy("a").agg(F.min("b").alias("m")), "components"), "a")
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = rewritten(low(star), "components")
         if (now := mark(edges)) == before:
