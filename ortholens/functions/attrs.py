@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: what a lambda captures is else evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fields(attributes: Column) -> Column:
     """Trimmed non-empty fields between semicolons."""
     return F.filter(F.transform(F.split(attributes, ";"), lambda x: F.trim(x)), lambda x: x != "")
@@ -35,14 +40,26 @@ def to_map(attributes: Column) -> Column:
         ),
     )
     full = F.filter(parts, lambda p: (p["k"] != "") & (p["v"] != ""))
-    once = F.filter(full, lambda p, i: ~F.exists(F.slice(full, i + 2, F.size(full)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(once)
+
+    def last_wins(f: Column) -> Column:
+        keys = F.transform(f, lambda p: p["k"])
+        kept = F.filter(f, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(f)), p["k"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(f), f).otherwise(kept))
+
+    return let(full, last_wins)
 
 
 def isoform_id(attrs: Column) -> Column:
     """protein_id with its version, else transcript_id with its version, else Parent."""
-    with_version = lambda key: F.when(attrs[f"{key}_id"].isNotNull(), F.concat_ws(".", attrs[f"{key}_id"], attrs[f"{key}_version"]))
-    return F.coalesce(with_version("protein"), with_version("transcript"), attrs["Parent"])
+    with_version = lambda m, key: F.when(m[f"{key}_id"].isNotNull(), F.concat_ws(".", m[f"{key}_id"], m[f"{key}_version"]))
+    return let(attrs, lambda m: F.coalesce(with_version(m, "protein"), with_version(m, "transcript"), m["Parent"]))
+
+
+def parsed(records: DataFrame, attributes: str = "attributes") -> DataFrame:
+    """records with attrs (map), gene_id and isoform. A generator of one row computes them once, however often they are used."""
+    of = let(to_map(F.col(attributes)), lambda m: F.struct(m.alias("attrs"), isoform_id(m).alias("isoform")))
+    one = records.select("*", F.inline_outer(F.array(F.struct(of.alias("__of"), gene_id(F.col(attributes)).alias("gene_id")))))
+    return one.select(*records.columns, "__of.attrs", "gene_id", "__of.isoform")
 
 
 #: GFF3 tags and the GTF keys that they become, by feature.
@@ -54,13 +71,16 @@ def gff_feature(feature: Column) -> Column:
 
 
 def untag(value: Column) -> Column:
-    """Identifiers without the tags that GFF3 writers put on them."""
-    return F.regexp_replace(F.regexp_replace(value, r"^(?:mRNA|cds|gene)\.", ""), r"\.(?:exon|cds)\d*$", "")
+    """Identifiers without the tags that GFF3 writers put on them, a transcript number before them included."""
+    return F.regexp_replace(F.regexp_replace(value, r"^(?:mRNA|cds|gene)\.", ""), r"(?:\.t1)?\.(?:exon|cds)\d*$", "")
 
 
 def gff_to_gtf(feature: Column, attributes: Column, gene: Column) -> Column:
     """A GTF attribute string: own id under the feature's key, the name, the transcript of exons and CDS, and the gene."""
-    m = to_map(attributes)
+    return let(to_map(attributes), lambda m: _gtf_string(feature, m, gene))
+
+
+def _gtf_string(feature: Column, m: Column, gene: Column) -> Column:
     kind = gff_feature(feature)
     own = None
     for k, key in _OWN_KEY.items():

@@ -89,9 +89,9 @@ def splice(exons: DataFrame, genome: DataFrame) -> DataFrame:
     return part.groupBy("transcript_id").agg(parts.alias("p")).select("transcript_id", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
 
 
-def gene_isoform_map(records: DataFrame, feature: str = "CDS") -> DataFrame:
-    """Distinct (gene_id, isoform) of the records of one feature."""
-    return records.where(F.col("feature") == feature).select("gene_id", "isoform").where("gene_id is not null and isoform is not null").distinct()
+def gene_isoform_map(records: DataFrame, feature: str = "CDS", *more: str) -> DataFrame:
+    """Distinct (gene_id, isoform, more columns) of the records of one feature."""
+    return records.where(F.col("feature") == feature).select("gene_id", "isoform", *more).where("gene_id is not null and isoform is not null").distinct()
 
 
 def longest_per_key(seqs: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:

@@ -33,8 +33,12 @@ def _gtf(s, d):
 
 
 def gtf_attributes(s, d):
-    m = _gtf(s, d).select("attributes", attrs.to_map(F.col("attributes")).alias("m")).select(attrs.gene_id(F.col("attributes")).alias("gene_id"), attrs.isoform_id(F.col("m")).alias("isoform"), F.col("m")["note"].alias("note"), F.lit("CDS").alias("feature"))
-    return annotation.gene_isoform_map(m, "CDS").join(m.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_records"), F.max("note").alias("last_note")), "gene_id")
+    """Distinct gene and isoform, with the gene's number of records and its greatest note."""
+    m = attrs.parsed(_gtf(s, d)).select("gene_id", "isoform", F.col("attrs")["note"].alias("note"))
+    per = m.groupBy("gene_id", "isoform").agg(F.count(F.lit(1)).alias("n"), F.max("note").alias("note"))
+    own = Window.partitionBy("gene_id")
+    every = per.withColumn("n_records", F.sum("n").over(own)).withColumn("last_note", F.max("note").over(own)).withColumn("feature", F.lit("CDS"))
+    return annotation.gene_isoform_map(every, "CDS", "n_records", "last_note")
 
 
 def gff_to_gtf(s, d):

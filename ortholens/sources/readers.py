@@ -145,8 +145,7 @@ def read_annotation(spark: SparkSession, path) -> DataFrame:
     names = ("chrom", "source", "feature", "start", "end", "score", "strand", "phase", "attributes")
     r = c.select("file", "line_no", *(_cell(k).alias(n) for k, n in enumerate(names)))
     r = r.withColumns({"start": F.expr("try_cast(start as bigint)"), "end": F.expr("try_cast(`end` as bigint)"), "spp": file_species(F.col("file"))})
-    m = r.withColumn("attrs", attrs.to_map(F.col("attributes")))
-    return m.withColumns({"gene_id": attrs.gene_id(F.col("attributes")), "isoform": attrs.isoform_id(F.col("attrs"))})
+    return attrs.parsed(r)
 
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
