@@ -17,7 +17,7 @@ def fields(attributes: Column) -> Column:
 
 
 def _clean(value: Column) -> Column:
-    return F.regexp_replace(value, r"""^[\s"'=,]+|[\s"'=,]+$""", "")
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r\"'=,"))
 
 
 def gene_id(attributes: Column) -> Column:
