@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model_of: DataFrame | None = None) -> DataFrame:
                     score[known] = np.clip(s[np.arange(len(best)), best], 0, 1)
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "held_out": b["held_out"].to_numpy(), "lang_pred": lang, "score": score})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(
-        predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    # ids travel as strings: pandas turns long columns with a null into doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    out = rows.mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

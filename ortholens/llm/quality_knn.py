@@ -132,7 +132,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = np.clip(model.scores(b["text"].tolist()), 0, 1) if model else np.full(len(b), 0.5)
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "held_out": b["held_out"].to_numpy(), "score": s, "predicted": (s >= LEAST_SCORE).astype(np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(
-        vote, f"doc_id {kind}, held_out boolean, score double, predicted int"
-    )
+    # ids travel as strings: pandas turns long columns with a null into doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    out = rows.mapInPandas(vote, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -10,22 +10,24 @@ read; only segments are shuffled: grouped by origin, put in order of segment num
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ortholens.llm.common import shared_dir
+from ortholens.llm.common import shared_dir, stash
 
 #: Production parameters.
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 8_192
 LEAST_SHARED = 100
 RECORDS_PER_FILE = 2_000
+BROADCAST_DIGESTS = 200_000
 
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,26 +53,28 @@ def _chunked(payload: Column, chunk: int) -> Column:
 def records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row `value` (string of raw bytes) per WARC record of pages(page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    base = pages.select("page_id", "url", html.alias("payload")).select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n"))
-    shared = (
-        pages.select("page_id", html.alias("payload"))
-        .where(F.octet_length("payload") >= LEAST_SHARED)
-        .groupBy(F.sha2("payload", 256).alias("d"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
-    )
-    typed = base.join(shared, F.col("digest") == F.col("d"), "left").select(
+    numbered = pages.select("page_id", "url", html.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    base = numbered.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row"))
+    shared = stash(
+        base.where(F.col("n") >= LEAST_SHARED).groupBy(F.col("digest").alias("d")).agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1").select("d", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row")),
+        "warc-shared",
+    )
+    # payloads stay where they are while the digests that several pages share are few; beyond that both sides are shuffled
+    few = shared.count() <= BROADCAST_DIGESTS
+    typed = base.join(F.broadcast(shared) if few else shared, F.col("digest") == F.col("d"), "left").select(
         "*", (F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit")
     )
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    ident = F.concat(F.lit("urn:page:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    urn = lambda id_, row: F.concat(F.lit("urn:page:"), F.coalesce(id_.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"))
+    ident = urn(F.col("page_id"), F.col("row"))
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
     named = typed.withColumn("ident", ident).withColumn("url_line", F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("WARC-Target-URI: "), url, F.lit(END))))
     http = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}"
     block = F.when(F.col("revisit"), F.lit(f"{http}{END}").cast("binary")).otherwise(
         F.concat(F.lit(f"{http}Transfer-Encoding: chunked{END}{END}").cast("binary"), _chunked(F.col("payload"), chunk_bytes))
     )
-    framed = named.select("page_id", "ident", "url_line", "digest", "n", "revisit", "first_id", block.alias("block"))
+    framed = named.select("page_id", "ident", "url_line", "digest", "n", "revisit", urn(F.col("first_id"), F.col("first_row")).alias("first"), block.alias("block"))
     total = F.octet_length("block")
     n_segments = F.greatest(F.lit(1), F.ceil(total / F.lit(segment_bytes))).cast("int")
     cut = framed.select("*", total.alias("total"), n_segments.alias("n_seg"), F.explode(F.sequence(F.lit(1), n_segments)).alias("seg"))
@@ -86,7 +90,7 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: i
         F.col("url_line"),
         maybe(F.col("seg") == 1, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))),
         maybe(F.col("seg") == 1, line("X-Payload-Length", F.col("n").cast("string"))),
-        maybe(F.col("revisit"), F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}"))),
+        maybe(F.col("revisit"), F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), F.col("first"), F.lit(">"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}"))),
         maybe(many, line("WARC-Segment-Number", F.col("seg").cast("string"))),
         maybe(many & (F.col("seg") > 1), line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), F.col("ident"), F.lit(">")))),
         maybe(many & (F.col("seg") == F.col("n_seg")), line("WARC-Segment-Total-Length", F.col("total").cast("string"))),
@@ -104,29 +108,24 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of one archive, gzip members or plain; a record cut short raises ValueError."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(plain)
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
-            at += 2
+    """(headers, block) of each record of one archive, gzip members or plain, read one record at a time; a record cut short
+    raises ValueError."""
+    source = io.BytesIO(data)
+    f = gzip.GzipFile(fileobj=source) if data[:2] == b"\x1f\x8b" else source
+    while line := f.readline():
+        if line in (b"\r\n", b"\n"):
             continue
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin, n = stop + 4, int(headers["content-length"])
-        if begin + n > len(data):
-            raise ValueError(f"record at byte {at} is cut short")
-        yield headers, data[begin : begin + n]
-        at = begin + n
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {line[:20]!r} stands")
+        headers = {}
+        while (line := f.readline()).strip():
+            name, _, value = line.decode("utf-8").partition(":")
+            headers[name.lower()] = value.strip()
+        n = int(headers["content-length"])
+        block = f.read(n)
+        if len(block) < n:
+            raise ValueError("record is cut short")
+        yield headers, block
 
 
 def dechunk(body: bytes) -> bytes:
@@ -152,13 +151,14 @@ def payload_of(block: bytes) -> bytes:
     return dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-RECORD = "ident string, kind string, page_id long, origin string, segment int, total long, stated_bytes long, digest string, refers_to long, block binary"
-PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+#: Numbers that may be null travel as strings: pandas turns long columns with a null into doubles.
+RECORD = "ident string, kind string, page_id string, origin string, segment int, total long, stated_bytes string, digest string, refers_to string, block binary"
+PAGE = "page_id string, payload_bytes string, payload_digest string, record_type string, refers_to string, intact boolean"
 
 
-def _page(urn: str | None) -> int | None:
+def _page(urn: str | None) -> str | None:
     part = (urn or "").strip("<>").split(":")
-    return int(part[2]) if len(part) > 2 and part[2].lstrip("-").isdigit() else None
+    return part[2] if len(part) > 2 and part[2].lstrip("-").isdigit() else None
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,33 +172,32 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((
                     ident, h["warc-type"], _page(ident), h.get("warc-segment-origin-id", ident).strip("<>"), segment,
                     int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                    int(h["x-payload-length"]) if "x-payload-length" in h else None,
+                    h.get("x-payload-length"),
                     h.get("warc-payload-digest", "").removeprefix("sha256:") or None, _page(h.get("warc-refers-to")), block,
                 ))
                 held += len(block)
                 if held > 8_000_000:
-                    yield pd.DataFrame(rows, columns=names).astype(object)
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=names).astype(object)
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PAGE.split(", ")]
-    none = lambda v: None if pd.isna(v) else int(v)
     for batch in batches:
         rows = []
         for x in batch.itertuples(index=False):
             if x.kind == "revisit":
-                rows.append((none(x.page_id), none(x.stated_bytes), x.digest, "revisit", none(x.refers_to), True))
+                rows.append((x.page_id, x.stated_bytes, x.digest, "revisit", x.refers_to, True))
                 continue
             if x.length_ok:
                 body = payload_of(x.block)
                 digest = hashlib.sha256(body).hexdigest()
-                rows.append((none(x.page_id), len(body), digest, "response", None, digest == x.digest))
+                rows.append((x.page_id, str(len(body)), digest, "response", None, digest == x.digest))
             else:
-                rows.append((none(x.page_id), None, None, "response", None, False))
-        yield pd.DataFrame(rows, columns=names).astype(object)
+                rows.append((x.page_id, None, None, "response", None, False))
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +223,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         )
         .select("kind", "page_id", "stated_bytes", "digest", "refers_to", F.coalesce(F.col("all") & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("length_ok"), "block")
     )
-    return whole.unionByName(joined).mapInPandas(_decoded, PAGE)
+    out = whole.unionByName(joined).mapInPandas(_decoded, PAGE)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "payload_bytes", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
