@@ -147,17 +147,18 @@ def split_tree(targets: DataFrame, shards: int = SHARDS, block_words: int = BLOC
 
 
 def mix(
-    docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED
+    docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED, with_text: bool = False
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, pieces: one row per input row.
+    """doc_id, source, size, source_size, target, taken, pieces, and text if asked for: one row per input row.
 
     pieces: array<struct<shard, from_word, words, place>>, the words of the document (from_word may lie beyond size for
     later repeats) that a shard takes and the document's place in the shard's local shuffle. Null text and texts without
     words have size 0 and take nothing; null sources are one source; repeated rows each count. An empty table gives no rows.
     """
+    carried = ["text"] if with_text else []
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
     sized = stash(
-        docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")).select("*", key.alias("key")), "mix-sizes"
+        docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), *carried).select("*", key.alias("key")), "mix-sizes"
     )
     n_docs = sized.count()
     bits = max(1, math.ceil(math.log2(2 * math.sqrt(max(n_docs, 1)))))
@@ -177,7 +178,7 @@ def mix(
         buckets, (F.col("name") == F.col("b_name")) & (F.col("none") == F.col("b_null")) & (F.col("bucket") == F.col("b_bucket"))
     )
     line = placed.select(
-        "doc_id", "source", "size", "source_size", "target", "key", "first_block",
+        "doc_id", "source", "size", "source_size", "target", "key", "first_block", *carried,
         (F.col("begin") + F.col("before")).alias("at"), F.floor("target").cast("long").alias("goal"),
     )
 
@@ -203,6 +204,6 @@ def mix(
         )
 
     pieces = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_repeat - 1).cast("long")), of_pass))
-    out = line.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"))
+    out = line.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"), *carried)
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces", *carried)

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Protected entities are what the fixed patterns match. How much of an entity's information a term discloses is estimated
-from the corpus: PMI(term; entity) over IC(entity), with document frequencies over all documents and co-occurrence over the
-distinct contexts of the entity's mentions. Terms at or over `generalise` are replaced by their class, terms at or over
-`remove` are removed, wherever they stand in a context of that entity.
+from the corpus: PMI(term; entity) over IC(entity). Everything is counted in distinct texts: those that hold the term, those
+that mention the entity, those that hold the term among the CONTEXT_WORDS terms on either side of a mention. Terms at or over
+`generalise` are replaced by their class, terms at or over `remove` are removed, wherever they stand in a text that mentions
+the entity.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 TERM = r"[\p{L}\p{N}]+"
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Production parameters: words to either side of a mention, characters read for them, distinct contexts that a term must
-#: share with an entity, disclosed shares of information, candidate terms that may be broadcast.
+#: Production parameters: words to either side of a mention, distinct contexts that a term must share with an entity (with
+#: fewer nothing can be estimated), disclosed shares of information, candidate terms that may be broadcast.
 CONTEXT_WORDS = 8
-CONTEXT_CHARS = 160
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 200_000
@@ -55,56 +55,60 @@ def base_spans(t: Column) -> Column:
     )
 
 
-def _around(t: Column, s: Column) -> Column:
-    """The terms of the context of span s: array<struct<start, end, term>>, offsets in the whole text."""
-    left = F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS)
-    before = spans(F.substring(t, left + 1, s["start"] - left), TERM, "term", 4)
-    after = spans(F.substring(t, s["end"] + 1, F.lit(CONTEXT_CHARS)), TERM, "term", 4)
-    # a term that touches the edge of what was read may be cut
-    inner = F.filter(before, lambda x: (x["start"] > 0) | (left == 0))
-    near = F.slice(F.reverse(inner), 1, CONTEXT_WORDS)
-    right = F.slice(F.filter(after, lambda x: (x["end"] < CONTEXT_CHARS)), 1, CONTEXT_WORDS)
-    shift = lambda arr, by: F.transform(arr, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["hit"]).alias("term")))
-    return F.concat(shift(near, left), shift(right, s["end"]))
-
-
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, entity, terms: one row per match of a fixed pattern, copies of a text once."""
+    """doc_id, text_key, entity, terms: one row per match of a fixed pattern, with the terms beside it.
+
+    Terms are lower-cased words, at most CONTEXT_WORDS to either side, up to the next match.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
     found = settled(docs.select("doc_id", t.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base")), F.size("base") > 0)
-    clear = lambda terms, base: F.filter(terms, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return found.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_key"), "t", "base", F.explode_outer("base").alias("s")).select(
-        "doc_id", "text_key", F.concat_ws(":", F.col("s.kind"), F.lower("s.hit")).alias("entity"), clear(_around(F.col("t"), F.col("s")), F.col("base")).alias("terms")
-    )
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))
+    between = lambda begin, end: F.substring(F.col("t"), begin + 1, F.greatest(F.lit(0), end - begin))
+    sides = F.transform(
+        "base",
+        lambda s, i: F.struct(
+            s.alias("s"), F.when(i > 0, F.get("base", i - 1)["end"]).otherwise(0).alias("from"),
+            F.coalesce(F.get("base", i + 1)["start"], F.length("t")).alias("to"),
+        ),
+    )
+    each = found.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_key"), "t", F.explode_outer(sides).alias("x"))
+    before, after = words(between(F.col("x.from"), F.col("x.s.start"))), words(between(F.col("x.s.end"), F.col("x.to")))
+    near = F.concat(F.slice(F.reverse(before), 1, CONTEXT_WORDS), F.slice(after, 1, CONTEXT_WORDS))
+    return each.select("doc_id", "text_key", F.concat_ws(":", F.col("x.s.kind"), F.lower("x.s.hit")).alias("entity"), near.alias("terms"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, disclosed, action: what the corpus says about terms in contexts of protected entities.
+    """entity, term, disclosed, action: what the corpus says about terms beside protected entities.
 
-    Equal contexts count once, so copies of a document are one witness. An entity with fewer than min_contexts distinct
-    contexts cannot be judged and gives no terms.
+    The unit is the distinct text, so copies of a document are one witness. A term that shares fewer than min_contexts distinct
+    contexts with an entity is not judged.
     """
-    context = F.md5(F.array_join(F.transform("terms", lambda x: x["term"]), " ").cast("binary"))
-    seen = found.select("entity", context.alias("context"), F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_contexts)
-    per_entity = found.select("entity", context.alias("context")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    # a term's documents are at least those whose contexts hold it; with more than this many it cannot reach the threshold
-    n_docs = max(docs.count(), 1)
-    near = found.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).distinct()
-    at_least = near.groupBy("term").agg(F.count(F.lit(1)).alias("at_least"))
-    most = F.col("both") * F.pow(F.lit(float(n_docs)) / F.col("of_entity"), F.lit(1 - generalise))
+    context = F.xxhash64("terms")
+    beside = found.select("text_key", "entity", context.alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
+    seen = beside.groupBy("entity", "term", "text_key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
+    # distinct contexts: copies of a text have equal ones, and a text with several adds at most two here
+    apart = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.size(F.collect_set("low")).alias("lows"), F.size(F.collect_set("high")).alias("highs"))
+    pairs = apart.where(F.greatest("lows", "highs") >= min_contexts).select("entity", "term", "both")
+    per_entity = found.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    # a term's texts are at least those whose contexts hold it; with more than this many it cannot reach the threshold
+    n_texts = max(docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).distinct().count(), 1)
+    at_least = beside.select("term", "text_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("at_least"))
+    most = F.col("both") * F.pow(F.lit(float(n_texts)) / F.col("of_entity"), F.lit(1 - generalise))
     candidates = stash(
         pairs.join(per_entity, "entity").join(at_least, "term").where(F.col("at_least") <= F.ceil(most)).drop("at_least"), "pii-candidates"
     )
-    terms = candidates.select("term").distinct()
+    terms = stash(candidates.select("term").distinct(), "pii-terms")
     n_terms = terms.count()
-    said = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    # a checked size decides; beyond it the join shuffles the terms of the corpus, after the aggregation has begun
-    known = said.join(F.broadcast(terms), "term", "left_semi") if n_terms <= BROADCAST_TERMS else said.groupBy("term").agg(F.count(F.lit(1)).alias("c")).join(terms, "term", "left_semi")
-    frequency = known.groupBy("term").agg((F.count(F.lit(1)) if n_terms <= BROADCAST_TERMS else F.sum("c")).alias("of_term"))
     if n_terms == 0:
         frequency = terms.select("term", F.lit(1).cast("long").alias("of_term"))
-    n = F.lit(float(n_docs))
+    else:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        held = docs.select(F.md5(text.cast("binary")).alias("text_key"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("ts"))
+        said = held.select("text_key", F.explode_outer("ts").alias("term"))
+        # a checked size decides whether the candidates are sent to the scan; only rows of candidates are shuffled then
+        known = said.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term", "left_semi")
+        frequency = known.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    n = F.lit(float(n_texts))
     pmi = F.log(F.col("both") * n / (F.col("of_term") * F.col("of_entity")))
     ic = -F.log(F.least(F.col("of_entity") / n, F.lit(1.0)))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
@@ -117,14 +121,28 @@ def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEX
 
 
 def added_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, added: the terms to sanitise, by document and text; only documents that have some."""
+    """doc_id, text_key, added, removed: the terms to sanitise, by document and text; only documents that have some.
+
+    A term is looked for in the whole text of every document that mentions an entity it discloses; what touches a fixed span
+    stays as it is.
+    """
     found = stash(mentions(docs), "pii-mentions")
     told = disclosing(docs, found)
-    each = found.select("doc_id", "text_key", "entity", F.explode("terms").alias("x")).select("doc_id", "text_key", "entity", "x.start", "x.end", "x.term")
-    hit = each.join(told, ["entity", "term"]).select(
-        "doc_id", "text_key", F.struct(F.col("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), F.col("end")).alias("s"), "action"
-    )
-    return stash(hit.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("added"), F.collect_set(F.when(F.col("action") == "remove", F.col("s"))).alias("removed")), "pii-added")
+    of_doc = found.select("doc_id", "text_key", "entity").distinct().join(told, "entity")
+    wanted = stash(
+        of_doc.groupBy("doc_id", "text_key").agg(
+            F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("gone")
+        ),
+        "pii-wanted",
+    )
+    t = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("doc_id", t.alias("t"), F.md5(t.cast("binary")).alias("text_key")).withColumnsRenamed({"doc_id": "__id", "text_key": "__tk"})
+    met = keyed.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__tk") == F.col("text_key"))).drop("__id", "__tk").dropDuplicates(["doc_id", "text_key"])
+    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    all_ = met.select("doc_id", "text_key", "terms", "gone", base_spans(F.col("t")).alias("base"), spans(F.col("t"), TERM, "term", 4).alias("ts"))
+    hit = all_.select("doc_id", "text_key", "gone", F.filter("ts", lambda s: F.array_contains("terms", F.lower(s["hit"])) & free(s)).alias("hit"))
+    gone = F.filter("hit", lambda s: F.array_contains("gone", F.lower(s["hit"])))
+    return stash(hit.select("doc_id", "text_key", bare(F.col("hit")).alias("added"), bare(gone).alias("removed")), "pii-added")
 
 
 def find(docs: DataFrame, keep_cols: tuple[str, ...] = ("doc_id",), extra: dict[str, Column] | None = None) -> DataFrame:
@@ -155,12 +173,22 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def term_class(term: Column) -> Column:
+    """What a term is generalised to: number, code (letters and digits), name (capitalised) or word."""
+    return (
+        F.when(term.rlike(r"^\p{N}+$"), "[number]").when(term.rlike(r"\p{N}"), "[code]").when(term.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+    )
+
+
 def redact(text: Column, found: Column, removed: Column) -> Column:
-    """The text with each span replaced by [kind] and removed terms by nothing; what overlaps is replaced once."""
+    """The text with each fixed span replaced by [kind], terms by their class, removed terms by nothing; what overlaps is
+    replaced once."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        put = F.when(F.array_contains(removed, s), F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        kind = F.when(s["kind"] == "term", term_class(own)).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        put = F.when(F.array_contains(removed, s), F.lit("")).otherwise(kind)
         gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
         return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], gap, put).alias("out"))).otherwise(
             F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
