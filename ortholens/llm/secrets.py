@@ -21,7 +21,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-+/"
-CANDIDATE = r"[A-Za-z0-9_+/-]{20,}"
+CANDIDATE = r"[A-Za-z0-9_+/-]{16,}"
 #: Production parameters: documents that ordinary identifiers are drawn from (expected number), random strings made,
 #: least mean log-likelihood ratio per transition.
 FIT_DOCUMENTS = 2_000
@@ -43,13 +43,24 @@ def random_strings(spark, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_identifiers(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
-    """Labelled examples of identifiers: the letter runs of a hash sample of about fit_documents rows, alone and joined."""
+    """Labelled examples of identifiers, from the words of a hash sample of about fit_documents rows: alone, joined, and with
+    what ordinary names carry: dates, counters, versions, paths, record numbers in groups."""
     n = max(docs.count(), 1)
     part = min(1.0, fit_documents / n)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select(F.coalesce("text", F.lit("")).alias("t"))
-    return chosen.select(F.explode_outer(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}(?:[_ /-][A-Za-z]{3,}){0,3}"), F.lit(0))).alias("token")).select(
-        F.translate("token", " ", "_").alias("token")
-    )
+    said = chosen.select(F.explode_outer(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}(?:[_ /-][A-Za-z]{3,}){0,3}"), F.lit(0))).alias("token")).where("token is not null")
+    x = F.pmod(F.xxhash64("token"), F.lit(1 << 40))
+    number = lambda k, digits: F.lpad(F.pmod(F.shiftright(x, k), F.lit(10**digits)).cast("string"), digits, "0")
+    low = F.pmod(F.shiftright(x, 3), F.lit(1000)).cast("string")
+    date = F.concat_ws("-", F.concat(F.lit("20"), number(5, 2)), F.lpad((F.pmod(x, F.lit(12)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(F.shiftright(x, 7), F.lit(28)) + 1).cast("string"), 2, "0"))
+    word = F.lower(F.translate("token", " ", "_"))
+    group = F.sha2("token", 256)
+    uuid = F.concat_ws("-", *(F.substring(group, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    kinds = F.array(
+        F.translate("token", " ", "_"), F.translate("token", " ", "_"), F.concat_ws("-", word, date), F.concat_ws("-", word, F.lpad(low, 5, "0")),
+        F.concat_ws("/", date, word), F.concat_ws("_", word, low), F.concat_ws("/", F.lit("part-00000"), date, F.lpad(low, 6, "0")), uuid,
+    )
+    return said.select(F.get(kinds, F.pmod(F.shiftright(x, 11), F.lit(8)).cast("int")).alias("token"))
 
 
 def transition_counts(tokens: DataFrame, label: str) -> DataFrame:
@@ -100,7 +111,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
     """keep_cols, n_assign, n_access, n_hex, n_random, found: array<struct<start, rank, kind, end>>, one row per input row.
 
     Null text is empty and has no span. Repeated rows are each scanned. The model adds spans of kind `random`, each a token
-    of 20 or more characters that no fixed pattern touches; fixed spans stay whatever the model says.
+    of 16 or more characters that no fixed pattern touches; fixed spans stay whatever the model says.
     """
     ratios = train(docs) if ratios is None else ratios
     text = F.coalesce(F.col("text"), F.lit(""))
