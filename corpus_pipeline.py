@@ -33,8 +33,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, by output shard."""
-    return mix(docs)
+    """The documents' texts with what each output shard takes of them."""
+    return mix(docs, with_text=True)
 
 
 STAGES = [
