@@ -94,6 +94,38 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.keep_first(twice).count() == 4  # both rows of 0 and the two without id
 
 
+def test_one_bucket_of_unlike_nodes_stays_linear(spark, monkeypatch):
+    """Nodes that share one bucket but nothing else meet the fullest one and a few leads, not each other."""
+    judged = []
+    real = near_dedup.verified
+
+    def counted(likely, *args):
+        judged.append(likely.count())
+        return real(likely, *args)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    monkeypatch.setattr(near_dedup, "POSSIBLE", 0.0)
+    rnd = random.Random(8)
+    for n in (60, 240):
+        judged.clear()
+        d = docs(spark, [prose(rnd, 30) for _ in range(n)])
+        rows = [(k, [rnd.randrange(1 << 30) for _ in range(near_dedup.SAMPLES)], [7] + [rnd.randrange(1 << 60) for _ in range(near_dedup.BANDS - 1)]) for k in range(n)]
+        nodes = spark.createDataFrame(rows, "node long, sig array<int>, keys array<bigint>")
+        sent = spark.sparkContext.broadcast(near_dedup.Weights(*near_dedup.frequent_shingles(d)))
+        assert near_dedup.links(nodes, d, sent).count() == 0
+        assert sum(judged) <= n * (1 + near_dedup.LEADS)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Copies of one text with edits of their own: all that are similar to the text are in one class, whatever the group's size."""
+    rnd = random.Random(12)
+    hub = prose(rnd, 150)
+    for n in (20, 150):
+        texts = [hub] + [edited(rnd, hub, 1 + k % 2) for k in range(n)] + [prose(rnd, 60) for _ in range(30)]
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+        assert all(got[k] == 0 for k in range(n + 1)) and all(got[k] == k for k in range(n + 1, len(texts)))
+
+
 # -- passages -----------------------------------------------------------------------------------------------------------
 
 
@@ -181,6 +213,19 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in quality_knn.score(edge, labels.limit(0)).collect()} == {0.5}
 
 
+BIG = 1 << 60
+
+
+def test_large_ids_beside_nulls(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze"] * 6
+    d = docs(spark, texts, ["en", "de"] * 6).withColumn("doc_id", F.col("doc_id") + BIG + 1)
+    d = d.unionByName(docs(spark, ["the bird", None]).withColumn("doc_id", F.lit(None).cast("long")))
+    want = sorted(str(r["doc_id"]) for r in d.collect())
+    labels = d.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    for got in (language_id.identify(d), quality_knn.score(d, labels)):
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == want and dict(got.dtypes)["doc_id"] == "bigint"
+
+
 # -- archives -----------------------------------------------------------------------------------------------------------
 
 
@@ -206,6 +251,16 @@ def test_broken_segments_are_reported(spark, tmp_path):
     assert r["page_id"] == 1 and not r["intact"] and r["payload_digest"] is None
 
 
+def test_page_ids_stay_exact(spark, tmp_path):
+    rows = [(BIG + k, "u", "z" * 300) for k in (1, 3, 5)] + [(None, "u", "q" * 50)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(p).collect()}
+    assert got == {(BIG + 1, "response", None), (BIG + 3, "revisit", BIG + 1), (BIG + 5, "revisit", BIG + 1), (None, "response", None)}
+    text = "".join(r["value"] for r in warc.records(p).collect())
+    named = [x.split("<")[1].split(">")[0] for x in text.split("\r\n") if x.startswith("WARC-Refers-To")]
+    assert len(named) == 2 and all(f"WARC-Record-ID: <{x}>" in text for x in named)
+
+
 def test_chunks():
     assert warc.dechunk(b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n") == b"abcde"
     for bad in (b"3\r\nab", b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabc\r\n"):

@@ -105,6 +105,28 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert [got[k] for k in range(6)] == [0, 0, 0, 1, 1, 1]
 
 
+def test_identifiers_with_digits_are_no_secrets(spark):
+    corpus = docs(spark, ["the user opens current profile configuration manager support instance names get international and more words here"] * 60)
+    ratios = secrets.train(corpus.withColumn("text", F.concat_ws(" ", "text", F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"))))
+    plain = ["order-2024-01-15-batch-00042", "2024-01-01/2024-12-31/part-00001", "550e8400-e29b-41d4-a716-446655440000"]
+    noise = ["qX7zK9vB2mN4pL8r", "Zm9vYmFyMTIzNDU2Nzg5MHF3ZXJ0"]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(docs(spark, [f"x {w} y" for w in plain + noise]), ratios).collect()}
+    assert [got[k] for k in range(5)] == [0, 0, 0, 1, 1]
+
+
+def test_terms_are_found_in_the_whole_text_and_copies_count_once(spark):
+    rnd = random.Random(6)
+    filler = [f"word{k}" for k in range(400)]
+    say = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    told = [f"{say(12)} Zarathustra writes from zed@example.com about {say(40)} and Zarathustra again" for _ in range(4)]
+    plain = [f"{say(30)} writes from home about {say(5)}" for _ in range(200)]
+    d = docs(spark, told * 3 + plain)  # each told text three times
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert all("Zarathustra" not in out[k] for k in range(12))
+    kinds = spark.range(1).select(*(pii.term_class(F.lit(x)).alias(k) for k, x in (("a", "12"), ("b", "x1"), ("c", "Anna"), ("d", "anna")))).first()
+    assert tuple(kinds) == ("[number]", "[code]", "[name]", "[word]")
+
+
 def test_disclosing_terms_are_sanitised(spark):
     rnd = random.Random(3)
     filler = [f"word{k}" for k in range(400)]
