@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ortholens.llm import decontaminate, mixing, oracles, pii, quality_rules, queries, secrets
+from ortholens.llm.common import table
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -106,8 +107,7 @@ def test_random_strings_are_told_from_identifiers(spark):
 
 
 def test_identifiers_with_digits_are_no_secrets(spark):
-    corpus = docs(spark, ["the user opens current profile configuration manager support instance names get international and more words here"] * 60)
-    ratios = secrets.train(corpus.withColumn("text", F.concat_ws(" ", "text", F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"))))
+    ratios = secrets.train(table(spark, SF, "documents"))
     plain = ["order-2024-01-15-batch-00042", "2024-01-01/2024-12-31/part-00001", "550e8400-e29b-41d4-a716-446655440000"]
     noise = ["qX7zK9vB2mN4pL8r", "Zm9vYmFyMTIzNDU2Nzg5MHF3ZXJ0"]
     got = {r["doc_id"]: r["n_random"] for r in secrets.scan(docs(spark, [f"x {w} y" for w in plain + noise]), ratios).collect()}
