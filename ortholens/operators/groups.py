@@ -193,7 +193,7 @@ def pattern_by_state(df: DataFrame, conditions: dict[str, tuple[str, ...]], at_m
 
 def seeded_sample(df: DataFrame, key: str, n: int = 100, seed: int = 1234) -> DataFrame:
     """n rows, the same for the same seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def filter_groups(df: DataFrame, group_ids: list) -> DataFrame:

@@ -175,6 +175,7 @@ _CONS = "cons AS (SELECT concat_ws('-', p.group_id, r.group_id, t.group_id) AS g
 _EDGES = "e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09)"
 
 ORACLES = {
+    "seeded_sample": with_views("pred") + " SELECT group_id, spp, gene FROM pred ORDER BY md5('1234:' || gene), gene LIMIT 100",
     "pair_benchmark": _PAIR.replace("{saved}", "false"),
     "pair_benchmark_rescue": _PAIR.replace("{saved}", "saved"),
     "misplaced_genes": _PAIR[: _PAIR.index("pp AS (")].rstrip().rstrip(",") + "\nSELECT m.pred, spp, gene, ref, main FROM m JOIN mg USING (pred) WHERE ref <> main",

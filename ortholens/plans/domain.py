@@ -43,7 +43,7 @@ def gtf_attributes(s, d):
 
 def gff_to_gtf(s, d):
     a = F.concat(F.lit("ID=mRNA."), F.col("l_partkey").cast("string"), F.lit(";Name="), F.col("l_returnflag"), F.lit(";Parent=gene."), F.col("l_orderkey").cast("string"))
-    r = _line(s, d).where("l_quantity > 40").select(a.alias("attributes"), F.lit("mRNA").alias("feature"))
+    r = _line(s, d).select(a.alias("attributes"), F.lit("mRNA").alias("feature"))
     gene = F.regexp_extract("attributes", "Parent=([^;]+)", 1)
     return r.select(attrs.gff_feature(F.col("feature")).alias("feature"), attrs.gff_to_gtf(F.col("feature"), F.col("attributes"), gene).alias("attributes")).groupBy("feature", "attributes").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,7 +118,7 @@ def wide_roundtrip(s, d):
 
 def loose_groups(s, d):
     path = shared_path(s, "loose")
-    writers.write_group_lines(lines(s, d).where("group_id % 4 = 0"), path)
+    writers.write_group_lines(lines(s, d), path)
     known = lines(s, d).select(F.col("gene").cast("string").alias("gene"))
     return readers.read_loose_groups(s, path, known)
 
@@ -131,7 +131,7 @@ def partition_roundtrip(s, d):
 
 def number_models(s, d):
     v = F.concat_ws(" ", F.concat(F.lit("c"), F.expr("cast(l_suppkey % 7 as string)")), F.lit("RF"), F.col("l_returnflag"), F.lit("1"), F.lit("9"), _days().cast("string"), (_days() + F.col("l_quantity").cast("long")).cast("string"), F.lit("-"), F.col("l_linestatus"))
-    raw = _line(s, d).where("l_quantity >= 48").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("line"), v.alias("value"))
+    raw = _line(s, d).select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("line"), v.alias("value"))
     return annotation.number_models(readers.parse_cmscan(raw).withColumn("kind", F.col("description")))
 
 
@@ -324,7 +324,7 @@ def symbol_fallback(s, d):
 
 
 def symbols_per_group(s, d):
-    return hits.symbols_per_group(symbol_fallback(s, d).where("gene % 10 = 0"))
+    return hits.symbols_per_group(symbol_fallback(s, d))
 
 
 def term_counts(s, d):
@@ -417,7 +417,7 @@ UNION ALL SELECT 'exon', g, count(*) FROM (SELECT DISTINCT o, n, CASE WHEN f = '
     "noncoding_transcripts": "SELECT doc_id::VARCHAR AS transcript_id, substr(text, 5, 5) || substr(text, 51, 10) AS seq FROM documents WHERE length(text) >= 400 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0",
     "filter_by_ids": "SELECT p_partkey || '.2' AS seq_id, p_name AS seq FROM part WHERE p_partkey % 3 = 0",
     "gtf_attributes": """SELECT DISTINCT 'G' || l_orderkey AS gene_id, 'P' || l_partkey || '.' || l_linenumber AS isoform, count(*) OVER (PARTITION BY l_orderkey) AS n_records, max(l_linestatus) OVER (PARTITION BY l_orderkey) AS last_note FROM lineitem""",
-    "gff_to_gtf": """SELECT 'transcript' AS feature, 'gene_id "' || l_orderkey || '"; transcript_id "' || l_partkey || '"; gene_name "' || l_returnflag || '";' AS attributes, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY ALL""",
+    "gff_to_gtf": """SELECT 'transcript' AS feature, 'gene_id "' || l_orderkey || '"; transcript_id "' || l_partkey || '"; gene_name "' || l_returnflag || '";' AS attributes, count(*) AS n FROM lineitem GROUP BY ALL""",
     "merge_annotations": f"""WITH {_FEATURES} SELECT chrom, gene_id, feature, start, "end", source, row_number() OVER (PARTITION BY chrom ORDER BY gs, ge, gene_id, CASE feature WHEN 'gene' THEN 0 WHEN 'transcript' THEN 1 ELSE 2 END, start, "end", source) AS place
 FROM (SELECT *, min(start) OVER (PARTITION BY gene_id) AS gs, max("end") OVER (PARTITION BY gene_id) AS ge FROM f)""",
     "noncoding_genes": f"WITH {_FEATURES} SELECT gene_id FROM f GROUP BY gene_id HAVING count(*) FILTER (feature = 'CDS') = 0",
@@ -426,9 +426,9 @@ FROM (SELECT *, min(start) OVER (PARTITION BY gene_id) AS gs, max("end") OVER (P
     "longest_per_key": "SELECT source, lang, doc_id, length(text)::BIGINT AS n FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) = 1",
     "fasta_roundtrip": "SELECT 'D' || doc_id AS seq_id, lang AS gene, source AS transcript, length(q)::BIGINT AS length, md5(q) AS seq_md5 FROM (SELECT *, regexp_replace(text, '[^A-Za-z]', '', 'g') AS q FROM documents) WHERE q <> ''",
     "wide_roundtrip": with_views("pred") + " SELECT group_id::VARCHAR AS group_id, spp, gene::VARCHAR AS gene FROM pred",
-    "loose_groups": with_views("lines") + " SELECT DISTINCT group_id::VARCHAR AS group_id, gene::VARCHAR AS gene FROM lines WHERE group_id % 4 = 0",
+    "loose_groups": with_views("lines") + " SELECT DISTINCT group_id::VARCHAR AS group_id, gene::VARCHAR AS gene FROM lines",
     "partition_roundtrip": with_views("lines") + " SELECT DISTINCT gene::VARCHAR AS gene, group_id FROM lines WHERE group_id % 400 = 0",
-    "number_models": f"""WITH h AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, 'c' || (l_suppkey % 7) AS chrom, l_linestatus AS kind, {_DAYS} AS start, {_DAYS} + l_quantity::BIGINT AS "end" FROM lineitem WHERE l_quantity >= 48),
+    "number_models": f"""WITH h AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, 'c' || (l_suppkey % 7) AS chrom, l_linestatus AS kind, {_DAYS} AS start, {_DAYS} + l_quantity::BIGINT AS "end" FROM lineitem),
 n AS (SELECT *, 'ncRNA-' || kind || '-' || row_number() OVER (PARTITION BY kind ORDER BY chrom, start, "end", line) AS id FROM h)
 SELECT id, feature, kind, chrom, start, "end" FROM n, (VALUES ('gene'), ('transcript'), ('exon')) AS v(feature)""",
     "lift_to_contigs": f"""WITH {_INTERVALS}, x AS (SELECT *, (start - 1) // 200 AS k FROM iv WHERE (start - 1) // 200 = ("end" - 1) // 200 AND (start - 1) // 200 <= 13)
@@ -495,7 +495,7 @@ UNION ALL SELECT x.group_id, x.gene, y.gene, s, false FROM m JOIN c x ON x.gene
     "length_regression": """SELECT l_returnflag, l_linestatus, any_value(c) AS n, round(regr_slope(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS slope,
  round(regr_intercept(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS intercept, round(regr_r2(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS r2 FROM (SELECT *, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS c FROM lineitem) WHERE l_partkey > 0 GROUP BY l_returnflag, l_linestatus""",
     "symbol_fallback": f"WITH {_SYM} SELECT * FROM sy",
-    "symbols_per_group": f"WITH {_SYM} SELECT group_id, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol), '') AS symbols FROM sy WHERE gene % 10 = 0 GROUP BY group_id",
+    "symbols_per_group": f"WITH {_SYM} SELECT group_id, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol), '') AS symbols FROM sy GROUP BY group_id",
     "term_counts": """WITH t AS (SELECT DISTINCT event_type AS symbol, 'GO:' || (user_id % 5) AS go_id, 't' || (user_id % 5) AS term FROM events WHERE user_id % 2 = 0)
 SELECT go_id, term, count(*) AS n FROM events JOIN t ON symbol = event_type GROUP BY ALL""",
 }
