@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ortholens.sources.shared import shared_dir
+
 #: One white-space character as the contracts define it, and a run of them.
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = BLANK + "+"
@@ -17,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-ortholens-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
