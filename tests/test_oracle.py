@@ -6,11 +6,11 @@ import os
 
 import pytest
 
-from ortholens.plans import core, domain
+from ortholens.plans import core, domain, files
 from tests.oracle import connect, same
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = core.QUERIES | domain.QUERIES, core.ORACLES | domain.ORACLES
+QUERIES, ORACLES = core.QUERIES | domain.QUERIES | files.QUERIES, core.ORACLES | domain.ORACLES | files.ORACLES
 
 
 @pytest.fixture(scope="module")
