@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ortholens.functions.maths import f1, precision, ratio, recall
-from ortholens.operators.groups import GENE, exclude_single_species
+from ortholens.operators.groups import GENE, exclude_single_species, top_repeated
 
 SUBSET_PURITY = 0.9
 
@@ -160,3 +160,20 @@ def paralog_evidence(pred: DataFrame, ref: DataFrame) -> DataFrame:
     main = main_groups(m).select("pred", "main")
     has = m.join(main, "pred").where("ref = main").select("pred", "spp").distinct().withColumn("spp_in_main", F.lit(True))
     return paralog_pairs(pred, ref).join(has, ["pred", "spp"], "left").na.fill(False, ["spp_in_main"])
+
+
+def paralog_species(pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """spp, n_genes, n_in_main, tp_pairs, fp_pairs: paralog_evidence by species."""
+    return paralog_evidence(pred, ref).groupBy("spp").agg(
+        F.count(F.lit(1)).alias("n_genes"), F.count_if("spp_in_main").alias("n_in_main"), F.sum("tp_pairs").alias("tp_pairs"), F.sum("fp_pairs").alias("fp_pairs")
+    )
+
+
+def assert_valid(pred: DataFrame, genes: DataFrame, least: float = 50.0, top: int = 10) -> None:
+    """Raises if pred covers less than `least` percent of genes, or genes are in several groups (`top` of them are named)."""
+    n = {r["check"]: r["n"] for r in validate_groups(pred, genes).collect()}
+    if (n["coverage percent"] or 0) < least:
+        raise ValueError(f"only {n['coverage percent'] or 0} percent of the genes are in groups")
+    if n["genes in several groups"]:
+        worst = ", ".join(f"{r['gene']} ({r['n_groups']})" for r in top_repeated(pred, top).collect())
+        raise ValueError(f"{n['genes in several groups']} genes are in several groups: {worst}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ortholens.functions.maths import pct
+from ortholens.operators.bench import majority_groups
 from ortholens.operators.groups import GENE, multigrouped, overlap, profile, sizes
 
 NEAR = 100
@@ -103,6 +104,20 @@ def missing_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, di
     )
 
 
+def split_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
+    """group_id, spp, gene, pred, majority, reason, distance of genes outside the predicted group that most genes of their
+    species in the group are in; the distance is that to its nearest member."""
+    m = groups.select("group_id", *GENE).distinct().join(pred.select(F.col("group_id").alias("pred"), *GENE).distinct(), GENE)
+    best = majority_groups(m.withColumnRenamed("group_id", "ref")).select(F.col("ref").alias("group_id"), "spp", F.col("pred").alias("majority"))
+    rows = m.join(best, ["group_id", "spp"]).join(positions.select(*GENE, "chrom", "idx"), GENE, "left")
+    placed = nearest_member(rows.withColumn("is_member", F.col("pred") == F.col("majority"))).where("not is_member")
+    reason = (
+        F.when(F.col("idx").isNull(), "Not in Annotation").when(F.col("distance").isNull(), "Different Chromosome")
+        .when(F.col("distance") <= dist, "Sequence Similarity").otherwise("Distance")
+    )
+    return placed.select("group_id", *GENE, "pred", "majority", reason.alias("reason"), F.when(F.col("idx").isNotNull(), F.col("distance")).alias("distance"))
+
+
 def superset_detail(other: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
     """group_id, the number of un-grouped genes by reason, and whether all, some or none of their species are missing."""
     sup = classify_other(other, pred).where("label = 'Superset'").select("group_id")
@@ -172,6 +187,17 @@ def split_cause(groups: DataFrame, positions: DataFrame, gap: int = 150) -> Data
     return out.select("*", F.when((F.col("n_multi_chrom") > 1) | (F.col("n_wide") > 1), "synteny").otherwise("sequence").alias("cause"))
 
 
+def missing_cause(groups: DataFrame, pred: DataFrame, positions: DataFrame, near: int = 150) -> DataFrame:
+    """group_id, spp, gene, cause of placed genes that pred lacks: sequence if within `near` indices of the first or last gene
+    of their group, species and chromosome that pred has, else synteny."""
+    placed = groups.select("group_id", *GENE).distinct().join(positions.select(*GENE, "chrom", "idx"), GENE)
+    has = placed.join(pred.select(*GENE), GENE, "left_semi")
+    ends = has.groupBy("group_id", "spp", "chrom").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    lost = placed.join(pred.select(*GENE), GENE, "left_anti").join(ends, ["group_id", "spp", "chrom"], "left")
+    close = F.least(F.abs(F.col("idx") - F.col("first")), F.abs(F.col("idx") - F.col("last"))) <= near
+    return lost.select("group_id", *GENE, F.when(close, "sequence").otherwise("synteny").alias("cause"))
+
+
 def two_method_report(pred: DataFrame, other: DataFrame) -> DataFrame:
     """group_id, relation, detail of each other-group against pred, with the cases of subsets and supersets told apart."""
     n = overlap(other, pred)

@@ -141,14 +141,21 @@ def duplicate_groups(groups: DataFrame) -> DataFrame:
 
 
 def coverage(genes: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """spp (null: all), n_genes, in_a, in_b, paralogous_b, multigrouped_b, pct_a, pct_b: annotated genes that groupings hold."""
+    """spp (null: all), n_genes, in_a, in_b, paralogous_b, single_b (in_b but not paralogous), multigrouped_b, pct_a, pct_b:
+    annotated genes that groupings hold; out_a, out_b: grouped genes that are not annotated."""
     flag = lambda df, name: df.select(*GENE).distinct().withColumn(name, F.lit(1))
     all_ = (
-        genes.select(*GENE).distinct().join(flag(a, "fa"), GENE, "left").join(flag(b, "fb"), GENE, "left")
+        genes.select(*GENE).unionByName(a.select(*GENE)).unionByName(b.select(*GENE)).distinct()
+        .join(flag(genes, "fg"), GENE, "left").join(flag(a, "fa"), GENE, "left").join(flag(b, "fb"), GENE, "left")
         .join(flag(paralog_genes(b), "fp"), GENE, "left").join(flag(multigrouped(b), "fm"), GENE, "left")
     )
-    n = lambda c: F.count(c)
-    out = all_.rollup("spp").agg(F.count(F.lit(1)).alias("n_genes"), n("fa").alias("in_a"), n("fb").alias("in_b"), n("fp").alias("paralogous_b"), n("fm").alias("multigrouped_b"))
+    known = F.col("fg").isNotNull()
+    n = lambda c: F.count_if(known & F.col(c).isNotNull())
+    out = all_.rollup("spp").agg(
+        F.count("fg").alias("n_genes"), n("fa").alias("in_a"), n("fb").alias("in_b"), n("fp").alias("paralogous_b"),
+        F.count_if(known & F.col("fb").isNotNull() & F.col("fp").isNull()).alias("single_b"), n("fm").alias("multigrouped_b"),
+        F.count_if(~known & F.col("fa").isNotNull()).alias("out_a"), F.count_if(~known & F.col("fb").isNotNull()).alias("out_b"),
+    )
     return out.select("*", pct(F.col("in_a"), F.col("n_genes")).alias("pct_a"), pct(F.col("in_b"), F.col("n_genes")).alias("pct_b"))
 
 

@@ -67,6 +67,9 @@ QUERIES = {
     "pattern_by_state": lambda s, d: groups.pattern_by_state(_states(s, d), {"1-URGENT": ("F", "O"), "2-HIGH": ("O",), "3-MEDIUM": ("F", "P")}, ("1-URGENT", "2-HIGH")),
     "gene_index": lambda s, d: pos(s, d),
     "nearest_member_reason": lambda s, d: compare.missing_reasons(ref(s, d), pred(s, d), pos(s, d)),
+    "split_reasons": lambda s, d: compare.split_reasons(ref(s, d), pred(s, d), pos(s, d), 20),
+    "missing_cause": lambda s, d: compare.missing_cause(ref(s, d), pred(s, d), pos(s, d), 20),
+    "paralog_species": lambda s, d: bench.paralog_species(pred(s, d), ref(s, d)),
     "superset_detail": lambda s, d: compare.superset_detail(ref(s, d), pred(s, d), pos(s, d)),
     "subset_detail": lambda s, d: compare.subset_detail(multi(s, d), pred(s, d)),
     "conflict_detail": lambda s, d: compare.conflict_detail(ref(s, d), pred(s, d), pos(s, d)),
@@ -227,11 +230,13 @@ FROM lines GROUP BY group_id HAVING count(*) > count(DISTINCT (spp, gene // 50))
     "multigrouped": with_views("lines") + " SELECT spp, gene, count(DISTINCT group_id) AS n_groups FROM lines GROUP BY ALL HAVING count(DISTINCT group_id) > 1",
     "paralog_genes": with_views("ref") + " SELECT DISTINCT * FROM ref WHERE group_id IN (SELECT group_id FROM ref GROUP BY 1 HAVING count(DISTINCT spp) = 1)",
     "coverage_rollup": with_views("genes", "pred", "multi") + """,
-f AS (SELECT g.spp, g.gene, EXISTS (SELECT 1 FROM pred p WHERE p.spp = g.spp AND p.gene = g.gene) AS a, EXISTS (SELECT 1 FROM multi p WHERE p.spp = g.spp AND p.gene = g.gene) AS b,
+u AS (SELECT spp, gene FROM genes UNION SELECT spp, gene FROM pred UNION SELECT spp, gene FROM multi),
+f AS (SELECT g.spp, g.gene, EXISTS (SELECT 1 FROM genes p WHERE p.spp = g.spp AND p.gene = g.gene) AS k, EXISTS (SELECT 1 FROM pred p WHERE p.spp = g.spp AND p.gene = g.gene) AS a, EXISTS (SELECT 1 FROM multi p WHERE p.spp = g.spp AND p.gene = g.gene) AS b,
   (spp, gene) IN (SELECT (spp, gene) FROM multi WHERE group_id IN (SELECT group_id FROM multi GROUP BY 1 HAVING count(DISTINCT spp) = 1)) AS pa,
-  (spp, gene) IN (SELECT (spp, gene) FROM multi GROUP BY spp, gene HAVING count(DISTINCT group_id) > 1) AS mu FROM genes g)
-SELECT spp, count(*) AS n_genes, count(*) FILTER (a) AS in_a, count(*) FILTER (b) AS in_b, count(*) FILTER (pa) AS paralogous_b, count(*) FILTER (mu) AS multigrouped_b,
-  round(count(*) FILTER (a) / count(*)::DOUBLE * 100, 2) AS pct_a, round(count(*) FILTER (b) / count(*)::DOUBLE * 100, 2) AS pct_b FROM f GROUP BY ROLLUP (spp)""",
+  (spp, gene) IN (SELECT (spp, gene) FROM multi GROUP BY spp, gene HAVING count(DISTINCT group_id) > 1) AS mu FROM u g)
+SELECT spp, count(*) FILTER (k) AS n_genes, count(*) FILTER (k AND a) AS in_a, count(*) FILTER (k AND b) AS in_b, count(*) FILTER (k AND pa) AS paralogous_b,
+  count(*) FILTER (k AND b AND NOT pa) AS single_b, count(*) FILTER (k AND mu) AS multigrouped_b, count(*) FILTER (a AND NOT k) AS out_a, count(*) FILTER (b AND NOT k) AS out_b,
+  round(count(*) FILTER (k AND a) / count(*) FILTER (k)::DOUBLE * 100, 2) AS pct_a, round(count(*) FILTER (k AND b) / count(*) FILTER (k)::DOUBLE * 100, 2) AS pct_b FROM f GROUP BY ROLLUP (spp)""",
     "gene_overlap_summary": with_views("pred", "ref") + """,
 x AS (SELECT 'all' AS scope, spp, gene, 'a' AS side FROM pred UNION ALL SELECT 'all', spp, gene, 'b' FROM ref
   UNION ALL SELECT 'multi-species', spp, gene, 'a' FROM pred WHERE group_id IN (SELECT group_id FROM pred GROUP BY 1 HAVING count(DISTINCT spp) > 1)
@@ -252,6 +257,20 @@ FROM c a JOIN c b ON a.group_id = b.group_id JOIN c ON c.group_id = a.group_id W
   AND a.state IN ('F', 'O') AND b.state = 'O' AND c.state IN ('F', 'P') AND a.n <= b.n""",
     "gene_index": with_views("genes", "pos") + " SELECT * FROM pos",
     "nearest_member_reason": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _REASON + " SELECT * FROM rs",
+    "split_reasons": with_views("pred", "ref", "genes", "pos") + """,
+m AS (SELECT r.group_id, r.spp, r.gene, p.group_id AS pred FROM ref r JOIN pred p USING (spp, gene)),
+mn AS (SELECT group_id, spp, pred, count(*) AS n FROM m GROUP BY ALL),
+mj AS (SELECT group_id, spp, pred AS majority FROM (SELECT *, row_number() OVER (PARTITION BY group_id, spp ORDER BY n DESC, pred) AS k FROM mn) WHERE k = 1),
+x AS (SELECT m.*, majority, chrom, idx FROM m JOIN mj USING (group_id, spp) LEFT JOIN pos USING (spp, gene)),
+y AS (SELECT a.group_id, a.spp, a.gene, a.pred, a.majority, a.idx, min(abs(a.idx - b.idx)) AS distance
+  FROM x a LEFT JOIN x b ON a.group_id = b.group_id AND a.spp = b.spp AND a.chrom = b.chrom AND b.pred = b.majority WHERE a.pred <> a.majority GROUP BY ALL)
+SELECT group_id, spp, gene, pred, majority, distance,
+  CASE WHEN idx IS NULL THEN 'Not in Annotation' WHEN distance IS NULL THEN 'Different Chromosome' WHEN distance <= 20 THEN 'Sequence Similarity' ELSE 'Distance' END AS reason FROM y""",
+    "missing_cause": with_views("pred", "ref", "genes", "pos") + """,
+x AS (SELECT r.group_id, r.spp, r.gene, chrom, idx, (r.spp, r.gene) IN (SELECT (spp, gene) FROM pred) AS has FROM ref r JOIN pos USING (spp, gene)),
+e AS (SELECT group_id, spp, chrom, min(idx) AS f, max(idx) AS l FROM x WHERE has GROUP BY ALL)
+SELECT x.group_id, x.spp, x.gene, CASE WHEN abs(idx - f) <= 20 OR abs(idx - l) <= 20 THEN 'sequence' ELSE 'synteny' END AS cause
+FROM x LEFT JOIN e ON e.group_id = x.group_id AND e.spp = x.spp AND e.chrom = x.chrom WHERE NOT has""",
     "superset_detail": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _OTHER + "," + _REASON + f""",
 c AS (SELECT group_id, count(*) AS n_missing, {_COUNT_REASONS} FROM rs SEMI JOIN (SELECT group_id FROM lo WHERE label = 'Superset') USING (group_id) GROUP BY group_id)
 SELECT *, CASE WHEN spp_missing = n_missing THEN 'All Missing' WHEN spp_missing > 0 THEN 'Partially Missing' ELSE 'None Missing' END AS tag FROM c""",
@@ -300,3 +319,5 @@ ORACLES |= {
 SELECT round(100 * tp / (tp + fp), 4) AS precision, round(100 * tp / (tp + fn), 4) AS recall, round(200 * tp / (2 * tp + fp + fn), 4) AS f1 FROM t""",
     "filter_groups": with_views("pred") + " SELECT * FROM pred WHERE group_id IN (1, 2, 3, 100)",
 }
+ORACLES["paralog_species"] = f"""SELECT spp, count(*) AS n_genes, count(*) FILTER (spp_in_main) AS n_in_main, sum(tp_pairs)::BIGINT AS tp_pairs, sum(fp_pairs)::BIGINT AS fp_pairs
+FROM ({ORACLES["paralog_evidence"]}) GROUP BY spp"""

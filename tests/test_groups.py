@@ -179,3 +179,17 @@ def test_plans_have_no_python_and_no_cartesian_product(spark):
 
     plan = QUERIES["pair_benchmark"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_groups_that_are_not_valid_raise(spark):
+    from ortholens.operators.bench import assert_valid
+
+    genes = spark.createDataFrame([("a", str(k)) for k in range(4)], "spp string, gene string")
+    good = spark.createDataFrame([("g1", "a", "0"), ("g1", "a", "1"), ("g2", "a", "2")], "group_id string, spp string, gene string")
+    assert_valid(good, genes)
+    with pytest.raises(ValueError, match="percent"):
+        assert_valid(good.where("gene = '0'"), genes)
+    with pytest.raises(ValueError, match=r"several groups: 0 \(2\)"):
+        assert_valid(good.union(spark.createDataFrame([("g2", "a", "0")])), genes)
+    with pytest.raises(ValueError, match="percent"):
+        assert_valid(good.limit(0), genes)
