@@ -162,6 +162,86 @@ def test_compact_windows_hold_each_subsequence_once():
                 assert len(own) == 1 and v[own[0][1]] == v[i : j + 1].min()
 
 
+def test_compact_windows_of_few_values_are_those_of_the_tree():
+    rnd = np.random.RandomState(3)
+
+    def tree(v, l, r, least):
+        if r - l < least:
+            return []
+        c = l + int(v[l:r].argmin())
+        return [(l, c, r - 1), *tree(v, l, c, least), *tree(v, c + 1, r, least)]
+
+    for n in (0, 1, 5, 40, 200):
+        for kinds in (1, 2, 7, 1000):
+            v = rnd.randint(0, kinds, n)
+            for least in (1, 4, 46):
+                assert sorted(substring_dedup.compact_windows(v, least)) == sorted(tree(v, 0, n, least))
+    assert len(substring_dedup.compact_windows(np.ones(300_000), 46)) == 300_000 - 45
+
+
+def test_likeness_is_the_jaccard_similarity_of_the_ranges():
+    rnd = np.random.RandomState(5)
+    for kinds in (2, 10, 500):
+        a, b = (rnd.randint(0, kinds, n).astype(np.uint64) for n in (80, 60))
+        pair = substring_dedup.Pair(a, b)
+        for _ in range(40):
+            i, k = rnd.randint(0, 79), rnd.randint(0, 59)
+            j, m = rnd.randint(i + 1, 81), rnd.randint(k + 1, 61)
+            x, y = set(a[i:j].tolist()), set(b[k:m].tolist())
+            assert pair.likeness(i, j, k, m) == len(x & y) / len(x | y)
+
+
+def _classes(pairs):
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[root(a)] = root(b)
+    return {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize("of_table", [True, False])
+def test_repeated_passages_against_all_pairs(spark, of_table):
+    if of_table:
+        d = table(spark, SF, "documents")
+    else:  # one passage in many texts, some of them edited at one end, the other or both
+        rnd = random.Random(21)
+        core, texts = prose(rnd, 90), []
+        for k in range(24):
+            w = core.split()
+            if k % 4 == 1:
+                w[:20] = prose(rnd, 20).split()
+            if k % 4 == 2:
+                w[-20:] = prose(rnd, 20).split()
+            if k % 4 == 3:
+                w[k] = "zz"
+            texts.append(prose(rnd, rnd.randrange(0, 60)) + " " + " ".join(w) + " " + prose(rnd, rnd.randrange(0, 60)))
+        d = docs(spark, texts + [prose(rnd, 200) for _ in range(10)])
+    rows = d.select("doc_id", "text").where("doc_id is not null").toPandas()
+    hashes = {int(rows["doc_id"][i]): shingles.shingle_hashes(w) for i, w in shingles.words_of_texts(rows["text"].tolist())}
+    ids = sorted(hashes)
+    near = [(a, b) for a in ids for b in ids if a > b and len(np.intersect1d(hashes[a], hashes[b])) and substring_dedup.passages(hashes[a], hashes[b])]
+    got = substring_dedup.repeated_passages(d).collect()
+    linked = _classes((r["doc_id"], r["mate_doc_id"]) for r in got)
+    assert set(linked) == {x for p in near for x in p} == {r["doc_id"] for r in got}
+    assert all(linked[a] == linked[b] for a, b in near)
+
+
+def test_repeated_passages_of_odd_rows(spark):
+    rnd = random.Random(8)
+    text, other = prose(rnd, 70), prose(rnd, 90)
+    rows = [(1, text), (2, text), (None, text), (3, other), (3, other), (4, "a " * 30_000), (5, "a " * 20_000), (6, None), (7, " "), (2**60 + 1, text)]
+    d = spark.createDataFrame([(*r, 1, 2, "x", "y", 3) for r in rows], "doc_id long, text string, a int, b int, v string, start string, n int")
+    got = substring_dedup.repeated_passages(d).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 4, 5, 2**60 + 1}
+    assert all(r["doc_id"] != r["mate_doc_id"] for r in got)
+
+
 def test_passages_are_found_and_clean_texts_are_not(spark):
     rnd = random.Random(4)
     shared, other = prose(rnd, 55), prose(rnd, 80)
