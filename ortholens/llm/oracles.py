@@ -55,6 +55,28 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM p
 """
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) LEFT JOIN k USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT lang, source, coalesce(sum(n), 0) + any_value(v) AS m FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // m.m::HUGEINT AS p
+      FROM m JOIN k USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+q AS (SELECT l.lang, l.term, 1 + 1000000000::HUGEINT * (l.n::HUGEINT + 1) // (sum(l.n) OVER (PARTITION BY l.lang) + v)::HUGEINT AS q FROM l JOIN v USING (lang)),
+a AS (SELECT x.lang, x.source, y.source AS item FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT 'pair' AS part, a.lang, a.source, a.item, coalesce(f.value, 0)::BIGINT AS value FROM a LEFT JOIN f USING (lang, source, item)
+      UNION ALL SELECT 'term', p.lang, p.source, p.term, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
 OP10 = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
@@ -119,4 +141,4 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 )
 
-ORACLES = {"op10_warc": OP10, "op5_source_mixing": OP5, "op7_quality_rules": OP7}
+ORACLES = {"op10_warc": OP10, "op12_source_divergence": OP12, "op5_source_mixing": OP5, "op7_quality_rules": OP7}

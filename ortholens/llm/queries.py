@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ortholens.llm import decontaminate, language_id, pii, quality_knn, secrets
 from ortholens.llm.common import table
+from ortholens.llm.divergence import divergence
 from ortholens.llm.mixing import mix
 from ortholens.llm.near_dedup import near_classes
 from ortholens.llm.oracles import ORACLES
@@ -55,6 +56,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 
