@@ -5,6 +5,27 @@ from ortholens.llm.secrets import ASSIGN
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
 
+def _op13(rounds: int = 6) -> str:
+    """The rounds written out; all values here are whole and far below 2^53, so that DOUBLE sums are exact."""
+    far = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    assigned = f"SELECT i, pos, k, d FROM (SELECT i, p.pos, k, {far} AS d FROM p JOIN c{{r}} c ON c.pos = p.pos) QUALIFY row_number() OVER (PARTITION BY i, pos ORDER BY d, k) = 1"
+    ctes = [
+        """x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS i, vec_id, label, list_transform(embedding, lambda y: floor(4096 * y::DOUBLE)) AS e
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)""",
+        "p AS MATERIALIZED (SELECT i, pos, e[pos * len(e) // 8 + 1 : (pos + 1) * len(e) // 8] AS v FROM x, range(8) r(pos))",
+        "c0 AS MATERIALIZED (SELECT pos, i - 1 AS k, v AS c FROM p WHERE i <= 16)",
+    ]
+    for r in range(rounds):
+        ctes.append(f"a{r} AS MATERIALIZED ({assigned.format(r=r)})")
+        ctes.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.pos, c.k, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT pos, k, list(f ORDER BY q) AS c FROM
+ (SELECT pos, k, q, floor(sum(v[q]) / count(*)) AS f FROM a{r} JOIN p USING (i, pos), range(1, 9) s(q) GROUP BY ALL) GROUP BY ALL) m ON m.pos = c.pos AND m.k = c.k)""")
+    ctes.append(f"a{rounds} AS MATERIALIZED ({assigned.format(r=rounds)})")
+    ctes.append(f"""e AS (SELECT i, string_agg(format('{{:02x}}', k), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY i)""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ (SELECT sha256(string_agg(c[q]::BIGINT::VARCHAR, ',' ORDER BY pos, k, q)) FROM c{rounds}, range(1, 9) s(q)) AS codebooks_sha256 FROM x JOIN e USING (i)"""
+
+
 OP7 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -141,4 +162,4 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 )
 
-ORACLES = {"op10_warc": OP10, "op12_source_divergence": OP12, "op5_source_mixing": OP5, "op7_quality_rules": OP7}
+ORACLES = {"op10_warc": OP10, "op12_source_divergence": OP12, "op13_vector_codes": _op13(), "op5_source_mixing": OP5, "op7_quality_rules": OP7}

@@ -13,6 +13,7 @@ from ortholens.llm.near_dedup import near_classes
 from ortholens.llm.oracles import ORACLES
 from ortholens.llm.quality_rules import quality_rules
 from ortholens.llm.substring_dedup import repeated_passages
+from ortholens.llm.vector_codes import vector_codes
 from ortholens.llm.warc import round_trip
 
 
@@ -60,6 +61,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -72,6 +77,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
     "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
