@@ -76,6 +76,13 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM p
 """
 
+OP11 = """
+WITH x AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM x q JOIN x c ON q.i <> c.i WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
 OP12 = r"""
 WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -162,4 +169,4 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 )
 
-ORACLES = {"op10_warc": OP10, "op12_source_divergence": OP12, "op13_vector_codes": _op13(), "op5_source_mixing": OP5, "op7_quality_rules": OP7}
+ORACLES = {"op10_warc": OP10, "op11_exact_top_k": OP11, "op12_source_divergence": OP12, "op13_vector_codes": _op13(), "op5_source_mixing": OP5, "op7_quality_rules": OP7}

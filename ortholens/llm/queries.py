@@ -11,6 +11,7 @@ from ortholens.llm.divergence import divergence
 from ortholens.llm.mixing import mix
 from ortholens.llm.near_dedup import near_classes
 from ortholens.llm.oracles import ORACLES
+from ortholens.llm.pivot_search import top_scores
 from ortholens.llm.quality_rules import quality_rules
 from ortholens.llm.substring_dedup import repeated_passages
 from ortholens.llm.vector_codes import vector_codes
@@ -57,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(table(spark, sf_dir, "embeddings"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op11_exact_top_k": op11_exact_top_k,
     "op12_source_divergence": op12_source_divergence,
     "op13_vector_codes": op13_vector_codes,
 }
