@@ -20,6 +20,7 @@ import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 from ortholens.llm.common import stash
 
 #: Postings that a task holds before it spills a run, terms in one block of a run, bytes of text looked at once.
-POSTINGS, BLOCK, PIECE = 400_000, 2_000, 1 << 20
+POSTINGS, BLOCK, PIECE = 1_000_000, 2_000, 1 << 20
 #: Pairs of sources that a task corrects at once, and sums that it holds before it hands them out.
 PAIRS, SUMS = 1_000_000, 500_000
 #: Documents of a language that a kept term needs; ranks reported of part `term`.
 LEAST_DOCS, TOP_TERMS = 3, 200
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_RUN = "shard int, lang string, first binary, terms array<binary>, docs array<bigint>, sizes array<int>, sources array<string>, counts array<bigint>"
+_RUN = "shard int, lang string, first binary, terms binary, docs array<bigint>, sizes array<int>, names array<string>, sources array<int>, counts array<bigint>"
 _FREQ = "lang string, term string, total bigint, sources array<string>, counts array<bigint>"
-_RUN_TYPE = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_RUN_TYPE = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 _FREQ_TYPE = pa.schema([("lang", pa.string()), ("term", pa.string()), ("total", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
@@ -59,24 +60,26 @@ def spilled(docs: Iterable[tuple[str, str, bytes]], shards: int, most: int = POS
     held = 0
 
     def run() -> Iterator[dict]:
-        posted: dict[str, dict[bytes, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
+        posted: dict[str, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        names: dict[str, list[str]] = defaultdict(list)
         for (lang, source), c in counts.items():
-            own = posted[lang]
-            own[b""].append((source, 0))
+            own, code = posted[lang], len(names[lang])
+            names[lang].append(source)
+            own[b""] += code, 0
             for term, n in c.items():
-                own[term].append((source, n))
+                own[term] += code, n
         for lang, own in posted.items():
-            seed, dealt = zlib.crc32(lang.encode()), defaultdict(list)
-            for term in own:
+            seed, dealt, docs = zlib.crc32(lang.encode()), defaultdict(list), found[lang]
+            for term in sorted(own):
                 dealt[zlib.crc32(term, seed) % shards].append(term)
             for shard, terms in dealt.items():
-                terms.sort()
                 for k in range(0, len(terms), BLOCK):
                     part = terms[k : k + BLOCK]
-                    flat = [x for t in part for x in own[t]]
+                    flat = [own[t] for t in part]
+                    both = list(chain.from_iterable(flat))
                     yield {
-                        "shard": shard, "lang": lang, "first": part[0], "terms": part, "docs": [found[lang][t] for t in part], "sizes": [len(own[t]) for t in part],
-                        "sources": [s for s, _ in flat], "counts": [n for _, n in flat],
+                        "shard": shard, "lang": lang, "first": part[0], "terms": b"\0".join(part), "docs": [docs[t] for t in part], "sizes": [len(x) // 2 for x in flat],
+                        "names": names[lang], "sources": both[::2], "counts": both[1::2],
                     }
         counts.clear()
         found.clear()
@@ -96,39 +99,59 @@ def spilled(docs: Iterable[tuple[str, str, bytes]], shards: int, most: int = POS
 
 def merged(blocks: Iterable[dict], least: int = LEAST_DOCS) -> Iterator[dict]:
     """Frequencies of the terms kept, from blocks in order of (shard, lang, first); the empty term always stays."""
-    heap: list[tuple[bytes, int, int, int, dict]] = []
-    place, now, docs, sums = None, None, 0, Counter()
+    heap: list[tuple[bytes, int, Iterator[tuple], tuple]] = []
+    place, now, docs, sums = None, None, 0, {}
+
+    def entries(block: dict) -> Iterator[tuple[bytes, int, list[str], list[int]]]:
+        names, at, counts = block["names"], 0, block["counts"]
+        sources = [names[s] for s in block["sources"]]
+        for term, n, size in zip(block["terms"].split(b"\0"), block["docs"], block["sizes"], strict=True):
+            yield term, n, sources[at : at + size], counts[at : at + size]
+            at += size
 
     def done() -> Iterator[dict]:
-        if now is not None and (docs >= least or now == b""):
+        if docs >= least or now == b"":
             yield {"lang": place[1], "term": now.decode(), "total": sum(sums.values()), "sources": list(sums), "counts": list(sums.values())}
 
     def taken(until: bytes | None) -> Iterator[dict]:
         nonlocal now, docs, sums
         while heap and (until is None or heap[0][0] < until):
-            term, nr, k, at, block = heap[0]
+            term, nr, rest, (_, n, sources, counts) = heap[0]
             if term != now:
                 yield from done()
-                now, docs, sums = term, 0, Counter()
-            docs += block["docs"][k]
-            for j in range(at, at + block["sizes"][k]):
-                sums[block["sources"][j]] += block["counts"][j]
-            if k + 1 < len(block["terms"]):
-                heapq.heapreplace(heap, (block["terms"][k + 1], nr, k + 1, at + block["sizes"][k], block))
+                now, docs, sums = term, n, dict(zip(sources, counts, strict=True))
             else:
+                docs += n
+                for s, c in zip(sources, counts, strict=True):
+                    sums[s] = sums.get(s, 0) + c
+            if (x := next(rest, None)) is None:
                 heapq.heappop(heap)
+            else:
+                heapq.heapreplace(heap, (x[0], nr, rest, x))
 
     for nr, block in enumerate(blocks):
         if (block["shard"], block["lang"]) != place:
             yield from taken(None)
             yield from done()
-            place, now = (block["shard"], block["lang"]), None
+            place, now, docs = (block["shard"], block["lang"]), None, 0
         yield from taken(block["first"])
-        heapq.heappush(heap, (block["first"], nr, 0, 0, block))
+        rest = entries(block)
+        heapq.heappush(heap, (block["first"], nr, rest, next(rest)))
     yield from taken(None)
     yield from done()
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of runs; lists of numbers are cut from whole columns."""
+    flat = {c: (batch.column(c).flatten().to_numpy().tolist(), batch.column(c).value_lengths().to_pylist()) for c in ("docs", "sizes", "sources", "counts")}
+    at = dict.fromkeys(flat, 0)
+    for k in range(batch.num_rows):
+        row = {c: batch.column(c)[k].as_py() for c in ("shard", "lang", "first", "terms", "names")}
+        for c, (values, lengths) in flat.items():
+            row[c], at[c] = values[at[c] : at[c] + lengths[k]], at[c] + lengths[k]
+        yield row
+
+
 def _batches(rows: Iterator[dict], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for r in rows:
@@ -154,7 +177,7 @@ def frequencies(docs: DataFrame, shards: int | None = None, postings: int = POST
         yield from _batches(spilled(rows, shards, postings), _RUN_TYPE, 64)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(merged(r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()), _FREQ_TYPE, 1_000)
+        yield from _batches(merged(r for b in batches for r in _blocks(b)), _FREQ_TYPE, 1_000)
 
     runs = own.mapInArrow(spill, _RUN).repartition("shard").sortWithinPartitions("shard", "lang", "first")
     return stash(runs.mapInArrow(merge, _FREQ), "frequencies")
