@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholens.operators.groups import GENE
-from ortholens.sources.shared import rewritten
+from ortholens.sources.shared import discard, rewritten
 
 
 def merge_methods(*methods: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns; every round is joins and aggregates, and the number of rounds is logarithmic.
     The least neighbours are written before they are joined: the join then comes straight from two shuffles, and AQE can
-    split the key of a node that holds most edges.
+    split the key of a node that holds most edges. What a round has written is deleted when the next one stands.
     """
     low = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -36,19 +36,92 @@ def components(edges: DataFrame) -> DataFrame:
         least = rewritten(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         large = rewritten(large, "components")
-        small = large.join(rewritten(large.groupBy("a").agg(F.min("b").alias("m")), "components"), "a")
+        next_least = rewritten(large.groupBy("a").agg(F.min("b").alias("m")), "components")
+        small = large.join(next_least, "a")
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        done = (edges, least, large, next_least)
         edges = rewritten(low(star), "components")
+        for old in done:
+            discard(old)
         if (now := mark(edges)) == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = rewritten(out, "components")
+    discard(edges)
+    return out
 
 
-def contradictory(edges: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose neighbourhoods (themselves included) have the same size but differ."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def _marks(pairs: DataFrame) -> DataFrame:
+    """a, n, x, s: size and two order-free hashes of each node's neighbourhood (itself included) over pairs (a, b)."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = both.unionByName(both.select("a", F.col("a").alias("b"))).distinct()
-    h = own.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"), F.sum(F.pmod(F.xxhash64(F.col("b"), F.lit(1)), F.lit(1 << 40))).alias("s"))
-    x, y = h.toDF("a", "na", "xa", "sa"), h.toDF("b", "nb", "xb", "sb")
-    return edges.join(x, "a").join(y, "b").where("na = nb and not (xa = xb and sa = sb)").select("a", "b")
+    return own.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"), F.sum(F.pmod(F.xxhash64(F.col("b"), F.lit(1)), F.lit(1 << 40))).alias("s"))
+
+
+def _marked(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """edges (a, b) with `cut`: their ends' neighbourhoods have the same size but differ."""
+    x, y = marks.toDF("a", "na", "xa", "sa"), marks.toDF("b", "nb", "xb", "sb")
+    return edges.join(x, "a").join(y, "b").select("a", "b", F.expr("na = nb and not (xa = xb and sa = sb)").alias("cut"))
+
+
+def contradictory(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) whose neighbourhoods over pairs (the edges themselves, if none are given) have the same size but differ."""
+    return _marked(edges, _marks(edges if pairs is None else pairs)).where("cut").select("a", "b")
+
+
+#: Stands between species and gene in a node's name.
+_SEP = "\x1f"
+
+
+def merge_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups from ortholog pairs (spp_a, gene_a, spp_b, gene_b), and the contradictions that stay open.
+
+    Pairs inside a species count as neighbours only. Pairs across species join their genes unless they are contradictory.
+    Contradictory ones are tried once more between the least genes of what their ends have become. A gene still alone joins the
+    component in which all genes lie that contradict it. First table: spp, gene, group_id (the least `spp:gene` of the
+    component) and state: `component`, `attached`, or `one species` for components that are dropped. Second: gene_a, gene_b of
+    pairs that were cut and whose genes ended in different groups. Neighbourhoods are compared by fingerprints, so that a gene
+    with very many neighbours is one row; the tables between the steps are deleted when the next one is written.
+    """
+    name = lambda s: F.concat_ws(_SEP, f"spp_{s}", f"gene_{s}")
+    all_ = pairs.select("spp_a", "spp_b", name("a").alias("a"), name("b").alias("b"))
+    marks = rewritten(_marks(all_), "marks")
+    across = all_.where("spp_a <> spp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = rewritten(_marked(across, marks), "edges")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    cuts = edges.where("cut").select("a", "b")
+
+    def rooted(of: DataFrame, over: DataFrame) -> DataFrame:
+        """of (node) with the least node of its component over the edges."""
+        found = components(over)
+        out = rewritten(of.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        discard(found)
+        return out
+
+    def ends(roots: DataFrame) -> DataFrame:
+        """Cut edges with the roots of both ends."""
+        return cuts.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
+
+    first = rooted(nodes, edges.where("not cut").select("a", "b"))
+    again = ends(first).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    second = rooted(first.select(F.col("root").alias("node")).distinct(), _marked(again, marks).where("not cut").select("a", "b"))
+    roots = rewritten(first.join(second.toDF("root", "top"), "root").select("node", F.col("top").alias("root")), "roots")
+    for old in (first, second):
+        discard(old)
+
+    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    open_ = rewritten(ends(roots).where("ra <> rb").select("a", "b", "ra", "rb"), "open")
+    against = open_.select(F.col("a").alias("node"), F.col("ra").alias("own"), F.col("rb").alias("root")).unionByName(open_.select(F.col("b").alias("node"), F.col("rb").alias("own"), F.col("ra").alias("root")))
+    alone = size.where("size = 1").select(F.col("root").alias("node"))
+    one = against.join(alone, "node", "left_semi").groupBy("node").agg(F.min("root").alias("to"), F.max("root").alias("last")).where("to = last")
+    joined = one.join(size.where("size > 1"), F.col("to") == F.col("root"), "left_semi").select("node", "to")
+    placed = roots.join(joined, "node", "left").select("node", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("late"))
+    part = F.split("node", _SEP, 2)
+    placed = rewritten(placed.select(part[0].alias("spp"), part[1].alias("gene"), "root", "late"), "placed")
+    lonely = placed.groupBy("root").agg(F.min("spp").alias("least_spp"), F.max("spp").alias("last_spp")).select("root", (F.col("least_spp") == F.col("last_spp")).alias("lonely"))
+    state = F.when(F.col("lonely"), "one species").when(F.col("late"), "attached").otherwise("component")
+    groups = placed.join(lonely, "root").select("spp", "gene", F.regexp_replace("root", _SEP, ":").alias("group_id"), state.alias("state"))
+    where = placed.select(F.concat_ws(_SEP, "spp", "gene").alias("node"), "root")
+    last = open_.select("a", "b").join(where.toDF("a", "ra"), "a").join(where.toDF("b", "rb"), "b").where("ra <> rb")
+    return groups, last.select(F.regexp_replace("a", _SEP, ":").alias("gene_a"), F.regexp_replace("b", _SEP, ":").alias("gene_b"))

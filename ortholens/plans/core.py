@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ortholens.operators import bench, compare, consensus, groups
@@ -14,8 +15,21 @@ def pos(s, d):
 
 
 def _edges(s, d):
-    line = table(s, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09")
-    return line.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    """Orders beside the batches (part, supplier, quantity) of all their lines."""
+    batch = F.concat_ws(".", F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    return table(s, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), batch.alias("b"))
+
+
+def _ortholog_pairs(s, d):
+    """All lines as pairs of an order and a batch of its return flag, and batches beside the next larger one of their kind."""
+    kind = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("."), F.col("l_suppkey").cast("string"), F.lit("."))
+    line = table(s, d, "lineitem").select(F.lit("O").alias("spp_a"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("gene_a"), F.col("l_returnflag").alias("spp_b"), kind.alias("kind"), F.col("l_quantity").cast("int").alias("q"))
+    batch = line.select("spp_b", "kind", "q").distinct()
+    after = F.lead("q").over(Window.partitionBy("spp_b", "kind").orderBy("q"))
+    own = batch.withColumn("after", after).where("after is not null")
+    at = lambda q: F.concat("kind", F.col(q).cast("string"))
+    beside = own.select(F.col("spp_b").alias("spp_a"), at("q").alias("gene_a"), "spp_b", at("after").alias("gene_b"))
+    return line.select("spp_a", "gene_a", "spp_b", at("q").alias("gene_b")).unionByName(beside)
 
 
 def _uncertain(s, d):
@@ -79,6 +93,8 @@ QUERIES = {
     "consensus_groups": lambda s, d: consensus.merge_methods(pred(s, d), ref(s, d), third(s, d)),
     "components": lambda s, d: consensus.components(_edges(s, d)),
     "contradictory_pairs": lambda s, d: consensus.contradictory(_edges(s, d)),
+    "merged_pairs": lambda s, d: consensus.merge_pairs(_ortholog_pairs(s, d))[0],
+    "open_contradictions": lambda s, d: consensus.merge_pairs(_ortholog_pairs(s, d))[1],
     "group_consistency": lambda s, d: compare.group_consistency(pred(s, d), third(s, d)),
 }
 
@@ -175,7 +191,30 @@ _DETAIL = """CASE WHEN paralogous + "both" = n_extra THEN 'all paralogs' WHEN mu
 
 _CONS = "cons AS (SELECT concat_ws('-', p.group_id, r.group_id, t.group_id) AS group_id, p.spp, p.gene FROM pred p JOIN ref r USING (spp, gene) JOIN third t USING (spp, gene) QUALIFY count(*) OVER (PARTITION BY p.group_id, r.group_id, t.group_id) > 1)"
 
-_EDGES = "e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09)"
+_EDGES = "e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey || '.' || l_suppkey || '.' || l_quantity::INT AS b FROM lineitem)"
+
+_MERGED = """WITH RECURSIVE l AS (SELECT 'O:o' || l_orderkey AS a, l_returnflag || ':p' || l_partkey || '.' || l_suppkey || '.' AS kind, l_quantity::INT AS q FROM lineitem),
+bt AS (SELECT kind || q AS a, kind || lead(q) OVER (PARTITION BY kind ORDER BY q) AS b FROM (SELECT DISTINCT kind, q FROM l)),
+x AS MATERIALIZED (SELECT DISTINCT least(a, kind || q) AS a, greatest(a, kind || q) AS b FROM l),
+p AS (SELECT * FROM x UNION SELECT * FROM bt WHERE b IS NOT NULL), pb AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT a, a FROM p UNION SELECT b, b FROM p),
+nb AS MATERIALIZED (SELECT a, list_sort(list(b)) AS s FROM pb GROUP BY a),
+ct AS MATERIALIZED (SELECT x.a, x.b FROM x JOIN nb u ON u.a = x.a JOIN nb v ON v.a = x.b WHERE len(u.s) = len(v.s) AND u.s <> v.s),
+k AS (SELECT * FROM x EXCEPT SELECT * FROM ct), kb AS MATERIALIZED (SELECT a, b FROM k UNION SELECT b, a FROM k),
+g AS (SELECT a AS node FROM x UNION SELECT b FROM x),
+r1(node, root) AS (SELECT node, node FROM g UNION SELECT kb.b, r1.root FROM r1 JOIN kb ON kb.a = r1.node),
+c1 AS MATERIALIZED (SELECT node, min(root) AS root FROM r1 GROUP BY node),
+t AS (SELECT DISTINCT u.root AS a, v.root AS b FROM ct JOIN c1 u ON u.node = ct.a JOIN c1 v ON v.node = ct.b WHERE u.root <> v.root),
+tk AS (SELECT t.a, t.b FROM t JOIN nb u ON u.a = t.a JOIN nb v ON v.a = t.b WHERE NOT (len(u.s) = len(v.s) AND u.s <> v.s)), tb AS MATERIALIZED (SELECT a, b FROM tk UNION SELECT b, a FROM tk),
+r2(node, root) AS (SELECT root, root FROM c1 UNION SELECT tb.b, r2.root FROM r2 JOIN tb ON tb.a = r2.node),
+c2 AS MATERIALIZED (SELECT c1.node, m.root FROM c1 JOIN (SELECT node, min(root) AS root FROM r2 GROUP BY node) m ON m.node = c1.root),
+sz AS (SELECT root, count(*) AS size FROM c2 GROUP BY root),
+op AS MATERIALIZED (SELECT ct.a, ct.b, u.root AS ra, v.root AS rb FROM ct JOIN c2 u ON u.node = ct.a JOIN c2 v ON v.node = ct.b WHERE u.root <> v.root),
+ag AS (SELECT a AS node, rb AS root FROM op UNION SELECT b, ra FROM op),
+ja AS (SELECT node, min(ag.root) AS root FROM ag JOIN sz o ON o.root = ag.node AND o.size = 1 GROUP BY node HAVING count(DISTINCT ag.root) = 1),
+ok AS (SELECT ja.* FROM ja JOIN sz USING (root) WHERE size > 1),
+pl AS MATERIALIZED (SELECT c2.node, coalesce(ok.root, c2.root) AS root, ok.root IS NOT NULL AS late FROM c2 LEFT JOIN ok USING (node)),
+lo AS (SELECT root, count(DISTINCT split_part(node, ':', 1)) = 1 AS lonely FROM pl GROUP BY root)
+"""
 
 ORACLES = {
     "seeded_sample": with_views("pred") + " SELECT group_id, spp, gene FROM pred ORDER BY md5('1234:' || gene), gene LIMIT 100",
@@ -304,6 +343,9 @@ SELECT node, min(root) AS root FROM r GROUP BY node""",
     "contradictory_pairs": f"""WITH {_EDGES}, b AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
 n AS (SELECT a, list_sort(list(b)) AS s FROM b GROUP BY a)
 SELECT e.a, e.b FROM e JOIN n x ON x.a = e.a JOIN n y ON y.a = e.b WHERE len(x.s) = len(y.s) AND x.s <> y.s""",
+    "merged_pairs": _MERGED + """SELECT split_part(node, ':', 1) AS spp, split_part(node, ':', 2) AS gene, root AS group_id,
+CASE WHEN lonely THEN 'one species' WHEN late THEN 'attached' ELSE 'component' END AS state FROM pl JOIN lo USING (root)""",
+    "open_contradictions": _MERGED + "SELECT op.a AS gene_a, op.b AS gene_b FROM op JOIN pl u ON u.node = op.a JOIN pl v ON v.node = op.b WHERE u.root <> v.root",
     "group_consistency": with_views("pred", "third") + """,
 j AS (SELECT p.group_id AS pred, spp, gene, t.group_id AS merged FROM pred p LEFT JOIN third t USING (spp, gene)),
 m AS (SELECT pred, merged AS main, row_number() OVER (PARTITION BY pred ORDER BY count(*) DESC, merged) AS k FROM j WHERE merged IS NOT NULL GROUP BY pred, merged QUALIFY k = 1)

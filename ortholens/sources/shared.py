@@ -30,3 +30,11 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a rewritten table that is read no more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    for name in df.inputFiles()[:1]:
+        at = hadoop.Path(name).getParent()
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -161,6 +161,30 @@ def test_contradictory_pairs(spark):
     assert sorted(tuple(r) for r in consensus.contradictory(edges).collect()) == [("b", "c")]
 
 
+def test_merged_pairs_cut_try_again_attach_and_drop(spark):
+    """O1 meets x and y; x has an own neighbour z, so that N(O1) and N(x) differ at equal size: x is cut, then attached."""
+    rows = [("O", "1", "P", "x"), ("O", "1", "P", "y"), ("P", "x", "P", "z"), ("P", "y", "P", "v"), ("P", "y", "P", "w")]
+    rows += [("O", "2", "P", "m"), ("O", "2", "P", "n"), ("P", "m", "P", "m2"), ("P", "n", "P", "n2")]  # both cut, all alone
+    rows += [("O", "3", "P", "k"), ("O", "3", "P", "k"), ("P", "only", "P", "inner")]  # a repeated pair; genes of one species only
+    groups, left = consensus.merge_pairs(spark.createDataFrame(rows, "spp_a string, gene_a string, spp_b string, gene_b string"))
+    assert as_dict(groups, "gene", "group_id", "state") == {
+        "1": ("O:1", "component"), "y": ("O:1", "component"), "x": ("O:1", "attached"), "3": ("O:3", "component"), "k": ("O:3", "component"),
+        "2": ("O:2", "one species"), "m": ("P:m", "one species"), "n": ("P:n", "one species"),
+    }
+    assert sorted(map(tuple, left.collect())) == [("O:2", "P:m"), ("O:2", "P:n")]
+    none, open_ = consensus.merge_pairs(spark.createDataFrame([], "spp_a string, gene_a string, spp_b string, gene_b string"))
+    assert none.count() == 0 and open_.count() == 0
+
+
+def test_merged_pairs_retry_joins_components(spark):
+    """a-b is contradictory, but the least genes of their components have neighbourhoods of other sizes."""
+    rows = [("A", "0", "B", "a"), ("A", "0", "B", "q"), ("A", "0", "C", "r"), ("B", "a", "C", "b"), ("C", "b", "D", "e")]
+    groups, left = consensus.merge_pairs(spark.createDataFrame(rows, "spp_a string, gene_a string, spp_b string, gene_b string"))
+    assert {r["group_id"] for r in groups.collect()} == {"A:0"} and left.count() == 0
+    edges = spark.createDataFrame([("a", "b"), ("b", "e"), ("0", "a"), ("0", "q"), ("0", "r")], "a string, b string")
+    assert [tuple(r) for r in consensus.contradictory(edges).collect()] == [("a", "b")]
+
+
 def test_segmental_copies(spark):
     g = table(spark, members("1: a1 b1 c1; 2: a2 b2"))
     rows = [("d1", "d", "a1", "b", "b1"), ("d1", "d", None, "c", "c1"), ("d2", "d", "a1", "b", "b2"), ("d3", "d", None, "x", "nope"), ("d4", "d", "a1", "b", "b1"), ("a1", "a", "b1", "c", "c1"), ("r1", "d", "a1", "b", "b1")]
