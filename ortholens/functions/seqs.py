@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters in one piece of a long sequence.
+CHUNK = 65_536
+
 
 def seq_id(header: Column) -> Column:
     return F.get(F.split(header, r"\s+"), F.lit(0))
@@ -24,10 +27,6 @@ def subseq(seq: Column, start: Column, end: Column) -> Column:
     return F.substring(seq, start.cast("int"), (end - start + 1).cast("int"))
 
 
-def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
-
-
 def wrap(seq: Column, width: int = 60) -> Column:
     """The sequence in lines of width."""
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")

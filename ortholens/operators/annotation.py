@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ortholens.functions import seqs
 from ortholens.functions.maths import pct
+from ortholens.functions.seqs import CHUNK
+from ortholens.operators.ranges import bucketed, carried, numbered
+from ortholens.sources.shared import rewritten
 
 
 def gene_index(genes: DataFrame) -> DataFrame:
@@ -61,14 +65,14 @@ def merge(*annotations: DataFrame) -> DataFrame:
     own = Window.partitionBy("gene_id")
     g = all_.withColumn("g_start", F.min("start").over(own)).withColumn("g_end", F.max("end").over(own))
     kind = F.when(F.col("feature") == "gene", 0).when(F.col("feature") == "transcript", 1).otherwise(2)
-    order = Window.partitionBy("chrom").orderBy("g_start", "g_end", "gene_id", kind, "start", "end", "source")
-    return g.withColumn("place", F.row_number().over(order).cast("long")).drop("g_start", "g_end")
+    order = ["g_start", "g_end", "gene_id", "__kind", "start", "end", "source"]
+    return numbered(g.withColumn("__kind", kind), ["chrom"], order, "place").drop("g_start", "g_end", "__kind")
 
 
 def fill_parent(records: DataFrame) -> DataFrame:
     """Records without gene_id take the last one seen before them in their file."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("gene_id", F.last("gene_id", ignorenulls=True).over(w))
+    rows = bucketed(records.withColumnRenamed("gene_id", "__own"), ["file"], ["line_no"])
+    return carried(rows, ["file"], ["line_no"], F.col("__own"), "gene_id").select(*records.columns)
 
 
 def noncoding_genes(records: DataFrame) -> DataFrame:
@@ -82,11 +86,18 @@ def noncoding_share(records: DataFrame) -> DataFrame:
     return n.select("*", pct(F.col("n_noncoding"), F.col("n_genes")).alias("percent"))
 
 
-def splice(exons: DataFrame, genome: DataFrame) -> DataFrame:
-    """transcript_id, seq: exons (transcript_id, chrom, start, end; 1-based, closed) cut from genome (chrom, seq), in order."""
-    part = exons.join(genome, "chrom").select("transcript_id", "start", "end", F.expr("substring(seq, int(start), int(end - start + 1))").alias("part"))
-    parts = F.sort_array(F.collect_list(F.struct("start", "end", "part")))
-    return part.groupBy("transcript_id").agg(parts.alias("p")).select("transcript_id", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
+def splice(exons: DataFrame, genome: DataFrame, width: int = CHUNK) -> DataFrame:
+    """transcript_id, seq: exons (transcript_id, chrom, start, end; 1-based, closed) cut from genome (chrom, chunk, piece), in order.
+
+    An exon meets the chunks that it touches; only what it cuts from them moves on. Parts beyond the end of a sequence are empty,
+    exons on chromosomes that the genome lacks are left out.
+    """
+    own = exons.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("start") - 1) / width), F.floor((F.col("end") - 1) / width))))
+    at = F.col("chunk") * width
+    part = seqs.subseq(F.col("piece"), F.greatest(F.col("start") - at, F.lit(1)), F.least(F.col("end") - at, F.lit(width)))
+    cut = own.join(genome.select("chrom", "chunk", "piece"), ["chrom", "chunk"]).select("transcript_id", "start", "end", "chunk", part.alias("part"))
+    parts = F.sort_array(F.collect_list(F.struct("start", "end", "chunk", "part")))
+    return cut.groupBy("transcript_id").agg(parts.alias("p")).select("transcript_id", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
 
 
 def gene_isoform_map(records: DataFrame, feature: str = "CDS", *more: str) -> DataFrame:
@@ -102,35 +113,59 @@ def longest_per_key(seqs: DataFrame, keys: list[str], seq: str, order: str) -> D
 
 def number_models(hits: DataFrame) -> DataFrame:
     """id, feature, kind, chrom, start, end: ncRNA-<kind>-<n> by place, as gene, transcript and exon records."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("chrom", "start", "end", "line"))
-    named = hits.select("*", F.concat(F.lit("ncRNA-"), F.col("kind"), F.lit("-"), n.cast("string")).alias("id"))
+    named = numbered(hits, ["kind"], ["chrom", "start", "end", "line"], "__n").withColumn("id", F.concat(F.lit("ncRNA-"), F.col("kind"), F.lit("-"), F.col("__n").cast("string")))
     return named.select("id", F.explode(F.array(F.lit("gene"), F.lit("transcript"), F.lit("exon"))).alias("feature"), "kind", "chrom", "start", "end")
 
 
 def attach_parent(records: DataFrame) -> DataFrame:
-    """Records (id, parent, gene_id, feature) with gene_id filled: the own one, else the parent's, else the grandparent's.
+    """Records (id, parent, gene_id, feature) with gene_id filled: the own one, else that of the nearest ancestor that has one.
 
-    A gene is its own parent; ids are also tried without version; records of `unassigned_gene_` are left out.
+    A gene is its own gene_id. A parent that no record has as id, or a topmost record that is no gene, is also looked up among the
+    genes without version. Records of `unassigned_gene_` are left out; what no gene is found for, cycles too, stays null.
+    Pointer jumping: a pointer that has met no gene is replaced by the pointer of its end, so that the number of rounds is the
+    logarithm of the depth. Only open pointers are joined; rows that have a gene or no parent never are.
     """
-    base = F.substring_index("id", ".", 1)
-    up = records.where("id is not null").select(F.col("id").alias("pid"), "parent", F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id")).otherwise(F.col("gene_id")).alias("g"))
-    short = records.where("id is not null").groupBy(base.alias("bid")).agg(F.min(F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id"))).alias("bg"))
-    one = up.groupBy("pid").agg(F.min("parent").alias("pp"), F.min("g").alias("pg"))
-    j = records.join(one, F.col("parent") == F.col("pid"), "left")
-    j = j.join(one.toDF("gid", "gpp", "gg"), F.col("pp") == F.col("gid"), "left").join(short, F.substring_index(F.coalesce("pp", "parent"), ".", 1) == F.col("bid"), "left")
+    base = lambda c: F.substring_index(c, ".", 1)
     own = F.when(F.col("feature") == "gene", F.coalesce("gene_id", "id")).otherwise(F.col("gene_id"))
-    out = j.select("id", "parent", "feature", F.coalesce(own, "pg", "gg", "bg").alias("gene_id"))
+    rows = records.select("id", "parent", "feature", own.alias("own"))
+    nodes = rewritten(rows.where("id is not null").groupBy("id").agg(F.min("parent").alias("up"), F.min("own").alias("g"), F.max(F.col("feature") == "gene").alias("gene")), "nodes")
+    by_base = nodes.where("gene").groupBy(base(F.col("id")).alias("short")).agg(F.min("g").alias("sg"))
+
+    unset = nodes.where("g is null")
+    there = unset.where("up is not null").join(nodes.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up")
+    ends = unset.join(there.select("id"), "id", "left_anti").select("id", base(F.coalesce("up", "id")).alias("short")).join(by_base, "short").select("id", F.col("sg").alias("g"))
+    known = rewritten(nodes.where("g is not null").select("id", "g").unionByName(ends), "known")
+    open_ = rewritten(there, "open")
+    left = open_.count()
+    while left:
+        met = open_.join(known.select(F.col("id").alias("up"), "g"), "up", "left")
+        ahead = open_.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        both = rewritten(met.join(ahead, "up", "left").select("id", "g", "next"), "jumps")
+        known = known.unionByName(both.where("g is not null").select("id", "g"))
+        open_ = both.where("g is null and next is not null").select("id", F.col("next").alias("up"))
+        if (now := open_.count()) == left:  # what is left points in circles
+            break
+        left = now
+
+    need = rows.where("own is null")
+    key = need.withColumn("key", F.coalesce("id", "parent"))
+    found = key.where("key is not null").join(known.toDF("key", "g"), "key", "left")
+    found = found.withColumn("short", F.when(F.col("g").isNull() & F.col("id").isNull(), base(F.col("key"))))
+    short = found.where("short is not null").join(by_base, "short", "left").select("id", "parent", "feature", F.col("sg").alias("gene_id"))
+    full = found.where("short is null").select("id", "parent", "feature", F.col("g").alias("gene_id"))
+    rest = key.where("key is null").select("id", "parent", "feature", F.col("own").alias("gene_id"))
+    out = rows.where("own is not null").select("id", "parent", "feature", F.col("own").alias("gene_id")).unionByName(full).unionByName(short).unionByName(rest)
     return out.where(F.col("gene_id").isNull() | ~F.col("gene_id").startswith("unassigned_gene_"))
 
 
-def noncoding_transcripts(records: DataFrame, genome: DataFrame) -> tuple[DataFrame, DataFrame]:
+def noncoding_transcripts(records: DataFrame, genome: DataFrame, width: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Spliced sequences of the transcripts of genes without CDS, and the chromosomes that the genome lacks.
 
-    records: gene_id, transcript_id, feature, chrom, start, end.
+    records: gene_id, transcript_id, feature, chrom, start, end; genome: chrom, chunk, piece.
     """
     exons = records.where("feature = 'exon'").join(noncoding_genes(records), "gene_id", "left_semi")
     lost = records.select("chrom").distinct().join(genome.select("chrom"), "chrom", "left_anti")
-    return splice(exons.select("transcript_id", "chrom", "start", "end"), genome), lost
+    return splice(exons.select("transcript_id", "chrom", "start", "end"), genome, width), lost
 
 
 def filter_by_ids(sequences: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -91,12 +91,15 @@ def te_ortholog_pairs(te_a: DataFrame, te_b: DataFrame) -> DataFrame:
     attaches to the last of the shorter.
     """
 
-    def placed(te: DataFrame, side: str) -> DataFrame:
+    def placed(te: DataFrame) -> DataFrame:
         first = te.groupBy("te").agg(F.min_by(F.struct("anchor", "family", "start"), F.struct("order", "anchor")).alias("x")).select("te", "x.*")
-        w = Window.partitionBy("anchor", "family")
-        r = first.withColumn("k", F.row_number().over(w.orderBy("start", "te"))).withColumn("n", F.count(F.lit(1)).over(w))
-        return r.select("anchor", "family", F.col("te").alias(f"te_{side}"), F.col("k").alias(f"k_{side}"), F.col("n").alias(f"n_{side}"))
+        return first.withColumn("k", F.row_number().over(Window.partitionBy("anchor", "family").orderBy("start", "te")))
 
-    a, b = placed(te_a, "a"), placed(te_b, "b")
-    meets = (F.least(F.col("k_a"), F.col("n_b")) == F.col("k_b")) | (F.least(F.col("k_b"), F.col("n_a")) == F.col("k_a"))
-    return a.join(b, ["anchor", "family"]).where(meets).select("te_a", "te_b", "anchor", "family")
+    def met(own: DataFrame, other: DataFrame, names: list[str], surplus: bool) -> DataFrame:
+        """Each element beside the one of the other side whose rank it meets; one row an element."""
+        n = other.groupBy("anchor", "family").agg(F.max("k").alias("n"))
+        rank = own.join(n, ["anchor", "family"]).where("k > n" if surplus else "true").select("anchor", "family", F.col("te").alias(names[0]), F.least("k", "n").alias("k"))
+        return rank.join(other.select("anchor", "family", "k", F.col("te").alias(names[1])), ["anchor", "family", "k"]).select("te_a", "te_b", "anchor", "family")
+
+    a, b = placed(te_a), placed(te_b)
+    return met(a, b, ["te_a", "te_b"], False).unionByName(met(b, a, ["te_b", "te_a"], True))

@@ -60,10 +60,45 @@ def merge_annotations(s, d):
     return annotation.merge(f.where("source = 'R'"), f.where("source <> 'R'"))
 
 
+#: Letters in a piece of the queries' sequences: short, so that many exons span two.
+_WIDTH = 1_000
+
+
+def _genome(s, d, where="true"):
+    """The letters of all texts as sequences, written as FASTA and read in pieces."""
+    seq = table(s, d, "documents").where(where).select(F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(" text")).alias("header"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    path = shared_path(s, "genome")
+    writers.write_fasta(seq.where("seq <> ''"), path)
+    return readers.read_genome(s, path, _WIDTH)
+
+
+def _exons(s, d):
+    """Exons of 30 letters every 97 letters, over the whole length of each text; every third text has a CDS."""
+    n = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
+    chrom = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    at = table(s, d, "documents").select(chrom.alias("chrom"), "doc_id", F.explode(F.sequence(F.lit(0), F.floor((n - 40) / 97))).alias("k"), n.alias("n")).where("n >= 40")
+    feature = F.when((F.col("doc_id") % 3 == 0) & (F.col("k") == 0), F.array(F.lit("exon"), F.lit("CDS"))).otherwise(F.array(F.lit("exon")))
+    return at.select("chrom", F.col("chrom").alias("gene_id"), F.concat("chrom", F.lit(".t")).alias("transcript_id"), F.explode(feature).alias("feature"), (F.col("k") * 97 + 11).alias("start"), (F.col("k") * 97 + 40).alias("end"))
+
+
+def _digest(spliced):
+    return spliced.select("transcript_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("seq").cast("long").alias("n"))
+
+
 def splice_exons(s, d):
-    docs = table(s, d, "documents").where("length(text) >= 400").select(F.col("doc_id").cast("string").alias("chrom"), F.col("text").alias("seq"))
-    ex = docs.select("chrom", F.explode(F.array(*(F.struct(F.lit(b).cast("long").alias("start"), F.lit(e).cast("long").alias("end")) for b, e in ((201, 260), (11, 30), (301, 304))))).alias("x"))
-    return annotation.splice(ex.select(F.col("chrom").alias("transcript_id"), "chrom", "x.start", "x.end"), docs).select("transcript_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("seq").cast("long").alias("n"))
+    exons = _exons(s, d).where("feature = 'exon'").select("transcript_id", "chrom", "start", "end")
+    return _digest(annotation.splice(exons, _genome(s, d), _WIDTH))
+
+
+def genome_chunks(s, d):
+    """Every piece of every sequence."""
+    return _genome(s, d).select("chrom", "chunk", F.md5(F.col("piece").cast("binary")).alias("piece_md5"), F.length("piece").cast("long").alias("n"))
+
+
+def fill_parent(s, d):
+    """All lines as one file of records, of which only the first line of an order names it."""
+    line = _line(s, d).select(F.lit("all").alias("file"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_no"), F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")).alias("gene_id"))
+    return annotation.fill_parent(line).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _gff(s, d):
@@ -81,13 +116,28 @@ def attach_parent(s, d):
     return annotation.attach_parent(_gff(s, d)).groupBy("feature", "gene_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def deep_parents(s, d):
+    """All lines of an order as a chain: each record names the line before it, the first one the gene."""
+    line = _line(s, d).select("l_orderkey", "l_linenumber").distinct()
+    o, before = F.col("l_orderkey").cast("string"), F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    up = line.withColumn("before", before)
+    none = F.lit(None).cast("string")
+    chain = up.select(F.concat_ws("-", F.lit("r"), o, F.col("l_linenumber").cast("string")).alias("id"), F.coalesce(F.when(F.col("before").isNotNull(), F.concat_ws("-", F.lit("r"), o, F.col("before").cast("string"))), F.concat(F.lit("g"), o)).alias("parent"), none.alias("gene_id"), F.lit("part").alias("feature"))
+    genes = line.select(F.concat(F.lit("g"), o).alias("id"), none.alias("parent"), none.alias("gene_id"), F.lit("gene").alias("feature")).distinct()
+    return annotation.attach_parent(chain.unionByName(genes)).select("id", "feature", "gene_id")
+
+
+def _noncoding(s, d):
+    return annotation.noncoding_transcripts(_exons(s, d), _genome(s, d, "doc_id % 5 <> 0"), _WIDTH)
+
+
 def noncoding_transcripts(s, d):
-    t = table(s, d, "documents").where("length(text) >= 400")
-    genome = t.where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("chrom"), F.col("text").alias("seq"))
-    row = lambda f, b, e: F.struct(F.lit(f).alias("feature"), F.lit(b).cast("long").alias("start"), F.lit(e).cast("long").alias("end"))
-    kinds = F.when(F.col("doc_id") % 3 == 0, F.array(row("exon", 51, 60), row("exon", 5, 9), row("CDS", 5, 9))).otherwise(F.array(row("exon", 51, 60), row("exon", 5, 9)))
-    rec = t.select(F.col("doc_id").cast("string").alias("chrom"), F.explode_outer(kinds).alias("x")).select(F.col("chrom").alias("gene_id"), F.col("chrom").alias("transcript_id"), "chrom", "x.feature", "x.start", "x.end")
-    return annotation.noncoding_transcripts(rec, genome)[0]
+    return _digest(_noncoding(s, d)[0])
+
+
+def lost_chromosomes(s, d):
+    """Chromosomes of the records that the genome lacks: every fifth text was not written."""
+    return _noncoding(s, d)[1]
 
 
 def filter_by_ids(s, d):
@@ -342,6 +392,10 @@ QUERIES = {
     "splice_exons": splice_exons,
     "attach_parent": attach_parent,
     "noncoding_transcripts": noncoding_transcripts,
+    "lost_chromosomes": lost_chromosomes,
+    "genome_chunks": genome_chunks,
+    "fill_parent": fill_parent,
+    "deep_parents": deep_parents,
     "filter_by_ids": filter_by_ids,
     "longest_per_key": longest_per_key,
     "fasta_roundtrip": fasta_roundtrip,
@@ -409,12 +463,20 @@ sy AS (SELECT p.group_id, p.org, p.gene, p.name, coalesce(p.good,
   least(CASE WHEN u.org = 'a' THEN u.good END, CASE WHEN v.org = 'a' THEN v.good END), least(CASE WHEN u.org = 'b' THEN u.good END, CASE WHEN v.org = 'b' THEN v.good END)) AS symbol
   FROM nm p LEFT JOIN nm u ON u.gene = p.gene + 1 LEFT JOIN nm v ON v.gene = p.gene - 1)"""
 
+_SPLICED = """SELECT 'D' || doc_id || '.t' AS transcript_id, md5(string_agg(substr(q, (97 * k + 11)::INT, 30), '' ORDER BY k)) AS seq_md5, sum(30)::BIGINT AS n
+FROM (SELECT *, unnest(range(0, (length(q) - 40) // 97 + 1)) AS k FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS q FROM documents) WHERE length(q) >= 40) WHERE true"""
+
 ORACLES = {
     "attach_parent": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_returnflag AS f FROM lineitem)
 SELECT 'gene' AS feature, 'g' || o || '.1' AS gene_id, 1::BIGINT AS n FROM (SELECT DISTINCT o FROM l)
 UNION ALL SELECT 'transcript', 'g' || o || '.1', count(DISTINCT n) FROM l GROUP BY o
 UNION ALL SELECT 'exon', g, count(*) FROM (SELECT DISTINCT o, n, CASE WHEN f = 'A' THEN 'g' || o ELSE 'g' || o || '.1' END AS g FROM l) GROUP BY g""",
-    "noncoding_transcripts": "SELECT doc_id::VARCHAR AS transcript_id, substr(text, 5, 5) || substr(text, 51, 10) AS seq FROM documents WHERE length(text) >= 400 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0",
+    "noncoding_transcripts": f"{_SPLICED} AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 GROUP BY doc_id",
+    "lost_chromosomes": "SELECT 'D' || doc_id AS chrom FROM documents WHERE doc_id % 5 = 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 40",
+    "genome_chunks": f"""WITH q AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS q FROM documents), c AS (SELECT doc_id, chunk, substr(q, (chunk * {_WIDTH} + 1)::INT, {_WIDTH}) AS piece FROM (SELECT *, unnest(range(0, (length(q) + {_WIDTH} - 1) // {_WIDTH})) AS chunk FROM q))
+SELECT 'D' || doc_id AS chrom, chunk, md5(piece) AS piece_md5, length(piece)::BIGINT AS n FROM c""",
+    "fill_parent": "SELECT gene_id, count(*) AS n FROM (SELECT last_value(CASE WHEN l_linenumber = 1 THEN l_orderkey END IGNORE NULLS) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gene_id FROM lineitem) GROUP BY gene_id",
+    "deep_parents": "SELECT DISTINCT 'r-' || l_orderkey || '-' || l_linenumber AS id, 'part' AS feature, 'g' || l_orderkey AS gene_id FROM lineitem UNION ALL SELECT DISTINCT 'g' || l_orderkey, 'gene', 'g' || l_orderkey FROM lineitem",
     "filter_by_ids": "SELECT p_partkey || '.2' AS seq_id, p_name AS seq FROM part WHERE p_partkey % 3 = 0",
     "gtf_attributes": """SELECT DISTINCT 'G' || l_orderkey AS gene_id, 'P' || l_partkey || '.' || l_linenumber AS isoform, count(*) OVER (PARTITION BY l_orderkey) AS n_records, max(l_linestatus) OVER (PARTITION BY l_orderkey) AS last_note FROM lineitem""",
     "gff_to_gtf": """SELECT 'transcript' AS feature, 'gene_id "' || l_orderkey || '"; transcript_id "' || l_partkey || '"; gene_name "' || l_returnflag || '";' AS attributes, count(*) AS n FROM lineitem GROUP BY ALL""",
@@ -422,7 +484,7 @@ UNION ALL SELECT 'exon', g, count(*) FROM (SELECT DISTINCT o, n, CASE WHEN f = '
 FROM (SELECT *, min(start) OVER (PARTITION BY gene_id) AS gs, max("end") OVER (PARTITION BY gene_id) AS ge FROM f)""",
     "noncoding_genes": f"WITH {_FEATURES} SELECT gene_id FROM f GROUP BY gene_id HAVING count(*) FILTER (feature = 'CDS') = 0",
     "noncoding_share": f"WITH {_FEATURES}, g AS (SELECT gene_id, count(*) FILTER (feature = 'CDS') AS c FROM f GROUP BY gene_id) SELECT count(*) AS n_genes, count(*) FILTER (c = 0) AS n_noncoding, round(count(*) FILTER (c = 0) / count(*)::DOUBLE * 100, 2) AS percent FROM g",
-    "splice_exons": "SELECT doc_id::VARCHAR AS transcript_id, md5(substr(text, 11, 20) || substr(text, 201, 60) || substr(text, 301, 4)) AS seq_md5, 84::BIGINT AS n FROM documents WHERE length(text) >= 400",
+    "splice_exons": f"{_SPLICED} GROUP BY doc_id",
     "longest_per_key": "SELECT source, lang, doc_id, length(text)::BIGINT AS n FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) = 1",
     "fasta_roundtrip": "SELECT 'D' || doc_id AS seq_id, lang AS gene, source AS transcript, length(q)::BIGINT AS length, md5(q) AS seq_md5 FROM (SELECT *, regexp_replace(text, '[^A-Za-z]', '', 'g') AS q FROM documents) WHERE q <> ''",
     "wide_roundtrip": with_views("pred") + " SELECT group_id::VARCHAR AS group_id, spp, gene::VARCHAR AS gene FROM pred",

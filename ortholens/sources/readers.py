@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ortholens.functions import attrs, ids, seqs
+from ortholens.functions.seqs import CHUNK
+from ortholens.operators.ranges import bucketed, carried, summed
 
 
 def text_lines(spark: SparkSession, path: str | list[str], comments: bool = False) -> DataFrame:
@@ -18,7 +20,7 @@ def text_lines(spark: SparkSession, path: str | list[str], comments: bool = Fals
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr")
     )
     kept = raw if comments else raw.where("trim(value) <> '' and not startswith(value, '#')")
-    return kept.select("file", F.struct("block", "nr").alias("line_no"), "value")
+    return kept.select("file", F.struct("path", "block", "nr").alias("line_no"), "value")
 
 
 def _cell(k: int) -> Column:
@@ -156,6 +158,26 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     return raw.select("file", head.alias("header"), seqs.seq_id(head).alias("seq_id"), body.alias("seq"), F.length(body).alias("length"))
 
 
+def read_genome(spark: SparkSession, path, width: int = CHUNK) -> DataFrame:
+    """chrom, chunk, piece: sequences of any length in pieces of `width` letters, straight from the lines of FASTA files.
+
+    The header above a line and the letters before it in its file are carried over range buckets of lines, so that one
+    chromosome is read by many tasks; a line that spans two chunks is cut.
+    """
+    raw = text_lines(spark, path, comments=True).withColumn("value", F.trim("value")).where("value <> '' and not startswith(value, '#')")
+    head = F.col("value").startswith(">")
+    lines = bucketed(raw, ["file"], ["line_no"])
+    at = summed(lines, ["file"], ["line_no"], F.when(head, 0).otherwise(F.length("value")).cast("long"), "at")
+    named = carried(at, ["file"], ["line_no"], F.when(head, F.struct(seqs.seq_id(F.substring("value", 2, 1 << 30)).alias("chrom"), F.col("at").alias("begin"))), "head")
+    body = named.where(~head & F.col("head").isNotNull()).select("file", "line_no", F.col("head.chrom").alias("chrom"), (F.col("at") - F.col("head.begin")).alias("off"), "value")
+    cut = body.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("off") / width), F.floor((F.col("off") + F.length("value") - 1) / width))))
+    first = F.greatest(F.col("chunk") * width - F.col("off"), F.lit(0))
+    last = F.least((F.col("chunk") + 1) * width - F.col("off"), F.length("value"))
+    part = F.struct("file", "line_no", seqs.subseq(F.col("value"), first + 1, last).alias("part"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]), "")
+    return cut.groupBy("chrom", "chunk").agg(joined.alias("piece"))
+
+
 def read_agp(spark: SparkSession, path) -> DataFrame:
     r = _columns(spark, path, chrom=0, beg=1, end=2, comp_type=4, contig=5, size=7, orient=8).drop("file").where("comp_type not in ('N', 'U')")
     return r.withColumns({n: F.col(n).cast("bigint") for n in ("beg", "end", "size")})

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ortholens.functions import attrs, ids, seqs
-from ortholens.operators import annotation, references, synteny
+from ortholens.operators import annotation, ranges, references, synteny
 from ortholens.sources import readers, writers
 from ortholens.streaming import filters
 
@@ -160,13 +161,86 @@ def test_longest_first_wins_ties(spark):
     assert annotation.longest_per_key(s, ["gene"], "seq", "nr").first()["seq"] == "ACG"
 
 
-def test_parent_fill_splice_and_noncoding(spark):
+def test_parent_fill_splice_and_noncoding(spark, buckets):
     r = spark.createDataFrame([("f", 1, "g1", "gene"), ("f", 2, None, "exon"), ("f", 3, "g2", "gene"), ("f", 4, None, "CDS")], "file string, line_no int, gene_id string, feature string")
     full = annotation.fill_parent(r)
     assert [x["gene_id"] for x in full.orderBy("line_no").collect()] == ["g1", "g1", "g2", "g2"]
     assert rows(annotation.noncoding_genes(full)) == [("g1",)]
     ex = spark.createDataFrame([("t", "c", 5, 6), ("t", "c", 1, 2)], "transcript_id string, chrom string, start long, end long")
-    assert rows(annotation.splice(ex, spark.createDataFrame([("c", "ABCDEFG")], "chrom string, seq string"))) == [("t", "ABEF")]
+    pieces = spark.createDataFrame([("c", 0, "ABC"), ("c", 1, "DEF"), ("c", 2, "G")], "chrom string, chunk long, piece string")
+    assert rows(annotation.splice(ex, pieces, 3)) == [("t", "ABEF")]
+    ex = spark.createDataFrame([("t", "c", 2, 7), ("u", "c", 3, 4), ("v", "c", 6, 99), ("w", "x", 1, 2)], "transcript_id string, chrom string, start long, end long")
+    assert rows(annotation.splice(ex, pieces, 3)) == [("t", "BCDEFG"), ("u", "CD"), ("v", "FG")]
+
+
+@pytest.fixture
+def buckets(spark):
+    """Small tables, too, get several range buckets."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("width", [1, 4, 7, 1_000])
+def test_genome_in_pieces(spark, tmp_path, width, buckets):
+    """Lines shorter and longer than a piece, blank lines, two files, text before the first header."""
+    seqs_ = {"c1": "ACGTNacgtn" * 13, "c2": "G", "c4": "TTTTT" * 9}
+    (tmp_path / "a.fa").write_text("lost\n>c1 first\n" + "\n".join(seqs_["c1"][k : k + 11] for k in range(0, 130, 11)) + "\n\n>c2\nG\n>c3 empty\n")
+    (tmp_path / "b.fa").write_text(">c4\n" + seqs_["c4"] + "\n")
+    got = readers.read_genome(spark, str(tmp_path), width).collect()
+    assert all(len(r["piece"]) == width or r["chunk"] == len(seqs_[r["chrom"]]) // width for r in got)
+    assert {c: "".join(r["piece"] for r in sorted(got, key=lambda r: r["chunk"]) if r["chrom"] == c) for c in {r["chrom"] for r in got}} == seqs_
+
+
+def test_genome_of_a_split_file(spark, tmp_path, buckets):
+    text = "".join(">s%d\n" % k + ("ACGT" * k + "\n") * 20 for k in range(1, 40))
+    (tmp_path / "g.fa").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_genome(spark, str(tmp_path / "g.fa"), 500).groupBy("chrom").agg(F.sum(F.length("piece")).alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["chrom"]: r["n"] for r in got} == {f"s{k}": 80 * k for k in range(1, 40)}
+
+
+def test_running_values_over_buckets(spark, buckets):
+    """One hot group over many buckets, a null group, ties and nulls."""
+    rnd = random.Random(4)
+    data = [(("hot" if k % 3 else rnd.choice(["a", None])), rnd.randrange(300), k, rnd.choice([None, k])) for k in range(900)]
+    df = spark.createDataFrame(data, "g string, x int, id int, v int").repartition(5)
+    want_n, want_v, want_s = {}, {}, {}
+    for g in {d[0] for d in data}:
+        last, total = None, 0
+        for n, (_, x, i, v) in enumerate(sorted((d for d in data if d[0] == g), key=lambda d: d[1:3]), 1):
+            last = v if v is not None else last
+            want_n[i], want_v[i], want_s[i], total = n, last, total, total + x
+    assert {r["id"]: r["n"] for r in ranges.numbered(df, ["g"], ["x", "id"], "n").collect()} == want_n
+    rows_ = ranges.bucketed(df, ["g"], ["x", "id"])
+    assert rows_.where("g = 'hot'").select("bucket").distinct().count() > 1
+    assert {r["id"]: r["last"] for r in ranges.carried(rows_, ["g"], ["x", "id"], F.col("v"), "last").collect()} == want_v
+    assert {r["id"]: r["s"] for r in ranges.summed(rows_, ["g"], ["x", "id"], F.col("x").cast("long"), "s").collect()} == want_s
+    assert ranges.numbered(df.limit(0), ["g"], ["x", "id"], "n").count() == 0
+
+
+def test_parents_at_any_depth(spark):
+    chain = [("g1", None, None, "gene"), *((f"c{k}", f"c{k - 1}" if k else "g1", None, "part") for k in range(5)), (None, "c4", None, "exon"), (None, "c4", "own", "exon")]
+    deep = [("g2.3", None, "G2", "gene"), *((f"d{k}", f"d{k - 1}" if k else "g2.1", None, "part") for k in range(40)), (None, "d39", None, "exon"), (None, "g2.9", None, "exon")]
+    odd = [("x", "y", None, "part"), ("y", "x", None, "part"), (None, "y", None, "exon"), (None, None, None, "exon"), (None, "nobody", None, "exon"), ("top", None, None, "part"), (None, "top", None, "exon")]
+    odd += [("h", None, "unassigned_gene_1", "gene"), (None, "h", None, "exon"), ("mid", "c4", "G9", "part"), ("low", "mid", None, "part")]
+    got = annotation.attach_parent(spark.createDataFrame(chain + deep + odd, "id string, parent string, gene_id string, feature string")).collect()
+    by_id = {r["id"]: r["gene_id"] for r in got if r["id"]}
+    assert all(by_id[f"c{k}"] == "g1" for k in range(5)) and all(by_id[f"d{k}"] == "G2" for k in range(40))
+    assert (by_id["x"], by_id["y"], by_id["top"], by_id["mid"], by_id["low"]) == (None, None, None, "G9", "G9") and "h" not in by_id
+    exons = sorted(((r["parent"] or "", r["gene_id"] or "") for r in got if r["id"] is None))
+    assert exons == [("", ""), ("c4", "g1"), ("c4", "own"), ("d39", "G2"), ("g2.9", "G2"), ("nobody", ""), ("top", ""), ("y", "")]
+
+
+def test_elements_meet_by_rank(spark):
+    a = spark.createDataFrame([(f"a{k}", "n", 1, "f", k) for k in range(3)] + [("lone", "n", 1, "g", 1)], "te string, anchor string, order int, family string, start int")
+    b = spark.createDataFrame([(f"b{k}", "n", 1, "f", k) for k in range(5)], "te string, anchor string, order int, family string, start int")
+    pairs = lambda x, y: sorted((r["te_a"], r["te_b"]) for r in synteny.te_ortholog_pairs(x, y).collect())
+    assert pairs(a, b) == [("a0", "b0"), ("a1", "b1"), ("a2", "b2"), ("a2", "b3"), ("a2", "b4")]
+    assert pairs(b, a) == [("b0", "a0"), ("b1", "a1"), ("b2", "a2"), ("b3", "a2"), ("b4", "a2")]
 
 
 def test_recode_steps(spark):
