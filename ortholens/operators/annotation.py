@@ -9,7 +9,7 @@ from ortholens.functions import seqs
 from ortholens.functions.maths import pct
 from ortholens.functions.seqs import CHUNK
 from ortholens.operators.ranges import bucketed, carried, numbered
-from ortholens.sources.shared import rewritten
+from ortholens.sources.shared import counted, rewritten
 
 
 def gene_index(genes: DataFrame) -> DataFrame:
@@ -41,9 +41,17 @@ def lift_to_contigs(features: DataFrame, agp: DataFrame, width: int = 100_000) -
     )
 
 
-def children_of_kept(children: DataFrame, kept_genes: DataFrame) -> DataFrame:
-    """Child records (exons, CDS) whose gene was kept."""
-    return children.join(kept_genes.select("gene_id").distinct(), "gene_id", "left_semi")
+def split_by_contigs(genes: DataFrame, children: DataFrame, agp: DataFrame, width: int = 100_000) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Genes and children inside one contig, lifted to it; a gene that is not takes its children along.
+
+    Counts: n_genes, n_genes_dropped, n_children, n_children_dropped. Rows carry gene_id; genes are unique by it.
+    """
+    all_, n = counted(genes, "genes", n=F.count(F.lit(1)))
+    lifted, k = counted(lift_to_contigs(all_, agp, width), "lifted", n=F.count(F.lit(1)))
+    own = lifted.select("gene_id", F.lit(True).alias("__kept")).distinct()
+    marked, m = counted(children.join(own, "gene_id", "left"), "children", n=F.count(F.lit(1)), dropped=F.count_if(F.col("__kept").isNull()))
+    counts = {"n_genes": n["n"], "n_genes_dropped": n["n"] - k["n"], "n_children": m["n"], "n_children_dropped": m["dropped"]}
+    return lifted, lift_to_contigs(marked.where("__kept").select(*children.columns), agp, width), counts
 
 
 def overlapping(points: DataFrame, windows: DataFrame, width: int) -> DataFrame:

@@ -154,17 +154,35 @@ def top_paralog_groups(pred: DataFrame, ref: DataFrame, k: int = 5) -> DataFrame
     return per.orderBy(F.desc("fp_pairs"), "pred").limit(k)
 
 
-def paralog_evidence(pred: DataFrame, ref: DataFrame) -> DataFrame:
-    """Adds to paralog_pairs whether the gene's species already has a member of the group's main reference group."""
+def paralog_evidence(pred: DataFrame, ref: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds to paralog_pairs whether the gene's species already has a member of the group's main reference group (spp_in_main),
+    whether a gene that it would truly pair with has its symbol (same_symbol), and whether its symbol is a placeholder (is_loc).
+
+    symbols: spp, gene, symbol. Genes are compared by equality of symbols, not pair by pair.
+    """
     m = mapped(pred, exclude_single_species(ref), "orig_group")
     main = main_groups(m).select("pred", "main")
     has = m.join(main, "pred").where("ref = main").select("pred", "spp").distinct().withColumn("spp_in_main", F.lit(True))
-    return paralog_pairs(pred, ref).join(has, ["pred", "spp"], "left").na.fill(False, ["spp_in_main"])
+    named = symbols.groupBy(*GENE).agg(F.min("symbol").alias("symbol"))
+    mates = m.where("ref is not null").join(named, GENE).select("pred", F.col("ref").alias("y"), F.col("spp").alias("spp_b"), "symbol").distinct()
+    own = paralog_pairs(pred, ref).join(named, GENE, "left")
+    met = own.join(mates, ["pred", "symbol"]).where("spp <> spp_b").join(main_groups(m), "pred")
+    true = (F.col("orig_group") == F.col("y")) | (F.col("is_subset") & ((F.col("main") == F.col("orig_group")) | (F.col("main") == F.col("y"))))
+    same = met.where(true).select("pred", *GENE).distinct().withColumn("same_symbol", F.lit(True))
+    out = own.join(has, ["pred", "spp"], "left").join(same, ["pred", *GENE], "left")
+    return out.withColumn("is_loc", F.coalesce(F.lower("symbol").startswith("loc"), F.lit(False))).na.fill(False, ["spp_in_main", "same_symbol"]).drop("symbol")
+
+
+def paralog_summary(evidence: DataFrame) -> DataFrame:
+    """n_genes, n_concordant (genes with a would-be true pair), and of those the shares with each kind of evidence."""
+    true = F.col("tp_pairs") > 0
+    part = lambda c: F.round(F.try_divide(F.count_if(true & F.col(c)), F.count_if(true)), 3)
+    return evidence.agg(F.count(F.lit(1)).alias("n_genes"), F.count_if(true).alias("n_concordant"), part("same_symbol").alias("same_symbol"), part("spp_in_main").alias("spp_in_main"), part("is_loc").alias("is_loc"))
 
 
-def paralog_species(pred: DataFrame, ref: DataFrame) -> DataFrame:
+def paralog_species(evidence: DataFrame) -> DataFrame:
     """spp, n_genes, n_in_main, tp_pairs, fp_pairs: paralog_evidence by species."""
-    return paralog_evidence(pred, ref).groupBy("spp").agg(
+    return evidence.groupBy("spp").agg(
         F.count(F.lit(1)).alias("n_genes"), F.count_if("spp_in_main").alias("n_in_main"), F.sum("tp_pairs").alias("tp_pairs"), F.sum("fp_pairs").alias("fp_pairs")
     )
 

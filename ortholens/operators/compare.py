@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ortholens.functions.maths import pct
 from ortholens.operators.bench import majority_groups
-from ortholens.operators.groups import GENE, multigrouped, overlap, profile, sizes
+from ortholens.operators.groups import GENE, duplicate_classes, multigrouped, overlap, paralog_genes, profile, sizes
 
 NEAR = 100
 
@@ -33,16 +33,21 @@ def classify_reference(ref: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def classify_other(other: DataFrame, pred: DataFrame, n_spp: int | None = None) -> DataFrame:
-    """group_id, label, n_genes, n_pred, n_shared, n_union, n_multi, paralogous, single_copy, duplicate flags per other-group."""
-    hit = overlap(other, pred).groupBy(F.col("group_a").alias("group_id")).agg(
-        F.count(F.lit(1)).alias("n_pred"), F.sum("n_shared").alias("n_shared"), F.sum("size_b").alias("n_union")
+    """group_id, label, n_genes, n_pred, n_shared, n_union, n_multi, paralogous, single_copy, duplicate (another group has the
+    same members), resolved (pred has the same genes, in one group or several), n_lost (genes that pred lacks), n_extra (genes of
+    the touched predicted groups that this one lacks) and n_strange (those in no other-group) per other-group."""
+    strange = pred.select(F.col("group_id").alias("group_b"), *GENE).distinct().join(other.select(*GENE), GENE, "left_anti").groupBy("group_b").agg(F.count(F.lit(1)).alias("un"))
+    hit = overlap(other, pred).join(strange, "group_b", "left").groupBy(F.col("group_a").alias("group_id")).agg(
+        F.count(F.lit(1)).alias("n_pred"), F.sum("n_shared").alias("n_shared"), F.sum("size_b").alias("n_union"), F.sum(F.coalesce("un", F.lit(0))).alias("n_strange")
     )
+    twice = duplicate_classes(other).select("group_id", F.lit(True).alias("duplicate"))
     many = multigrouped(other).select(*GENE)
     o = other.select("group_id", *GENE).distinct()
     multi = o.join(many, GENE, "left_semi")
     n_multi = multi.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_multi"))
     alone = multi.join(pred.select(*GENE), GENE, "left_anti").groupBy("group_id").agg(F.count(F.lit(1)).alias("multi_extra"))
     j = profile(other, n_spp).join(hit, "group_id", "left").join(n_multi, "group_id", "left").join(alone, "group_id", "left").na.fill(0)
+    j = j.join(twice, "group_id", "left").na.fill(False, ["duplicate"])
     extra, all_in = F.col("n_genes") - F.col("n_shared"), F.col("n_union") == F.col("n_shared")
     label = (
         F.when(F.col("n_pred") == 0, "Missing")
@@ -52,7 +57,10 @@ def classify_other(other: DataFrame, pred: DataFrame, n_spp: int | None = None)
         .when(extra == 0, "Subset")
         .otherwise("Conflict")
     )
-    return j.select("group_id", label.alias("label"), "n_genes", "n_pred", "n_shared", "n_union", "n_multi", F.col("single_spp").alias("paralogous"), "single_copy")
+    return j.select(
+        "group_id", label.alias("label"), "n_genes", "n_pred", "n_shared", "n_union", "n_multi", F.col("single_spp").alias("paralogous"), "single_copy",
+        "duplicate", label.isin("Equal", "Split").alias("resolved"), extra.alias("n_lost"), (F.col("n_union") - F.col("n_shared")).alias("n_extra"), "n_strange",
+    )
 
 
 def classify_consensus(pred: DataFrame, merged: DataFrame) -> DataFrame:
@@ -88,20 +96,23 @@ def nearest_member(rows: DataFrame, key: str = "group_id") -> DataFrame:
     return rows.select("*", F.least(F.col("idx") - before, after - F.col("idx")).alias("distance"))
 
 
-def missing_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
-    """group_id, spp, gene, reason, distance for every gene of groups that pred lacks."""
+def missing_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR, among: DataFrame | None = None) -> DataFrame:
+    """group_id, spp, gene, reason, distance for every gene of groups that pred lacks.
+
+    Multi-grouped are genes in several groups of `among`, the grouping that groups are taken from (groups itself, if not given).
+    """
+    many = multigrouped(groups if among is None else among).select(*GENE, F.lit(True).alias("many"))
     g = groups.select("group_id", *GENE).distinct()
     p = pred.select(*GENE).distinct().withColumn("has", F.lit(True))
     rows = g.join(p, GENE, "left").join(positions.select(*GENE, "chrom", "idx"), GENE, "left").withColumn("is_member", F.col("has").isNotNull())
     placed = nearest_member(rows)
     spp_has = F.max(F.col("is_member").cast("int")).over(Window.partitionBy("group_id", "spp")) == 1
     reason = (
-        F.when(F.col("idx").isNull(), "Not in Annotation").when(~F.col("spp_has"), "No Ortholog Detected").when(F.col("distance").isNull(), "Different Chromosome")
-        .when(F.col("distance") <= dist, "Sequence Similarity").otherwise("Distance")
+        F.when(F.col("idx").isNull(), "Not in Annotation").when(F.col("many"), "Multi-Grouped").when(~F.col("spp_has"), "No Ortholog Detected")
+        .when(F.col("distance").isNull(), "Different Chromosome").when(F.col("distance") <= dist, "Sequence Similarity").otherwise("Distance")
     )
-    return placed.withColumn("spp_has", spp_has).where(~F.col("is_member")).select(
-        "group_id", *GENE, reason.alias("reason"), F.when(F.col("idx").isNotNull() & F.col("spp_has"), F.col("distance")).alias("distance")
-    )
+    lost = placed.withColumn("spp_has", spp_has).where(~F.col("is_member")).join(many, GENE, "left").na.fill(False, ["many"])
+    return lost.select("group_id", *GENE, reason.alias("reason"), F.when(F.col("idx").isNotNull() & F.col("spp_has"), F.col("distance")).alias("distance"))
 
 
 def split_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
@@ -121,11 +132,11 @@ def split_reasons(groups: DataFrame, pred: DataFrame, positions: DataFrame, dist
 def superset_detail(other: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
     """group_id, the number of un-grouped genes by reason, and whether all, some or none of their species are missing."""
     sup = classify_other(other, pred).where("label = 'Superset'").select("group_id")
-    r = missing_reasons(other.join(sup, "group_id", "left_semi"), pred, positions, dist)
+    r = missing_reasons(other.join(sup, "group_id", "left_semi"), pred, positions, dist, other)
     n = lambda text, name: F.count_if(F.col("reason") == text).alias(name)
     out = r.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_missing"), n("Not in Annotation", "not_in_annotation"), n("No Ortholog Detected", "spp_missing"),
-        n("Different Chromosome", "different_chrom"), n("Sequence Similarity", "sequence_similarity"), n("Distance", "distance"),
+        n("Different Chromosome", "different_chrom"), n("Sequence Similarity", "sequence_similarity"), n("Distance", "distance"), n("Multi-Grouped", "multi_grouped"),
     )
     tag = F.when(F.col("spp_missing") == F.col("n_missing"), "All Missing").when(F.col("spp_missing") > 0, "Partially Missing").otherwise("None Missing")
     return out.select("*", tag.alias("tag"))
@@ -168,11 +179,11 @@ def subset_detail(other: DataFrame, pred: DataFrame) -> DataFrame:
 def conflict_detail(other: DataFrame, pred: DataFrame, positions: DataFrame, dist: int = NEAR) -> DataFrame:
     """For groups in conflict: kinds of extra predicted genes and reasons of missing ones."""
     extra = _extra_kinds(other, pred, "Conflict")
-    missing = missing_reasons(other.join(extra.select("group_id"), "group_id", "left_semi"), pred, positions, dist)
+    missing = missing_reasons(other.join(extra.select("group_id"), "group_id", "left_semi"), pred, positions, dist, other)
     n = lambda text, name: F.count_if(F.col("reason") == text).alias(name)
     why = missing.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_missing"), n("Not in Annotation", "not_in_annotation"), n("No Ortholog Detected", "spp_missing"),
-        n("Different Chromosome", "different_chrom"), n("Sequence Similarity", "sequence_similarity"), n("Distance", "distance"),
+        n("Different Chromosome", "different_chrom"), n("Sequence Similarity", "sequence_similarity"), n("Distance", "distance"), n("Multi-Grouped", "multi_grouped_missing"),
     )
     return extra.join(why, "group_id", "left").na.fill(0).select("*", _mix_label(F.lit("mixed")).alias("detail"))
 
@@ -199,12 +210,14 @@ def missing_cause(groups: DataFrame, pred: DataFrame, positions: DataFrame, near
 
 
 def two_method_report(pred: DataFrame, other: DataFrame) -> DataFrame:
-    """group_id, relation, detail of each other-group against pred, with the cases of subsets and supersets told apart."""
+    """group_id, relation, detail of each other-group against pred, with the cases of subsets and supersets told apart;
+    n_paralogs: genes of its predicted groups that other keeps in one-species groups."""
     n = overlap(other, pred)
     hit = n.groupBy(F.col("group_a").alias("group_id")).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n_shared").alias("shared"), F.sum("size_b").alias("union"), F.count_if(F.col("n_shared") == F.col("size_b")).alias("whole")
     )
-    j = sizes(other).join(hit, "group_id", "left").na.fill(0).withColumn("missing", F.col("n_genes") - F.col("shared")).withColumn("rest", F.col("union") - F.col("shared"))
+    j = sizes(other).join(hit, "group_id", "left").join(paralogs_met(pred, other), "group_id", "left").na.fill(0)
+    j = j.withColumn("missing", F.col("n_genes") - F.col("shared")).withColumn("rest", F.col("union") - F.col("shared"))
     k, missing, rest = F.col("k"), F.col("missing"), F.col("rest")
     relation = F.when(k == 0, "Absent").when((missing == 0) & (rest == 0), F.when(k == 1, "Equal").otherwise("Split")).when(rest == 0, "Superset").when(missing == 0, "Subset").otherwise("Mixed")
     detail = (
@@ -213,7 +226,21 @@ def two_method_report(pred: DataFrame, other: DataFrame) -> DataFrame:
         .when(missing == 0, F.when(k == 1, "other has more").when(F.col("whole") == 0, "split with others").otherwise("split, some whole"))
         .when(rest < missing, "less remainder").when(rest > missing, "greater remainder").otherwise("equal remainder")
     )
-    return j.select("group_id", relation.alias("relation"), detail.alias("detail"), k.alias("n_pred"), "missing", "rest")
+    return j.select("group_id", relation.alias("relation"), detail.alias("detail"), k.alias("n_pred"), "missing", "rest", "n_paralogs")
+
+
+def two_method_reasons(pred: DataFrame, other: DataFrame, positions: DataFrame, dist: int = 15) -> DataFrame:
+    """group_id, relation, spp, gene, reason, distance: genes that pred lacks, with reasons at a short distance."""
+    lost = missing_reasons(other, pred, positions, dist)
+    return lost.join(two_method_report(pred, other).select("group_id", "relation"), "group_id").select("group_id", "relation", *GENE, "reason", "distance")
+
+
+def paralogs_met(pred: DataFrame, other: DataFrame) -> DataFrame:
+    """group_id, n_paralogs: for each other-group the genes that its predicted groups add and other keeps in a one-species group."""
+    own = other.select("group_id", *GENE).distinct()
+    touched = overlap(other, pred).select(F.col("group_a").alias("group_id"), F.col("group_b").alias("pred"))
+    extra = touched.join(pred.select(F.col("group_id").alias("pred"), *GENE).distinct(), "pred").join(own, ["group_id", *GENE], "left_anti")
+    return extra.join(paralog_genes(other).select(*GENE).distinct(), GENE, "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_paralogs"))
 
 
 def pairwise_tables(pairs: DataFrame, pred: DataFrame) -> DataFrame:

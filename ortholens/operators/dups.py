@@ -14,6 +14,12 @@ def block_sizes(segdups: DataFrame) -> DataFrame:
     return segdups.select("spp", "block_id", "size").distinct().groupBy("spp", "size").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
+def pair_block_sizes(segdups: DataFrame) -> DataFrame:
+    """spp, spp_b, size, n_blocks: each block once for either direction of its species pair."""
+    both = segdups.select("spp", "spp_b", "block_id", "size").unionByName(segdups.select(F.col("spp_b").alias("spp"), F.col("spp").alias("spp_b"), "block_id", "size"))
+    return both.distinct().groupBy("spp", "spp_b", "size").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
 def place_segmental(groups: DataFrame, segdups: DataFrame, retrogenes: DataFrame, min_spp: int = 2) -> DataFrame:
     """group_id, spp, gene, state: placed copies (`S`), and those that are not: `ambiguous` or `low support` without group.
 
@@ -41,42 +47,73 @@ def anchored_groups(groups: DataFrame, anchor: str, fish: list[str], assembled:
 
     groups: group_id, spp, gene, state, chrom; tandem copies have state T.
     """
+    return _anchor_flags(groups, anchor, fish, assembled).where("met and few").select("group_id", "off_chrom")
+
+
+def _anchor_flags(groups: DataFrame, anchor: str, fish: list[str], assembled: str) -> DataFrame:
+    """group_id, met (one anchor gene, every fish), few (at most one own copy in each fish), off_chrom."""
     n = lambda cond, name: F.count_if(cond).alias(name)
     spp = F.col("spp")
     per = groups.groupBy("group_id").agg(
         n(spp == anchor, "anchors"), *(n(spp == f, f"n_{k}") for k, f in enumerate(fish)),
         *(n((spp == f) & (F.coalesce(F.col("state"), F.lit("")) != "T"), f"own_{k}") for k, f in enumerate(fish)), n(~F.coalesce(F.col("chrom"), F.lit("")).startswith(assembled), "off"),
     )
-    ok = F.col("anchors") == 1
+    met, few = F.col("anchors") == 1, F.lit(True)
     for k in range(len(fish)):
-        ok = ok & (F.col(f"n_{k}") > 0) & (F.col(f"own_{k}") <= 1)
-    return per.where(ok).select("group_id", (F.col("off") > 0).alias("off_chrom"))
+        met, few = met & (F.col(f"n_{k}") > 0), few & (F.col(f"own_{k}") <= 1)
+    return per.select("group_id", met.alias("met"), few.alias("few"), (F.col("off") > 0).alias("off_chrom"))
 
 
-def ohnolog_candidates(groups: DataFrame, ref: DataFrame, anchor: str, fish: list[str], assembled: str = "NC_") -> DataFrame:
-    """group_id, candidate, category: for each anchored group the best other group that shares a reference group with its fish
-    genes, has every fish, and whose shared fish genes are on assembled chromosomes that the anchored group does not use.
+def ohnolog_pairs(groups: DataFrame, ref: DataFrame, anchor: str, fish: list[str], assembled: str = "NC_") -> DataFrame:
+    """group_id, candidate, category, one_anchor: for each anchored group the other groups that share a reference group with its
+    fish genes, have every fish, and whose shared fish genes are on assembled chromosomes that the anchored group does not use.
 
-    Categories, best first: 1 fish only, 2 other species without anchor, 3 with anchor; then the least candidate id.
+    Categories: 1 fish only, 2 other species without anchor, 3 with anchor. one_anchor: a shared reference group has one anchor
+    gene, grouped or not.
     """
+    single = ref.where(F.col("spp") == anchor).groupBy(F.col("group_id").alias("ref")).agg(F.count_distinct("gene").alias("n")).where("n = 1").select("ref", F.lit(True).alias("one"))
     base = anchored_groups(groups, anchor, fish, assembled).select("group_id")
     r = ref.groupBy(*GENE).agg(F.min("group_id").alias("ref"))
     fishes = groups.where(F.col("spp").isin(*fish)).join(r, GENE).select("group_id", *GENE, "chrom", "ref")
     own = fishes.join(base, "group_id", "left_semi").select(F.col("group_id").alias("a"), "ref").distinct()
     used = groups.join(base, "group_id", "left_semi").where(F.col("spp").isin(*fish)).select(F.col("group_id").alias("a"), F.col("spp").alias("us"), F.col("chrom").alias("uc")).distinct()
-    met = own.join(fishes, "ref").where("a <> group_id").select("a", "group_id", *GENE, "chrom").distinct()
+    met = own.join(single, "ref", "left").join(fishes, "ref").where("a <> group_id").groupBy("a", "group_id", *GENE, "chrom").agg(F.coalesce(F.bool_or("one"), F.lit(False)).alias("one"))
     same = (F.col("a") == F.col("ua")) & (F.col("spp") == F.col("us")) & (F.col("chrom") == F.col("uc"))
     flagged = met.join(used.withColumnRenamed("a", "ua"), same, "left")
     good = F.coalesce(F.col("chrom"), F.lit("")).startswith(assembled) & F.col("us").isNull()
-    cand = flagged.groupBy("a", "group_id").agg(F.bool_and(good).alias("ok")).where("ok")
+    cand = flagged.groupBy("a", "group_id").agg(F.bool_and(good).alias("ok"), F.bool_or("one").alias("one_anchor")).where("ok")
     kinds = groups.groupBy("group_id").agg(
         F.max((F.col("spp") == anchor).cast("int")).alias("has_anchor"), F.max((~F.col("spp").isin(anchor, *fish)).cast("int")).alias("has_other"),
         *(F.max((F.col("spp") == f).cast("int")).alias(f"f{k}") for k, f in enumerate(fish)),
     )
     full = cand.join(kinds, "group_id").where(" and ".join(f"f{k} = 1" for k in range(len(fish))))
     category = F.when(F.col("has_anchor") == 1, 3).when(F.col("has_other") == 1, 2).otherwise(1)
-    w = Window.partitionBy("a").orderBy(category, "group_id")
-    return full.withColumn("category", category).withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("a").alias("group_id"), F.col("group_id").alias("candidate"), "category")
+    return full.select(F.col("a").alias("group_id"), F.col("group_id").alias("candidate"), category.alias("category"), "one_anchor")
+
+
+def ohnolog_candidates(pairs: DataFrame) -> DataFrame:
+    """group_id, candidate, category: the best of ohnolog_pairs, by category, then the least candidate id."""
+    best = F.min_by(F.struct("candidate", "category"), F.struct("category", "candidate")).alias("x")
+    return pairs.groupBy("group_id").agg(best).select("group_id", "x.*")
+
+
+def ohnolog_funnel(groups: DataFrame, pairs: DataFrame, anchor: str, fish: list[str], assembled: str = "NC_") -> DataFrame:
+    """stage, n, percent (of the anchored groups, from stage 5 on): how many groups pass each step, from one pass over flags.
+
+    1 one anchor gene and every fish, 2 of these with too many copies, 3 anchored, 4 of these with a gene off the assembled
+    chromosomes, 5 with a candidate, 6 with one without anchor, 7 with one of those by a reference group of one anchor gene, 8 and
+    of fish only.
+    """
+    f = _anchor_flags(groups, anchor, fish, assembled)
+    c = pairs.groupBy("group_id").agg(
+        F.lit(True).alias("any"), F.bool_or(F.col("category") < 3).alias("free"), F.bool_or((F.col("category") < 3) & F.col("one_anchor")).alias("one"), F.bool_or((F.col("category") == 1) & F.col("one_anchor")).alias("fish")
+    )
+    j = f.join(c, "group_id", "left").na.fill(False)
+    met = F.col("met")
+    stages = [met, met & ~F.col("few"), met & F.col("few"), met & F.col("few") & F.col("off_chrom"), *(met & F.col("few") & F.col(x) for x in ("any", "free", "one", "fish"))]
+    counts = j.agg(*(F.count_if(s).alias(f"s{k}") for k, s in enumerate(stages, 1)))
+    long_ = counts.select("s3", F.explode(F.array(*(F.struct(F.lit(k).alias("stage"), F.col(f"s{k}").alias("n")) for k in range(1, 9)))).alias("x"))
+    return long_.select("x.stage", "x.n", F.when(F.col("x.stage") > 4, pct(F.col("x.n"), F.col("s3"))).alias("percent"))
 
 
 def ohnolog_summary(groups: DataFrame, best: DataFrame, anchor: str, fish: list[str], assembled: str = "NC_") -> DataFrame:

@@ -140,6 +140,24 @@ def duplicate_groups(groups: DataFrame) -> DataFrame:
     return same.where("same = n_genes").select("group_id", "first_group", "n_genes")
 
 
+def duplicate_classes(groups: DataFrame) -> DataFrame:
+    """group_id, first_group, n_genes, type of all groups whose member set another group has too: `ortholog` or `paralog` (one
+    species). The first group stands for its class, so that a set with very many copies costs one row a copy."""
+    later = duplicate_groups(groups)
+    firsts = later.groupBy("first_group", "n_genes").agg(F.count(F.lit(1)).alias("k")).select(F.col("first_group").alias("group_id"), "first_group", "n_genes")
+    kind = groups.groupBy("group_id").agg(F.when(F.min("spp") == F.max("spp"), "paralog").otherwise("ortholog").alias("type"))
+    return later.unionByName(firsts).join(kind, "group_id").select("group_id", "first_group", "n_genes", "type")
+
+
+def duplicate_counts(groups: DataFrame) -> DataFrame:
+    """type (`ortholog`, `paralog`, `both`), n_groups, n_genes of duplicated groups; `both`: genes in duplicates of either type."""
+    of = duplicate_classes(groups)
+    n = of.groupBy("type").agg(F.count(F.lit(1)).alias("n_groups"))
+    genes = groups.select("group_id", *GENE).join(of.where("group_id = first_group").select("group_id", "type"), "group_id").groupBy(*GENE).agg(F.min("type").alias("type"), F.max("type").alias("last"))
+    each = genes.select(F.explode(F.when(F.col("type") == F.col("last"), F.array("type")).otherwise(F.array("type", "last", F.lit("both")))).alias("type"))
+    return each.groupBy("type").agg(F.count(F.lit(1)).alias("n_genes")).join(n, "type", "left").select("type", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "n_genes")
+
+
 def coverage(genes: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """spp (null: all), n_genes, in_a, in_b, paralogous_b, single_b (in_b but not paralogous), multigrouped_b, pct_a, pct_b:
     annotated genes that groupings hold; out_a, out_b: grouped genes that are not annotated."""
@@ -159,8 +177,11 @@ def coverage(genes: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("*", pct(F.col("in_a"), F.col("n_genes")).alias("pct_a"), pct(F.col("in_b"), F.col("n_genes")).alias("pct_b"))
 
 
-def filter_by_level(ogs: DataFrame, level: str) -> DataFrame:
-    """og_id of one level."""
+def filter_by_level(ogs: DataFrame, level: str, levels: DataFrame | None = None) -> DataFrame:
+    """og_id of one level; with levels (level_id, name) the level is looked up by its name, whatever its case."""
+    if levels is not None:
+        ids = levels.where(F.lower("name") == level.lower()).select("level_id").distinct()
+        return ogs.join(ids, "level_id", "left_semi").select("og_id")
     return ogs.where(F.col("level_id") == level).select("og_id")
 
 
@@ -185,7 +206,8 @@ def collapse_transcripts(groups: DataFrame, strip) -> DataFrame:
 def pattern_by_state(df: DataFrame, conditions: dict[str, tuple[str, ...]], at_most: tuple[str, str] | None = None) -> DataFrame:
     """group_id and <org>_state, <org>_count of groups whose orgs are those of conditions, each in one of its states.
 
-    df rows are (group_id, org, state, count); `D` rows are ignored. at_most=(x, y) asks that x's count is at most y's.
+    df rows are (group_id, org, state, count); `D` rows are ignored. orgs_by_count lists the orgs by falling count, top_count is
+    the largest: the report's order is top_count, falling. at_most=(x, y) asks that x's count is at most y's.
     """
     kept = df.where("state <> 'D'")
     wide = kept.groupBy("group_id").pivot("org", sorted(conditions)).agg(F.min("state").alias("state"), F.max("count").alias("count"))
@@ -195,7 +217,9 @@ def pattern_by_state(df: DataFrame, conditions: dict[str, tuple[str, ...]], at_m
         ok = ok & F.col(f"`{org}_state`").isin(*states)
     if at_most:
         ok = ok & (F.col(f"`{at_most[0]}_count`") <= F.col(f"`{at_most[1]}_count`"))
-    return wide.join(n, "group_id").where(ok)
+    counts = F.array_sort(F.array(*(F.struct((-F.col(f"`{o}_count`")).alias("k"), F.lit(o).alias("org")) for o in sorted(conditions))))
+    out = wide.join(n, "group_id").where(ok)
+    return out.withColumns({"orgs_by_count": F.array_join(F.transform(counts, lambda x: x["org"]), ","), "top_count": -counts[0]["k"]})
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 100, seed: int = 1234) -> DataFrame:

@@ -26,8 +26,22 @@ def group_matrix(hits: DataFrame, groups: DataFrame) -> DataFrame:
     return own.unionByName(between.select("group_id", "gene_a", "gene_b", "best", F.lit(False).alias("same_group")))
 
 
+def both_duplicated(rbh: DataFrame, duplicated: DataFrame, gene_a: str, gene_b: str) -> DataFrame:
+    """rbh with both_dup: both genes of the hit are in duplicated (gene)."""
+    d = duplicated.select("gene").distinct()
+    side = lambda c, flag: d.select(F.col("gene").alias(c), F.lit(True).alias(flag))
+    j = rbh.join(side(gene_a, "__a"), gene_a, "left").join(side(gene_b, "__b"), gene_b, "left")
+    return j.withColumn("both_dup", F.col("__a").isNotNull() & F.col("__b").isNotNull()).drop("__a", "__b")
+
+
+def member_sequences(sequences: DataFrame, id_map: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_id, gene, seq_id, seq: the sequences of every member; id_map (isoform, gene) leads from sequence to gene."""
+    m = id_map.select(F.col("isoform").alias("seq_id"), "gene").distinct()
+    return for_groups(sequences.select("seq_id", "seq").join(m, "seq_id"), groups, "gene").select("group_id", "gene", "seq_id", "seq")
+
+
 def length_regression(rbh: DataFrame, keys: list[str], length_a: str, length_b: str, score: str) -> DataFrame:
-    """slope, intercept, r2 of log10(score) on log10 of the length product, per key."""
+    """slope, intercept, r2 of log10(score) on log10 of the length product, per key (with both_dup among them: apart for those)."""
     x, y = log_product(F.col(length_a), F.col(length_b)), F.when(F.col(score) > 0, F.log10(score))
     return rbh.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2")

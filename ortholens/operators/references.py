@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholens.functions import ids
+from ortholens.sources.shared import counted
 
 
 def build_reference(og2genes: DataFrame, genes: DataFrame, species: DataFrame) -> DataFrame:
@@ -21,11 +22,23 @@ def build_reference(og2genes: DataFrame, genes: DataFrame, species: DataFrame) -
 
 
 def build_lookup(records: DataFrame) -> DataFrame:
-    """spp, kind, id, gene: the first record's gene for each protein id and each numeric gene id."""
+    """spp, kind, id, gene: the first record's gene for each protein id and each numeric gene id, from CDS and gene records if
+    records have a feature."""
+    if "feature" in records.columns:
+        records = records.where("feature in ('CDS', 'gene')")
     one = lambda col, kind: records.where(F.col(col).isNotNull()).select("spp", F.lit(kind).alias("kind"), F.col(col).alias("id"), "gene", "line_no")
     return one("protein_id", "protein_id").unionByName(one("numeric_id", "geneid")).groupBy("spp", "kind", "id").agg(F.min_by("gene", F.struct("line_no", "gene")).alias("gene"))
 
 
+def build_lookup_counted(records: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """build_lookup, and n_records, n_missing (CDS without protein id), n_ignored (other features), counted in one pass."""
+    kept, n = counted(
+        records, "lookup", n_records=F.count(F.lit(1)), n_missing=F.count_if((F.col("feature") == "CDS") & F.col("protein_id").isNull()),
+        n_ignored=F.count_if(~F.coalesce(F.col("feature").isin("CDS", "gene"), F.lit(False))),
+    )
+    return build_lookup(kept), n
+
+
 def rename(ref: DataFrame, lookup: DataFrame) -> DataFrame:
     """group_id, spp, gene, source: the first of a row's ids that the lookup knows names the gene; others stay as they are.
 

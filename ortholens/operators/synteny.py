@@ -17,6 +17,17 @@ def contradictions(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return j.withColumn("issue", issue).where("issue is not null").select("gene_a", "gene_b", "group_a", "group_b", "issue")
 
 
+def contradiction_counts(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """file (null: all), n_pairs, different, a_missing, b_missing, both_missing over pairs (file, gene_a, gene_b)."""
+    g = groups.groupBy("gene").agg(F.min("group_id").alias("g"))
+    j = pairs.join(g.toDF("gene_a", "ga"), "gene_a", "left").join(g.toDF("gene_b", "gb"), "gene_b", "left")
+    a, b = F.col("ga").isNull(), F.col("gb").isNull()
+    return j.rollup("file").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("ga") != F.col("gb")).alias("different"), F.count_if(a & ~b).alias("a_missing"),
+        F.count_if(~a & b).alias("b_missing"), F.count_if(a & b).alias("both_missing"),
+    )
+
+
 def tree_vs_pairs(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """org, gene, issues: per tree gene and partner, whether pairs lack the gene, the link, or link to another gene.
 

@@ -49,13 +49,31 @@ def _states(s, d):
     return c.where("org in ('1-URGENT', '2-HIGH', '3-MEDIUM')")
 
 
+def _copies(s, d):
+    """Orders with few distinct members, of one or two kinds: many have the same set."""
+    g = F.col("gene") % 40
+    return lines(s, d).select("group_id", F.when(g < 20, "x").otherwise("y").alias("spp"), g.alias("gene"))
+
+
+def _symbols(s, d):
+    """A placeholder for every third order, else the month of its date."""
+    o = table(s, d, "orders")
+    symbol = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("LOC"), F.expr("cast(o_orderkey % 7 as string)"))).otherwise(F.concat(F.lit("m"), F.month("o_orderdate").cast("string")))
+    return o.select(F.col("o_orderpriority").alias("spp"), F.col("o_orderkey").alias("gene"), symbol.alias("symbol"))
+
+
+def _evidence(s, d):
+    return bench.paralog_evidence(pred(s, d), ref(s, d), _symbols(s, d))
+
+
 QUERIES = {
     "pair_benchmark": lambda s, d: bench.pair_benchmark(pred(s, d), ref(s, d)),
     "pair_benchmark_rescue": lambda s, d: bench.pair_benchmark(pred(s, d), ref(s, d), rescue=True),
     "misplaced_genes": lambda s, d: bench.misplaced_genes(pred(s, d), ref(s, d)),
     "paralog_pairs": lambda s, d: bench.paralog_pairs(pred(s, d), ref(s, d)),
     "top_paralog_groups": lambda s, d: bench.top_paralog_groups(pred(s, d), ref(s, d)),
-    "paralog_evidence": lambda s, d: bench.paralog_evidence(pred(s, d), ref(s, d)),
+    "paralog_evidence": _evidence,
+    "paralog_summary": lambda s, d: bench.paralog_summary(_evidence(s, d)),
     "refog_total": lambda s, d: bench.refog_total(bench.refog_scores(ref(s, d), _uncertain(s, d), pred(s, d))).select(*(F.round(c, 4).alias(c) for c in ("precision", "recall", "f1"))),
     "filter_groups": lambda s, d: groups.filter_groups(pred(s, d), [1, 2, 3, 100]),
     "refog_scores": lambda s, d: bench.refog_scores(ref(s, d), _uncertain(s, d), pred(s, d)),
@@ -74,6 +92,8 @@ QUERIES = {
     "coverage_rollup": lambda s, d: groups.coverage(genes(s, d), pred(s, d), multi(s, d)),
     "gene_overlap_summary": lambda s, d: groups.gene_overlap_summary(pred(s, d), ref(s, d)),
     "duplicate_groups": lambda s, d: groups.duplicate_groups(lines(s, d).withColumn("gene", F.expr("gene % 40")).withColumn("spp", F.lit("x"))),
+    "duplicate_classes": lambda s, d: groups.duplicate_classes(_copies(s, d)),
+    "duplicate_counts": lambda s, d: groups.duplicate_counts(_copies(s, d)),
     "missing_members": lambda s, d: groups.missing_in(pred(s, d), ref(s, d)),
     "missing_counts": lambda s, d: groups.missing_counts(ref(s, d), pred(s, d)),
     "top_repeated": lambda s, d: groups.top_repeated(lines(s, d)),
@@ -81,14 +101,16 @@ QUERIES = {
     "pattern_by_state": lambda s, d: groups.pattern_by_state(_states(s, d), {"1-URGENT": ("F", "O"), "2-HIGH": ("O",), "3-MEDIUM": ("F", "P")}, ("1-URGENT", "2-HIGH")),
     "gene_index": lambda s, d: pos(s, d),
     "nearest_member_reason": lambda s, d: compare.missing_reasons(ref(s, d), pred(s, d), pos(s, d)),
+    "multi_grouped_reason": lambda s, d: compare.missing_reasons(multi(s, d), pred(s, d), pos(s, d)),
     "split_reasons": lambda s, d: compare.split_reasons(ref(s, d), pred(s, d), pos(s, d), 20),
     "missing_cause": lambda s, d: compare.missing_cause(ref(s, d), pred(s, d), pos(s, d), 20),
-    "paralog_species": lambda s, d: bench.paralog_species(pred(s, d), ref(s, d)),
+    "paralog_species": lambda s, d: bench.paralog_species(_evidence(s, d)),
     "superset_detail": lambda s, d: compare.superset_detail(ref(s, d), pred(s, d), pos(s, d)),
     "subset_detail": lambda s, d: compare.subset_detail(multi(s, d), pred(s, d)),
     "conflict_detail": lambda s, d: compare.conflict_detail(ref(s, d), pred(s, d), pos(s, d)),
     "split_cause": lambda s, d: compare.split_cause(ref(s, d), pos(s, d), 20),
     "two_method_report": lambda s, d: compare.two_method_report(pred(s, d), ref(s, d)),
+    "two_method_reasons": lambda s, d: compare.two_method_reasons(pred(s, d), ref(s, d), pos(s, d)),
     "pairwise_tables": lambda s, d: compare.pairwise_tables(_pair_rows(s, d), pred(s, d)),
     "consensus_groups": lambda s, d: consensus.merge_methods(pred(s, d), ref(s, d), third(s, d)),
     "components": lambda s, d: consensus.components(_edges(s, d)),
@@ -140,11 +162,15 @@ mu AS (SELECT group_id, count(*) AS n_multi, count(*) FILTER (NOT EXISTS (SELECT
 co AS (SELECT os.group_id, n_genes, coalesce(n_pred, 0) AS n_pred, coalesce(n_shared, 0) AS n_shared, coalesce(n_union, 0) AS n_union,
               coalesce(n_multi, 0) AS n_multi, n_spp = 1 AS paralogous, n_genes = n_spp AS single_copy, coalesce(multi_extra, 0) AS me
        FROM os LEFT JOIN h USING (group_id) LEFT JOIN mu USING (group_id)),
+du AS (SELECT group_id, count(*) OVER (PARTITION BY k) > 1 AS duplicate FROM (SELECT group_id, list_sort(list(DISTINCT spp || ':' || gene)) AS k FROM o GROUP BY group_id)),
+st AS (SELECT tc.group_id, sum(n)::BIGINT AS n_strange FROM tc JOIN (SELECT group_id AS pg, count(*) AS n FROM (SELECT DISTINCT * FROM p) p ANTI JOIN o USING (spp, gene) GROUP BY 1) USING (pg) GROUP BY tc.group_id),
 lo AS (SELECT group_id, CASE WHEN n_pred = 0 THEN 'Missing'
               WHEN n_union = n_shared AND n_genes = n_shared THEN CASE WHEN n_pred > 1 THEN 'Split' ELSE 'Equal' END
               WHEN n_union = n_shared AND n_genes - n_shared = me THEN 'MultiGroups'
               WHEN n_union = n_shared THEN 'Superset' WHEN n_genes = n_shared THEN 'Subset' ELSE 'Conflict' END AS label,
-              n_genes, n_pred, n_shared, n_union, n_multi, paralogous, single_copy FROM co)"""
+              n_genes, n_pred, n_shared, n_union, n_multi, paralogous, single_copy,
+              duplicate, n_pred > 0 AND n_union = n_shared AND n_genes = n_shared AS resolved, n_genes - n_shared AS n_lost, n_union - n_shared AS n_extra, coalesce(n_strange, 0) AS n_strange
+       FROM co JOIN du USING (group_id) LEFT JOIN st USING (group_id))"""
 
 _REF_LABELS = """
 sz AS (SELECT group_id, count(*) AS n_genes FROM ref GROUP BY group_id),
@@ -159,20 +185,21 @@ lr AS (SELECT group_id, CASE WHEN n_pred IS NULL THEN 'Absent' ELSE coalesce(nul
 
 #: Reasons of genes of o that p lacks, with positions pos.
 _REASON = """
-g AS (SELECT DISTINCT o.group_id, o.spp, o.gene, p.gene IS NOT NULL AS member, pos.chrom, pos.idx
+g AS (SELECT DISTINCT o.group_id, o.spp, o.gene, p.gene IS NOT NULL AS member, pos.chrom, pos.idx,
+             (o.spp, o.gene) IN (SELECT (spp, gene) FROM o GROUP BY spp, gene HAVING count(DISTINCT group_id) > 1) AS many
       FROM o LEFT JOIN (SELECT DISTINCT spp, gene FROM p) p USING (spp, gene) LEFT JOIN pos USING (spp, gene)),
 nm AS (SELECT x.group_id, x.spp, x.gene, min(abs(x.idx - y.idx)) AS dist FROM g x JOIN g y
        ON x.group_id = y.group_id AND x.spp = y.spp AND x.chrom = y.chrom AND y.member AND NOT x.member GROUP BY ALL),
 sm AS (SELECT DISTINCT group_id, spp FROM g WHERE member),
 rs AS (SELECT g.group_id, g.spp, g.gene,
-              CASE WHEN g.idx IS NULL THEN 'Not in Annotation' WHEN sm.spp IS NULL THEN 'No Ortholog Detected' WHEN nm.dist IS NULL THEN 'Different Chromosome'
+              CASE WHEN g.idx IS NULL THEN 'Not in Annotation' WHEN g.many THEN 'Multi-Grouped' WHEN sm.spp IS NULL THEN 'No Ortholog Detected' WHEN nm.dist IS NULL THEN 'Different Chromosome'
                    WHEN nm.dist <= 100 THEN 'Sequence Similarity' ELSE 'Distance' END AS reason,
               CASE WHEN g.idx IS NOT NULL AND sm.spp IS NOT NULL THEN nm.dist END AS distance
        FROM g LEFT JOIN sm ON sm.group_id = g.group_id AND sm.spp = g.spp LEFT JOIN nm ON nm.group_id = g.group_id AND nm.spp = g.spp AND nm.gene = g.gene WHERE NOT g.member)"""
 
 _COUNT_REASONS = """count(*) FILTER (reason = 'Not in Annotation') AS not_in_annotation, count(*) FILTER (reason = 'No Ortholog Detected') AS spp_missing,
  count(*) FILTER (reason = 'Different Chromosome') AS different_chrom, count(*) FILTER (reason = 'Sequence Similarity') AS sequence_similarity,
- count(*) FILTER (reason = 'Distance') AS distance"""
+ count(*) FILTER (reason = 'Distance') AS distance, count(*) FILTER (reason = 'Multi-Grouped') AS {}"""
 
 _EXTRA = """
 ch AS (SELECT group_id FROM lo WHERE label = '{label}'),
@@ -191,6 +218,9 @@ _DETAIL = """CASE WHEN paralogous + "both" = n_extra THEN 'all paralogs' WHEN mu
 
 _CONS = "cons AS (SELECT concat_ws('-', p.group_id, r.group_id, t.group_id) AS group_id, p.spp, p.gene FROM pred p JOIN ref r USING (spp, gene) JOIN third t USING (spp, gene) QUALIFY count(*) OVER (PARTITION BY p.group_id, r.group_id, t.group_id) > 1)"
 
+_COPIES = """k AS (SELECT group_id, list_sort(list(DISTINCT gene % 40)) AS s FROM lines GROUP BY group_id),
+dc AS (SELECT group_id, min(group_id) OVER w AS first_group, len(s)::BIGINT AS n_genes, CASE WHEN s[1] >= 20 OR s[-1] < 20 THEN 'paralog' ELSE 'ortholog' END AS type, s FROM k WINDOW w AS (PARTITION BY s) QUALIFY count(*) OVER w > 1)"""
+
 _EDGES = "e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey || '.' || l_suppkey || '.' || l_quantity::INT AS b FROM lineitem)"
 
 _MERGED = """WITH RECURSIVE l AS (SELECT 'O:o' || l_orderkey AS a, l_returnflag || ':p' || l_partkey || '.' || l_suppkey || '.' AS kind, l_quantity::INT AS q FROM lineitem),
@@ -286,16 +316,22 @@ SELECT scope, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) F
     "duplicate_groups": with_views("lines") + """,
 k AS (SELECT group_id, list_sort(list(DISTINCT gene % 40)) AS s FROM lines GROUP BY group_id)
 SELECT group_id, first_group, len(s)::BIGINT AS n_genes FROM (SELECT group_id, s, min(group_id) OVER (PARTITION BY s) AS first_group FROM k) WHERE group_id <> first_group""",
+    "duplicate_classes": with_views("lines") + ", " + _COPIES + " SELECT group_id, first_group, n_genes, type FROM dc",
+    "duplicate_counts": with_views("lines") + ", " + _COPIES + """,
+x AS (SELECT DISTINCT type, unnest(s) AS g FROM dc), y AS (SELECT type, g FROM x UNION ALL SELECT 'both', g FROM x GROUP BY g HAVING count(*) > 1)
+SELECT type, (SELECT count(*) FROM dc WHERE dc.type = y.type) AS n_groups, count(*) AS n_genes FROM y GROUP BY type""",
     "missing_members": with_views("pred", "ref") + " SELECT DISTINCT spp, gene FROM pred ANTI JOIN ref USING (spp, gene)",
     "missing_counts": with_views("pred", "ref") + " SELECT spp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM pred p WHERE p.spp = r.spp AND p.gene = r.gene)) AS n_missing, count(*) AS n_genes FROM (SELECT DISTINCT spp, gene FROM ref) r GROUP BY spp",
     "top_repeated": with_views("lines") + " SELECT spp, gene, count(DISTINCT group_id) AS n_groups FROM lines GROUP BY ALL HAVING count(DISTINCT group_id) > 1 ORDER BY n_groups DESC, spp, gene LIMIT 10",
     "pattern_by_state": """
 WITH c AS (SELECT o_custkey AS group_id, o_orderpriority AS org, min(o_orderstatus) AS state, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL)
-SELECT a.group_id, a.state AS "1-URGENT_state", a.n AS "1-URGENT_count", b.state AS "2-HIGH_state", b.n AS "2-HIGH_count", c.state AS "3-MEDIUM_state", c.n AS "3-MEDIUM_count", 3::BIGINT AS n_orgs
+SELECT a.group_id, a.state AS "1-URGENT_state", a.n AS "1-URGENT_count", b.state AS "2-HIGH_state", b.n AS "2-HIGH_count", c.state AS "3-MEDIUM_state", c.n AS "3-MEDIUM_count", 3::BIGINT AS n_orgs,
+  list_aggregate(list_transform(list_sort([{'k': -a.n, 'o': '1-URGENT'}, {'k': -b.n, 'o': '2-HIGH'}, {'k': -c.n, 'o': '3-MEDIUM'}]), lambda x: x.o), 'string_agg', ',') AS orgs_by_count, greatest(a.n, b.n, c.n) AS top_count
 FROM c a JOIN c b ON a.group_id = b.group_id JOIN c ON c.group_id = a.group_id WHERE a.org = '1-URGENT' AND b.org = '2-HIGH' AND c.org = '3-MEDIUM'
   AND a.state IN ('F', 'O') AND b.state = 'O' AND c.state IN ('F', 'P') AND a.n <= b.n""",
     "gene_index": with_views("genes", "pos") + " SELECT * FROM pos",
     "nearest_member_reason": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _REASON + " SELECT * FROM rs",
+    "multi_grouped_reason": with_views("multi", "pred", "genes", "pos") + ", o AS (SELECT * FROM multi), p AS (SELECT * FROM pred)," + _REASON + " SELECT * FROM rs",
     "split_reasons": with_views("pred", "ref", "genes", "pos") + """,
 m AS (SELECT r.group_id, r.spp, r.gene, p.group_id AS pred FROM ref r JOIN pred p USING (spp, gene)),
 mn AS (SELECT group_id, spp, pred, count(*) AS n FROM m GROUP BY ALL),
@@ -311,13 +347,13 @@ e AS (SELECT group_id, spp, chrom, min(idx) AS f, max(idx) AS l FROM x WHERE has
 SELECT x.group_id, x.spp, x.gene, CASE WHEN abs(idx - f) <= 20 OR abs(idx - l) <= 20 THEN 'sequence' ELSE 'synteny' END AS cause
 FROM x LEFT JOIN e ON e.group_id = x.group_id AND e.spp = x.spp AND e.chrom = x.chrom WHERE NOT has""",
     "superset_detail": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _OTHER + "," + _REASON + f""",
-c AS (SELECT group_id, count(*) AS n_missing, {_COUNT_REASONS} FROM rs SEMI JOIN (SELECT group_id FROM lo WHERE label = 'Superset') USING (group_id) GROUP BY group_id)
+c AS (SELECT group_id, count(*) AS n_missing, {_COUNT_REASONS.format("multi_grouped")} FROM rs SEMI JOIN (SELECT group_id FROM lo WHERE label = 'Superset') USING (group_id) GROUP BY group_id)
 SELECT *, CASE WHEN spp_missing = n_missing THEN 'All Missing' WHEN spp_missing > 0 THEN 'Partially Missing' ELSE 'None Missing' END AS tag FROM c""",
     "subset_detail": with_views("multi", "pred") + ", o AS (SELECT * FROM multi), p AS (SELECT * FROM pred)," + _OTHER + "," + _EXTRA.format(label="Subset") + f" SELECT *, {_DETAIL} FROM xt",
     "conflict_detail": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _OTHER + "," + _EXTRA.format(label="Conflict") + "," + _REASON + f""",
-c AS (SELECT group_id, count(*) AS n_missing, {_COUNT_REASONS} FROM rs GROUP BY group_id)
+c AS (SELECT group_id, count(*) AS n_missing, {_COUNT_REASONS.format("multi_grouped_missing")} FROM rs GROUP BY group_id)
 SELECT xt.*, coalesce(n_missing, 0) AS n_missing, coalesce(not_in_annotation, 0) AS not_in_annotation, coalesce(spp_missing, 0) AS spp_missing,
-  coalesce(different_chrom, 0) AS different_chrom, coalesce(sequence_similarity, 0) AS sequence_similarity, coalesce(distance, 0) AS distance, {_DETAIL} FROM xt LEFT JOIN c USING (group_id)""",
+  coalesce(different_chrom, 0) AS different_chrom, coalesce(sequence_similarity, 0) AS sequence_similarity, coalesce(distance, 0) AS distance, coalesce(multi_grouped_missing, 0) AS multi_grouped_missing, {_DETAIL} FROM xt LEFT JOIN c USING (group_id)""",
     "split_cause": with_views("ref", "genes", "pos") + """,
 s AS (SELECT r.group_id, r.spp, chrom, idx - lag(idx) OVER (PARTITION BY r.group_id, r.spp, chrom ORDER BY idx) AS gap FROM ref r JOIN pos USING (spp, gene)),
 x AS (SELECT group_id, spp, count(DISTINCT chrom) AS c, max(gap) AS g FROM s GROUP BY ALL)
@@ -329,7 +365,9 @@ j AS (SELECT group_id, coalesce(k, 0) AS n_pred, n - coalesce(sh, 0) AS missing,
 SELECT group_id, CASE WHEN n_pred = 0 THEN 'Absent' WHEN missing = 0 AND rest = 0 THEN CASE WHEN n_pred = 1 THEN 'Equal' ELSE 'Split' END WHEN rest = 0 THEN 'Superset' WHEN missing = 0 THEN 'Subset' ELSE 'Mixed' END AS relation,
   CASE WHEN n_pred = 0 THEN 'no member' WHEN missing = 0 AND rest = 0 THEN 'same genes' WHEN rest = 0 THEN CASE WHEN n_pred = 1 THEN 'missing only' ELSE 'split and missing' END
     WHEN missing = 0 THEN CASE WHEN n_pred = 1 THEN 'other has more' WHEN wh = 0 THEN 'split with others' ELSE 'split, some whole' END
-    WHEN rest < missing THEN 'less remainder' WHEN rest > missing THEN 'greater remainder' ELSE 'equal remainder' END AS detail, n_pred, missing, rest FROM j""",
+    WHEN rest < missing THEN 'less remainder' WHEN rest > missing THEN 'greater remainder' ELSE 'equal remainder' END AS detail, n_pred, missing, rest,
+  (SELECT count(*) FROM (SELECT DISTINCT p.spp, p.gene FROM t JOIN pred p ON p.group_id = t.pg WHERE t.group_id = j.group_id) x ANTI JOIN (SELECT * FROM ref r WHERE r.group_id = j.group_id) y USING (spp, gene)
+   SEMI JOIN (SELECT spp, gene FROM ref WHERE group_id IN (SELECT group_id FROM ref GROUP BY 1 HAVING count(DISTINCT spp) = 1)) z USING (spp, gene)) AS n_paralogs FROM j""",
     "pairwise_tables": with_views("pred", "ref") + """,
 r AS (SELECT * FROM ref WHERE spp IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
 k AS (SELECT DISTINCT x.group_id, x.spp AS spp_a, y.spp AS spp_b FROM r x JOIN r y ON x.group_id = y.group_id AND x.spp < y.spp),
@@ -354,12 +392,17 @@ SELECT j.pred, spp, gene, merged, main FROM j JOIN m USING (pred) WHERE merged I
 
 ORACLES |= {
     "top_paralog_groups": f"""SELECT pred, count(*) AS n_genes, sum(tp_pairs)::BIGINT AS tp_pairs, sum(fp_pairs)::BIGINT AS fp_pairs FROM ({ORACLES["paralog_pairs"]}) GROUP BY pred ORDER BY fp_pairs DESC, pred LIMIT 5""",
-    "paralog_evidence": ORACLES["paralog_pairs"].replace(
-        "\nSELECT x.pred, x.spp, x.gene", "\nSELECT x.pred, x.spp, x.gene, EXISTS (SELECT 1 FROM m z WHERE z.pred = x.pred AND z.spp = x.spp AND z.ref = any_value(mg.main)) AS spp_in_main"
-    ).replace("GROUP BY ALL", "GROUP BY x.pred, x.spp, x.gene, x.ref"),
+    "paralog_evidence": ORACLES["paralog_pairs"].replace("\na AS (", "\nsy AS (SELECT o_orderpriority AS spp, o_orderkey AS gene, CASE WHEN o_orderkey % 3 = 0 THEN 'LOC' || (o_orderkey % 7) ELSE 'm' || month(o_orderdate) END AS symbol FROM orders),\na AS (").replace(
+        "\nSELECT x.pred, x.spp, x.gene", """
+SELECT x.pred, x.spp, x.gene, EXISTS (SELECT 1 FROM m z WHERE z.pred = x.pred AND z.spp = x.spp AND z.ref = any_value(mg.main)) AS spp_in_main, any_value(sx.symbol) LIKE 'LOC%' AS is_loc,
+ coalesce(bool_or(sx.symbol = sz.symbol AND (x.ref = y.ref OR (sub AND (main = x.ref OR main = y.ref)))), false) AS same_symbol"""
+    ).replace("JOIN mg ON mg.pred = x.pred WHERE x.para", "JOIN mg ON mg.pred = x.pred JOIN sy sx ON sx.spp = x.spp AND sx.gene = x.gene JOIN sy sz ON sz.spp = y.spp AND sz.gene = y.gene WHERE x.para").replace("GROUP BY ALL", "GROUP BY x.pred, x.spp, x.gene, x.ref"),
     "refog_total": f"""WITH t AS (SELECT sum(even_tp) AS tp, sum(even_fp) AS fp, sum(even_fn) AS fn FROM ({ORACLES["refog_scores"]}))
 SELECT round(100 * tp / (tp + fp), 4) AS precision, round(100 * tp / (tp + fn), 4) AS recall, round(200 * tp / (2 * tp + fp + fn), 4) AS f1 FROM t""",
     "filter_groups": with_views("pred") + " SELECT * FROM pred WHERE group_id IN (1, 2, 3, 100)",
 }
 ORACLES["paralog_species"] = f"""SELECT spp, count(*) AS n_genes, count(*) FILTER (spp_in_main) AS n_in_main, sum(tp_pairs)::BIGINT AS tp_pairs, sum(fp_pairs)::BIGINT AS fp_pairs
 FROM ({ORACLES["paralog_evidence"]}) GROUP BY spp"""
+ORACLES["paralog_summary"] = f"""SELECT count(*) AS n_genes, count(*) FILTER (tp_pairs > 0) AS n_concordant, round(avg(same_symbol::INT) FILTER (tp_pairs > 0), 3) AS same_symbol,
+round(avg(spp_in_main::INT) FILTER (tp_pairs > 0), 3) AS spp_in_main, round(avg(is_loc::INT) FILTER (tp_pairs > 0), 3) AS is_loc FROM ({ORACLES["paralog_evidence"]})"""
+ORACLES["two_method_reasons"] = ORACLES["nearest_member_reason"].replace("nm.dist <= 100", "nm.dist <= 15").replace(" SELECT * FROM rs", f" SELECT rs.*, relation FROM rs JOIN ({ORACLES['two_method_report']}) USING (group_id)")

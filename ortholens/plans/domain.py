@@ -203,6 +203,17 @@ def lift_to_contigs(s, d):
     return annotation.lift_to_contigs(_intervals(s, d), agp, 200)
 
 
+def lift_counts(s, d):
+    """Orders as genes from their first to their last ship day, lines as their children, contigs of 40 days."""
+    own = _line(s, d).select(F.col("l_suppkey").alias("chrom"), _days().alias("start"), F.col("l_orderkey").alias("gene_id"))
+    child = own.select(F.lit("all").alias("chrom"), (F.col("start") + 1).alias("start"), (F.col("start") + 1).alias("end"), F.lit("+").alias("strand"), "gene_id")
+    gene = child.groupBy("chrom", "gene_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    k = F.col("id")
+    agp = s.range(100).select(F.lit("all").alias("chrom"), (k * 40 + 1).alias("beg"), ((k + 1) * 40).alias("end"), F.concat(F.lit("ctg"), k.cast("string")).alias("contig"), F.lit(40).cast("long").alias("size"), F.lit("+").alias("orient"))
+    _, _, n = annotation.split_by_contigs(gene, child, agp, 40)
+    return s.createDataFrame([n], "n_genes long, n_genes_dropped long, n_children long, n_children_dropped long")
+
+
 def window_overlap(s, d):
     w = _line(s, d).where("l_quantity <= 2 and l_discount >= 0.09").select(F.col("l_suppkey").alias("chrom"), (_days() - 5).alias("w_start"), (_days() + 5).alias("w_end"), F.col("l_orderkey").alias("anchor"))
     both = annotation.overlapping(_intervals(s, d), w, 64)
@@ -248,6 +259,19 @@ def build_lookup(s, d):
     return references.build_lookup(_records(s, d))
 
 
+def lookup_counts(s, d):
+    """The counts of one pass over records of three features, a third of whose CDS lack a protein id."""
+    r = _records(s, d).withColumn("feature", F.when(F.col("line_no") % 3 == 0, "gene").when(F.col("line_no") % 3 == 1, "CDS").otherwise("exon"))
+    lacks = (F.col("feature") == "CDS") & F.endswith("protein_id", F.lit("0"))
+    _, n = references.build_lookup_counted(r.withColumn("protein_id", F.when(~lacks, F.col("protein_id"))))
+    return s.createDataFrame([n], "n_records long, n_missing long, n_ignored long")
+
+
+def level_by_name(s, d):
+    levels = table(s, d, "orders").select(F.col("o_orderpriority").alias("level_id"), F.lower(F.substring("o_orderpriority", 3, 99)).alias("name")).distinct()
+    return groups.filter_by_level(table(s, d, "orders").select(F.col("o_orderkey").alias("og_id"), F.col("o_orderpriority").alias("level_id")), "Urgent", levels)
+
+
 def _to_rename(s, d):
     k = F.col("p_partkey")
     return table(s, d, "part").select(k.alias("row_id"), F.expr("p_size").alias("group_id"), F.when(k % 2 == 0, "A").otherwise("R").alias("spp"), F.concat_ws(",", F.lit("99999999"), (k * 2).cast("string"), F.concat(F.lit("NP_"), k.cast("string"))).alias("gene"), F.lit("geneid,geneid,protein_id").alias("source"))
@@ -292,6 +316,11 @@ def anchor_contradictions(s, d):
     return synteny.contradictions(_next_order(s, d), ref(s, d))
 
 
+def contradiction_counts(s, d):
+    pairs = _next_order(s, d).select(F.concat_ws("-", "org_a", "org_b").alias("file"), "gene_a", "gene_b")
+    return synteny.contradiction_counts(pairs, ref(s, d))
+
+
 def tree_vs_pairs(s, d):
     both = _next_order(s, d).unionByName(_next_order(s, d, 2))
     tree = both.groupBy(F.col("org_a").alias("org"), F.col("gene_a").alias("gene")).agg(F.collect_list(F.struct(F.col("org_b").alias("org"), F.col("gene_b").alias("gene"))).alias("partners"))
@@ -327,6 +356,12 @@ def segdup_sizes(s, d):
     return dups.block_sizes(rows)
 
 
+def pair_block_sizes(s, d):
+    b = _line(s, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size"), F.min("l_returnflag").alias("spp"), F.max("l_linestatus").alias("spp_b"))
+    rows = _line(s, d).select("l_orderkey").join(b, "l_orderkey").select("spp", "spp_b", F.col("l_orderkey").alias("block_id"), "size")
+    return dups.pair_block_sizes(rows)
+
+
 def _fish_groups(s, d):
     o = table(s, d, "orders").where("o_orderkey % 11 <> 0")
     return o.select(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("spp"), F.col("o_orderkey").alias("gene"), F.when(F.col("o_orderkey") % 3 == 0, "T").otherwise("O").alias("state"), F.concat(F.when(F.col("o_orderkey") % 9 == 0, "NW_").otherwise("NC_"), F.expr("cast(o_orderkey % 6 as string)")).alias("chrom"))
@@ -335,8 +370,16 @@ def _fish_groups(s, d):
 _FISH = ("1-URGENT", ["2-HIGH", "3-MEDIUM"])
 
 
+def ohnolog_pairs(s, d):
+    return dups.ohnolog_pairs(_fish_groups(s, d), ref(s, d), *_FISH)
+
+
 def ohnolog_candidates(s, d):
-    return dups.ohnolog_candidates(_fish_groups(s, d), ref(s, d), *_FISH)
+    return dups.ohnolog_candidates(ohnolog_pairs(s, d))
+
+
+def ohnolog_funnel(s, d):
+    return dups.ohnolog_funnel(_fish_groups(s, d), ohnolog_pairs(s, d), *_FISH)
 
 
 def ohnolog_summary(s, d):
@@ -357,6 +400,21 @@ def group_matrix(s, d):
     return hits.group_matrix(h.unionByName(_next_order(s, d).select("gene_a", "gene_b", F.lit(1.5).alias("score"))), chosen)
 
 
+def duplicated_regression(s, d):
+    """Regression apart for lines whose order and part are both duplicated: orders of five lines or more, parts of even size."""
+    big = _line(s, d).groupBy("l_orderkey").count().where("count >= 5").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("gene"))
+    even = table(s, d, "part").where("p_size % 2 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("gene"))
+    rbh = _line(s, d).select("l_quantity", "l_partkey", "l_extendedprice", F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    return hits.length_regression(hits.both_duplicated(rbh, big.unionByName(even), "a", "b"), ["both_dup"], "l_quantity", "l_partkey", "l_extendedprice")
+
+
+def member_sequences(s, d):
+    """Part names as sequences of isoforms of the genes that all lines group."""
+    p = table(s, d, "part").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("seq_id"), F.col("p_name").alias("seq"), (F.col("p_partkey") - F.col("p_partkey") % 2).alias("gene"))
+    g = lines(s, d).select("group_id", "gene").where("gene % 2 = 0")
+    return hits.member_sequences(p.select("seq_id", "seq"), p.select(F.col("seq_id").alias("isoform"), "gene"), g)
+
+
 def length_regression(s, d):
     return hits.length_regression(_line(s, d), ["l_returnflag", "l_linestatus"], "l_quantity", "l_partkey", "l_extendedprice")
 
@@ -425,7 +483,16 @@ QUERIES = {
     "place_segmental": place_segmental,
     "with_placed": lambda s, d: dups.with_placed(pred(s, d), place_segmental(s, d)),
     "segdup_sizes": segdup_sizes,
+    "ohnolog_pairs": ohnolog_pairs,
     "ohnolog_candidates": ohnolog_candidates,
+    "ohnolog_funnel": ohnolog_funnel,
+    "contradiction_counts": contradiction_counts,
+    "lookup_counts": lookup_counts,
+    "lift_counts": lift_counts,
+    "pair_block_sizes": pair_block_sizes,
+    "duplicated_regression": duplicated_regression,
+    "member_sequences": member_sequences,
+    "level_by_name": level_by_name,
     "ohnolog_summary": ohnolog_summary,
     "hits_for_groups": hits_for_groups,
     "group_matrix": group_matrix,
@@ -455,6 +522,9 @@ ff AS (SELECT fg.group_id, fg.spp, fg.gene, chrom, ref.group_id AS rg FROM fg JO
 mt AS (SELECT DISTINCT x.group_id AS a, y.group_id AS b, y.spp, y.gene, y.chrom FROM ff x SEMI JOIN ag USING (group_id) JOIN ff y ON y.rg = x.rg AND y.group_id <> x.group_id),
 cd AS (SELECT a, b FROM mt GROUP BY a, b HAVING bool_and(chrom LIKE 'NC!_%' ESCAPE '!' AND NOT EXISTS (SELECT 1 FROM fg u WHERE u.group_id = mt.a AND u.spp = mt.spp AND u.chrom = mt.chrom))),
 kd AS (SELECT group_id AS b, bool_or(spp = '1-URGENT') AS ha, bool_or(spp NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS ho, bool_or(spp = '2-HIGH') AND bool_or(spp = '3-MEDIUM') AS both_fish FROM fg GROUP BY group_id),
+oa AS (SELECT x.group_id AS a, y.group_id AS b, bool_or(x.rg IN (SELECT group_id FROM ref WHERE spp = '1-URGENT' GROUP BY 1 HAVING count(DISTINCT gene) = 1)) AS one_anchor
+  FROM ff x SEMI JOIN ag USING (group_id) JOIN ff y ON y.rg = x.rg AND y.group_id <> x.group_id GROUP BY ALL),
+op AS (SELECT a AS group_id, b AS candidate, (CASE WHEN ha THEN 3 WHEN ho THEN 2 ELSE 1 END)::INT AS category, one_anchor FROM cd JOIN kd USING (b) JOIN oa USING (a, b) WHERE both_fish),
 oc AS (SELECT a AS group_id, b AS candidate, (CASE WHEN ha THEN 3 WHEN ho THEN 2 ELSE 1 END)::INT AS category FROM cd JOIN kd USING (b) WHERE both_fish
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY CASE WHEN ha THEN 3 WHEN ho THEN 2 ELSE 1 END, b) = 1)"""
 _SYM = """p AS (SELECT p_size AS group_id, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS org, p_partkey AS gene, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'LOC' || p_partkey ELSE p_name END AS name FROM part),
@@ -546,6 +616,28 @@ SELECT n.chrom_a, n.chrom_b, n_anchors, covered, length_a, offset_a, length_b, o
     "with_placed": f"""WITH {_SEG}, a AS (SELECT g AS group_id, spp, gene FROM pd UNION SELECT group_id, spp, gene FROM pl WHERE state = 'S')
 SELECT group_id, spp, gene, element_count, org_count FROM a JOIN (SELECT group_id, count(*) AS element_count, count(DISTINCT spp) AS org_count FROM a GROUP BY 1) USING (group_id)""",
     "segdup_sizes": "SELECT spp, size, count(*) AS n_blocks FROM (SELECT l_orderkey, count(*) AS size, min(l_returnflag) AS spp FROM lineitem GROUP BY 1) GROUP BY ALL",
+    "ohnolog_pairs": with_views("ref") + f", {_OHNO} SELECT * FROM op",
+    "ohnolog_funnel": with_views("ref") + f""", {_OHNO},
+fl AS (SELECT group_id, count(*) FILTER (spp = '1-URGENT') = 1 AND count(*) FILTER (spp = '2-HIGH') > 0 AND count(*) FILTER (spp = '3-MEDIUM') > 0 AS met, group_id IN (SELECT group_id FROM ag) AS ok, bool_or(chrom NOT LIKE 'NC!_%' ESCAPE '!') AS off FROM fg GROUP BY group_id),
+u AS (SELECT 1 AS stage, count(*) FILTER (met) AS n FROM fl UNION ALL SELECT 2, count(*) FILTER (met AND NOT ok) FROM fl UNION ALL SELECT 3, count(*) FILTER (ok) FROM fl UNION ALL SELECT 4, count(*) FILTER (ok AND off) FROM fl
+  UNION ALL SELECT 5, count(DISTINCT group_id) FROM op UNION ALL SELECT 6, count(DISTINCT group_id) FROM op WHERE category < 3 UNION ALL SELECT 7, count(DISTINCT group_id) FROM op WHERE category < 3 AND one_anchor
+  UNION ALL SELECT 8, count(DISTINCT group_id) FROM op WHERE category = 1 AND one_anchor)
+SELECT stage, n, CASE WHEN stage > 4 THEN round(n / (SELECT n FROM u WHERE stage = 3)::DOUBLE * 100, 2) END AS percent FROM u""",
+    "contradiction_counts": with_views("ref") + ", " + _NEXT.format(k=1) + """
+SELECT org_a || '-' || org_b AS file, count(*) AS n_pairs, count(*) FILTER (a.group_id <> b.group_id) AS different, count(*) FILTER (a.group_id IS NULL AND b.group_id IS NOT NULL) AS a_missing,
+ count(*) FILTER (a.group_id IS NOT NULL AND b.group_id IS NULL) AS b_missing, count(*) FILTER (a.group_id IS NULL AND b.group_id IS NULL) AS both_missing
+FROM nx1 LEFT JOIN ref a ON a.gene = gene_a LEFT JOIN ref b ON b.gene = gene_b WHERE gene_b IS NOT NULL GROUP BY ROLLUP (org_a || '-' || org_b)""",
+    "lookup_counts": "SELECT count(*) AS n_records, count(*) FILTER (l_orderkey % 3 = 1 AND l_partkey % 10 = 0) AS n_missing, count(*) FILTER (l_orderkey % 3 = 2) AS n_ignored FROM lineitem",
+    "lift_counts": f"""WITH g AS (SELECT l_orderkey, min({_DAYS}) // 40 = max({_DAYS}) // 40 AS kept, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) AS n_genes, count(*) FILTER (NOT kept) AS n_genes_dropped, sum(n)::BIGINT AS n_children, coalesce(sum(n) FILTER (NOT kept), 0)::BIGINT AS n_children_dropped FROM g""",
+    "pair_block_sizes": """WITH b AS (SELECT l_orderkey, count(*) AS size, min(l_returnflag) AS a, max(l_linestatus) AS b FROM lineitem GROUP BY 1)
+SELECT spp, spp_b, size, count(*) AS n_blocks FROM (SELECT a AS spp, b AS spp_b, l_orderkey, size FROM b UNION SELECT b, a, l_orderkey, size FROM b) GROUP BY ALL""",
+    "duplicated_regression": """WITH x AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) >= 5 AND p_size % 2 = 0 AS both_dup FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT both_dup, any_value(c) AS n, round(regr_slope(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS slope, round(regr_intercept(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS intercept,
+ round(regr_r2(log10(l_extendedprice), log10(l_quantity * l_partkey)), 6) AS r2
+FROM (SELECT *, count(*) OVER (PARTITION BY both_dup) AS c FROM x) WHERE l_partkey > 0 GROUP BY both_dup""",
+    "member_sequences": "SELECT DISTINCT l_orderkey AS group_id, l_partkey AS gene, 'i' || p_partkey AS seq_id, p_name AS seq FROM lineitem JOIN part ON p_partkey - p_partkey % 2 = l_partkey",
+    "level_by_name": "SELECT o_orderkey AS og_id FROM orders WHERE lower(substr(o_orderpriority, 3)) = 'urgent'",
     "ohnolog_candidates": with_views("ref") + f", {_OHNO} SELECT * FROM oc",
     "ohnolog_summary": with_views("ref") + f", {_OHNO}, x AS (SELECT coalesce(category, 0)::INT AS category FROM ag LEFT JOIN oc USING (group_id)) SELECT category, count(*) AS n, round(count(*) / (SELECT count(*) FROM x)::DOUBLE * 100, 2) AS percent FROM x GROUP BY category",
     "hits_for_groups": with_views("pred") + " SELECT group_id, count(*) AS n_hits, max(l_extendedprice) AS best, count(DISTINCT l_partkey) AS n_subjects FROM lineitem JOIN pred ON gene = l_orderkey GROUP BY group_id",

@@ -56,6 +56,26 @@ def ref_groups_file(s, d):
     return readers.read_ref_groups(s, _written(s, d, "orders", at))
 
 
+def ref_groups_counts(s, d):
+    """Rows of a curated table and those skipped as not renamed, from the pass that reads it."""
+    at = {0: "o_custkey", 1: "o_orderkey", 2: "lower(o_orderpriority)", 3: "CASE WHEN o_orderstatus = 'F' THEN 'renamed' ELSE 'kept' END"}
+    _, n = readers.read_ref_groups_counted(s, _written(s, d, "orders", at))
+    return s.createDataFrame([n], "n_rows long, n_skipped long")
+
+
+def annotations_folder(s, d):
+    """One species in GTF and in GFF, of which GFF is not read, one in GFF only; every ninth record lacks its attributes."""
+    path = shared_path(s, "annotations")
+    line = table(s, d, "lineitem")
+    fixed = [F.concat(F.lit("c"), F.col("l_suppkey").cast("string")), F.lit("src"), F.when(F.col("l_linenumber") == 1, "gene").otherwise("CDS"), F.col("l_partkey").cast("string"), (F.col("l_partkey") + 9).cast("string"), F.lit("."), F.lit("+"), F.lit(".")]
+    gtf, gff = F.format_string('gene_id "g%d"; protein_id "p%d";', "l_orderkey", "l_partkey"), F.format_string("ID=g%d;protein_id=p%d", "l_orderkey", "l_partkey")
+    for name, attributes, where in (("aaa.gtf", gtf, "l_returnflag = 'A'"), ("aaa.gff", gff, "l_returnflag <> 'A'"), ("bbb.gff", gff, "l_returnflag <> 'A'")):
+        own = F.when(F.col("l_orderkey") % 9 == 0, F.concat_ws("\t", *fixed)).otherwise(F.concat_ws("\t", *fixed, attributes))
+        writers.write_named(line.where(where).select(own.alias("value")), path, name)
+    r = readers.read_annotations(s, path)
+    return r.groupBy("spp", "feature", "bad", "gene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def agp_file(s, d):
     at = {0: "l_suppkey", 1: "l_partkey", 2: "l_partkey + 99", 3: "l_linenumber", 4: "CASE WHEN l_returnflag = 'A' THEN 'N' ELSE 'W' END", 5: "l_orderkey", 6: "1", 7: "100", 8: "CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END"}
     return readers.read_agp(s, _written(s, d, "lineitem", at))
@@ -128,7 +148,7 @@ def report_file(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        groups_long_file, group_table_file, group_lines_file, odb_genes_file, og2genes_file, ogs_file, ref_groups_file, agp_file, anchor_pairs_file, segdups_file,
+        groups_long_file, group_table_file, group_lines_file, odb_genes_file, og2genes_file, ogs_file, ref_groups_file, ref_groups_counts, annotations_folder, agp_file, anchor_pairs_file, segdups_file,
         chromosomes_file, tree_clusters_file, homologs_file, hits_file, rbh_file, id_map_file, list_file, rename_map_file, te_gff_file, duplicates_file, report_file,
     )
 }
@@ -142,6 +162,9 @@ ORACLES = {
   p_type AS uniprot, concat('c', p_size) AS ensembl FROM part""",
     "og2genes_file": "SELECT l_orderkey::VARCHAR AS og_id, l_partkey::VARCHAR AS gene_id FROM lineitem",
     "ogs_file": "SELECT o_orderkey::VARCHAR AS og_id, (o_custkey % 7)::VARCHAR AS level_id, concat('n', o_custkey % 50) AS name FROM orders",
+    "ref_groups_counts": "SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus <> 'F') AS n_skipped FROM orders",
+    "annotations_folder": """SELECT CASE WHEN l_returnflag = 'A' THEN 'aaa' ELSE 'bbb' END AS spp, CASE WHEN l_linenumber = 1 THEN 'gene' ELSE 'CDS' END AS feature, l_orderkey % 9 = 0 AS bad,
+CASE WHEN l_orderkey % 9 <> 0 THEN 'g' || l_orderkey END AS gene_id, count(*) AS n FROM lineitem GROUP BY ALL""",
     "ref_groups_file": "SELECT o_custkey::VARCHAR AS group_id, o_orderkey::VARCHAR AS gene, lower(o_orderpriority) AS spp, 'renamed' AS source FROM orders WHERE o_orderstatus = 'F'",
     "agp_file": """SELECT l_suppkey::VARCHAR AS chrom, l_partkey::BIGINT AS beg, (l_partkey + 99)::BIGINT AS "end", 'W' AS comp_type, l_orderkey::VARCHAR AS contig, 100::BIGINT AS size,
   CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS orient FROM lineitem WHERE l_returnflag <> 'A'""",

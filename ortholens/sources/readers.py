@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ortholens.functions import attrs, ids, seqs
 from ortholens.functions.seqs import CHUNK
 from ortholens.operators.ranges import bucketed, carried, summed
+from ortholens.sources.shared import counted
 
 
 def text_lines(spark: SparkSession, path: str | list[str], comments: bool = False) -> DataFrame:
@@ -141,12 +142,37 @@ def read_ref_groups(spark: SparkSession, path, only_renamed: bool = True) -> Dat
     return r.where("source = 'renamed'") if only_renamed else r
 
 
-def read_annotation(spark: SparkSession, path) -> DataFrame:
-    """Nine-column records with attrs (map), gene_id, isoform and species from the file name."""
-    c = _cells(spark, path).where(F.size("cells") >= 9)
+def read_ref_groups_counted(spark: SparkSession, path) -> tuple[DataFrame, dict[str, int]]:
+    """The renamed rows, and n_rows, n_skipped (of any other source), counted while they are read."""
+    r, n = counted(read_ref_groups(spark, path, only_renamed=False), "ref-groups", n_rows=F.count(F.lit(1)), n_skipped=F.count_if(~F.col("source").eqNullSafe("renamed")))
+    return r.where("source = 'renamed'"), n
+
+
+#: Suffixes of annotation files, the preferred first.
+ANNOTATION_SUFFIXES = (".gtf", ".gtf.gz", ".gff", ".gff.gz")
+
+
+def read_annotations(spark: SparkSession, path) -> DataFrame:
+    """read_annotation over a folder of several formats, with `bad` for records of fewer than nine columns or without numeric ends.
+
+    Of each species (the file's name up to the first dot) only the files with its best suffix are read: .gtf, .gtf.gz, .gff, .gff.gz.
+    """
+    r = read_annotation(spark, path, keep_bad=True)
+    rank = F.coalesce(*(F.when(F.col("file").endswith(x), k) for k, x in enumerate(ANNOTATION_SUFFIXES)))
+    files = r.select("file", "spp", rank.alias("rank")).where("rank is not null").distinct()
+    best = files.groupBy("spp").agg(F.min("rank").alias("rank"))
+    return r.join(files.join(best, ["spp", "rank"]).select("file"), "file", "left_semi")
+
+
+def read_annotation(spark: SparkSession, path, keep_bad: bool = False) -> DataFrame:
+    """Nine-column records with attrs (map), gene_id, isoform and species from the file name; others are left out or marked bad."""
+    c = _cells(spark, path)
+    c = c if keep_bad else c.where(F.size("cells") >= 9)
     names = ("chrom", "source", "feature", "start", "end", "score", "strand", "phase", "attributes")
     r = c.select("file", "line_no", *(_cell(k).alias(n) for k, n in enumerate(names)))
     r = r.withColumns({"start": F.expr("try_cast(start as bigint)"), "end": F.expr("try_cast(`end` as bigint)"), "spp": file_species(F.col("file"))})
+    if keep_bad:
+        r = r.withColumn("bad", F.col("attributes").isNull() | F.col("start").isNull() | F.col("end").isNull())
     return attrs.parsed(r)
 
 

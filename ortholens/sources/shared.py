@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +32,13 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """df rewritten, and metrics (aggregates over its rows) that the same pass observes."""
+    seen = Observation(name)
+    out = rewritten(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+    return out, dict(seen.get)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a rewritten table that is read no more."""
     hadoop = df.sparkSession._jvm.org.apache.hadoop.fs

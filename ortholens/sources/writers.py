@@ -41,3 +41,20 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """A tab-separated report with a header."""
     df.write.csv(path, sep="\t", header=True)
+
+
+def write_named(lines: DataFrame, folder: str, name: str) -> None:
+    """Text lines (value) as files `<name>` of a folder: one for each partition, numbered where there are several.
+
+    Spark names its own part files; they are renamed in place, so that readers that go by file names find theirs.
+    """
+    spark = lines.sparkSession
+    part = f"{folder}/.{name}"
+    lines.write.text(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(str(f.getPath()) for f in fs.listStatus(hadoop.Path(part)) if f.getPath().getName().startswith("part-"))
+    stem, _, suffix = name.partition(".")
+    for k, f in enumerate(found):
+        fs.rename(hadoop.Path(f), hadoop.Path(f"{folder}/{name if len(found) == 1 else f'{stem}.{k}.{suffix}'}"))
+    fs.delete(hadoop.Path(part), True)

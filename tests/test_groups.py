@@ -217,3 +217,21 @@ def test_groups_that_are_not_valid_raise(spark):
         assert_valid(good.union(spark.createDataFrame([("g2", "a", "0")])), genes)
     with pytest.raises(ValueError, match="percent"):
         assert_valid(good.limit(0), genes)
+
+
+def test_duplicates_by_type(spark):
+    g = table(spark, members("1: a1 b1; 2: a1 b1; 3: a1 a2; 4: a1 a2; 5: a1 a2; 6: c1 d1; 7: a1"))
+    assert as_dict(groups.duplicate_classes(g), "group_id", "first_group", "type") == {"1": ("1", "ortholog"), "2": ("1", "ortholog"), "3": ("3", "paralog"), "4": ("3", "paralog"), "5": ("3", "paralog")}
+    assert as_dict(groups.duplicate_counts(g), "type", "n_groups", "n_genes") == {"ortholog": (2, 2), "paralog": (3, 2), "both": (0, 1)}
+    assert groups.duplicate_counts(g.limit(0)).count() == 0
+    flags = as_dict(compare.classify_other(g, table(spark, members("p: a1 b1; q: c1 d1 e1"))), "group_id", "duplicate", "resolved", "n_lost", "n_extra", "n_strange")
+    assert flags["1"] == (True, True, 0, 0, 0) and flags["6"] == (False, False, 0, 1, 1) and flags["3"] == (True, False, 1, 1, 0)
+
+
+def test_multi_grouped_genes_have_a_reason(spark):
+    g = table(spark, members("1: a1 b1; 2: a1 c1"))
+    at = spark.createDataFrame([("a", "a1", "c", 1), ("b", "b1", "c", 2)], "spp string, gene string, chrom string, idx long")
+    got = compare.missing_reasons(g, table(spark, members("p: z9")), at)
+    assert sorted((r["group_id"], r["gene"], r["reason"]) for r in got.collect()) == [("1", "a1", "Multi-Grouped"), ("1", "b1", "No Ortholog Detected"), ("2", "a1", "Multi-Grouped"), ("2", "c1", "Not in Annotation")]
+    only = compare.missing_reasons(g.where("group_id = '1'"), table(spark, members("p: z9")), at, among=g)
+    assert {r["gene"]: r["reason"] for r in only.collect()}["a1"] == "Multi-Grouped"

@@ -152,8 +152,33 @@ def test_lifting(spark):
     f = spark.createDataFrame([("c", 1, 1000, "+", "whole"), ("c", 1001, 1010, "+", "rev"), ("c", 990, 1010, "+", "cross"), ("c", 1600, 1700, "+", "gap"), ("c", 1491, 1500, "-", "last")], "chrom string, start long, end long, strand string, gene_id string")
     got = {r["gene_id"]: (r["contig"], r["new_start"], r["new_end"], r["new_strand"]) for r in annotation.lift_to_contigs(f, agp, 100).collect()}
     assert got == {"whole": ("x", 1, 1000, "+"), "rev": ("y", 491, 500, "-"), "last": ("y", 1, 10, "+")}
-    kids = spark.createDataFrame([("rev",), ("cross",)], "gene_id string")
-    assert rows(annotation.children_of_kept(kids, annotation.lift_to_contigs(f, agp, 100))) == [("rev",)]
+    kids = spark.createDataFrame([("c", 1001, 1005, "+", "rev"), ("c", 990, 995, "+", "cross"), ("c", 1006, 1010, "+", "rev"), ("c", 1, 2, "+", "nobody")], f.schema)
+    genes, children, n = annotation.split_by_contigs(f, kids, agp, 100)
+    assert sorted(r["gene_id"] for r in genes.collect()) == ["last", "rev", "whole"]
+    assert sorted((r["gene_id"], r["new_start"]) for r in children.collect()) == [("rev", 491), ("rev", 496)]
+    assert n == {"n_genes": 5, "n_genes_dropped": 2, "n_children": 4, "n_children_dropped": 2}
+
+
+def test_mixed_annotation_folder(spark, tmp_path):
+    good, short, odd = "c\ts\tCDS\t1\t9\t.\t+\t.\tgene_id \"A\";", "c\ts\tCDS\t1\t9", "c\ts\tCDS\tx\t9\t.\t+\t.\tgene_id \"B\";"
+    for name, lines in {"aaa.gtf": [good, short], "aaa.gff": [good], "bbb.v2.gff": [odd, "# note"], "notes.txt": [good]}.items():
+        put(tmp_path, name, "\n".join(lines) + "\n")
+    with gzip.open(tmp_path / "bbb.gff.gz", "wt") as f:
+        f.write(good + "\n")
+    got = readers.read_annotations(spark, f"file://{tmp_path}")
+    assert sorted((r["file"], r["gene_id"] or "", r["bad"]) for r in got.collect()) == [("aaa.gtf", "", True), ("aaa.gtf", "A", False), ("bbb.v2.gff", "B", True)]
+    assert readers.read_annotation(spark, f"file://{tmp_path}/aaa.gtf").count() == 1
+
+
+def test_counters_of_one_pass(spark, tmp_path):
+    ref, n = readers.read_ref_groups_counted(spark, put(tmp_path, "ref.tsv", "g\ta\tx\trenamed\ng\tb\tx\tkept\ng\tc\tx\n"))
+    assert (ref.count(), n) == (1, {"n_rows": 3, "n_skipped": 2})
+    rec = spark.createDataFrame([("x", "p", None, "G", 1, "CDS"), ("x", None, None, "G", 2, "CDS"), ("x", "q", "7", "H", 3, "exon"), ("x", "r", "8", "H", 4, None)], "spp string, protein_id string, numeric_id string, gene string, line_no int, feature string")
+    look, n = references.build_lookup_counted(rec)
+    assert rows(look) == [("x", "protein_id", "p", "G")] and n == {"n_records": 4, "n_missing": 1, "n_ignored": 2}
+    pairs = spark.createDataFrame([("f", "a", "b"), ("f", "a", "c"), ("g", "y", "z"), ("g", "a", "z")], "file string, gene_a string, gene_b string")
+    got = synteny.contradiction_counts(pairs, spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c")], "group_id string, gene string"))
+    assert {r["file"]: tuple(r)[1:] for r in got.collect()} == {"f": (2, 1, 0, 0, 0), "g": (2, 0, 0, 1, 1), None: (4, 1, 0, 1, 1)}
 
 
 def test_longest_first_wins_ties(spark):
