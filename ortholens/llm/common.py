@@ -84,11 +84,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Matches of a text that one fold puts in place; more are placed in blocks.
+FOLD = 48
+
+
 def spans(text: Column, pattern: str, kind: str, rank: int, groups: tuple[int, ...] = ()) -> Column:
     """All leftmost non-overlapping matches as array<struct<start, rank, kind, end, hit, g1..>>, offsets in code points.
 
     Matches come from regexp_extract_all, the gaps between them from split with the same pattern; their lengths add up
-    to the offsets. Texts without a match pay for one scan only.
+    to the offsets. Texts without a match pay for one scan only. A fold copies what it has for every match it adds, so n matches
+    are cut into about sqrt(n) blocks: first the blocks' lengths are summed, then each block is folded from its own offset.
     """
     fields = "start int, rank int, kind string, end int, hit string" + "".join(f", g{g} string" for g in groups)
     none = F.array().cast(f"array<struct<{fields.replace(' int', ':int').replace(' string', ':string')}>>")
@@ -97,7 +102,7 @@ def spans(text: Column, pattern: str, kind: str, rank: int, groups: tuple[int, .
     parts = F.arrays_zip(
         hits.alias("hit"), gaps.alias("gap"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups)
     )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
@@ -108,7 +113,21 @@ def spans(text: Column, pattern: str, kind: str, rank: int, groups: tuple[int, .
         )
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"]).otherwise(none)
+    def folded(p: Column, at: Column) -> Column:
+        return F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def begins(cut: Column) -> Column:
+        total = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + length(x))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(cut, start, lambda a, p: F.struct((a["at"] + total(p)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def blocks(p: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda k: F.slice(p, k * width + 1, width))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, begins(c), folded)))
+
+    placed = let(parts, lambda p: F.when(F.size(p) <= FOLD, folded(p, F.lit(0))).otherwise(blocks(p)))
+    return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
 def spans_text(found: Column) -> Column:

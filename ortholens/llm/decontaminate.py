@@ -1,7 +1,8 @@
 """Benchmark decontamination: template canonicalisation, hash-joined template windows, slot consistency.
 
 Numbers, names and units become typed placeholders that still carry their value; a window of five template tokens is
-hashed without the values. Windows of the corpus are joined with those of the benchmark by hash; what an item shares with a
+hashed without the values, and once more with its names as plain words: in copies that changed case, or whose white space hides
+a name, names are plain. Windows of the corpus are joined with those of the benchmark by hash; what an item shares with a
 region of a document is measured in covered item tokens, and the placeholders' values must map onto each other one way.
 """
 
@@ -32,8 +33,8 @@ UNITS = (
     "dollar dollars euro euros cent cents"
 )
 NUMBER = r"([0-9]+)(?:[.,]([0-9]+))?(?:[.,:/][0-9]+)*"
-NAME = r"(?<=[\p{Ll},;]\x20)(\p{Lu}\p{Ll}+)"
-UNIT = r"(?<=_)\x20*\b(" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")\b"
+NAME = r"(?=\p{Lu})(?<=[\p{Ll},;]\s{1,16})(\p{Lu}\p{Ll}+)"
+UNIT = r"(?<=_)\s*\b(" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")\b"
 
 
 def tokens(text: Column) -> Column:
@@ -51,23 +52,29 @@ def template(token: Column) -> Column:
     return F.when(~token.startswith("0"), token).when(slot, F.regexp_extract(token, "^0(?:num|name|unit)", 0)).otherwise(token)
 
 
+def plain(token: Column) -> Column:
+    """The token's template, but a name as the word it is."""
+    return F.when(token.startswith("0name"), F.substring(token, 6, 1 << 30)).otherwise(template(token))
+
+
 def windows(table: DataFrame, keys: list[str], window: int = WINDOW, slots: bool = False) -> DataFrame:
-    """keys, n_tokens, place, h: one row per window; with slots also the valued placeholders inside it, in order.
+    """keys, n_tokens, place, h: one row per window, two where it holds names; with slots also the valued placeholders inside it,
+    in order (of the form with plain names those that are no names).
 
     The outer form of explode: the inner one adds a filter on the array, which is pushed below and computes all of it again.
     """
-    if not slots:
-        held = table.select(*keys, F.transform(tokens(F.col("text")), template).alias("tmpl"))
-    else:
-        held = table.select(*keys, tokens(F.col("text")).alias("tok")).select(*keys, "tok", F.transform("tok", template).alias("tmpl"))
+    valued = table.select(*keys, tokens(F.col("text")).alias("tok"))
+    held = valued.select(*keys, *(["tok"] if slots else []), F.transform("tok", template).alias("tmpl"), F.transform("tok", plain).alias("plain"))
     starts = F.when(F.size("tmpl") >= window, F.sequence(F.lit(0), F.size("tmpl") - window)).otherwise(F.array().cast("array<int>"))
-    h = lambda i: F.xxhash64(*(F.get(F.col("tmpl"), i + k) for k in range(window)))
-    if not slots:
-        hashed = held.select(*keys, F.size("tmpl").alias("n_tokens"), F.transform(starts, h).alias("hs"))
-        return hashed.select(*keys, "n_tokens", F.posexplode_outer("hs").alias("place", "h")).where("h is not null")
-    inside = lambda i: F.filter(F.slice("tok", i + 1, F.lit(window)), lambda w: w.rlike("^0(?:num|name|unit)"))
-    hashed = held.select(*keys, F.size("tmpl").alias("n_tokens"), F.transform(starts, lambda i: F.struct(h(i).alias("h"), inside(i).alias("slots"))).alias("hs"))
-    return hashed.select(*keys, "n_tokens", F.posexplode_outer("hs").alias("place", "x")).where("x is not null").select(*keys, "n_tokens", "place", "x.h", "x.slots")
+    h = lambda form, i: F.xxhash64(*(F.get(F.col(form), i + k) for k in range(window)))
+    inside = lambda i, kinds: F.filter(F.slice("tok", i + 1, F.lit(window)), lambda w: w.rlike(f"^0(?:{kinds})"))
+    if slots:
+        forms = lambda i: F.array_distinct(F.array(F.struct(h("tmpl", i).alias("h"), inside(i, "num|name|unit").alias("slots")), F.struct(h("plain", i).alias("h"), inside(i, "num|unit").alias("slots"))))
+    else:
+        forms = lambda i: F.array_distinct(F.array(F.struct(h("tmpl", i).alias("h")), F.struct(h("plain", i).alias("h"))))
+    hashed = held.select(*keys, F.size("tmpl").alias("n_tokens"), F.transform(starts, forms).alias("hs"))
+    each = hashed.select(*keys, "n_tokens", F.posexplode_outer("hs").alias("place", "xs")).where("xs is not null")
+    return each.select(*keys, "n_tokens", "place", F.explode_outer("xs").alias("x")).select(*keys, "n_tokens", "place", "x.*")
 
 
 def covered(places: Column, window: int = WINDOW) -> Column:

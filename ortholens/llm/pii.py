@@ -87,7 +87,7 @@ def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEX
     beside = found.select("text_key", "entity", context.alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
     seen = beside.groupBy("entity", "term", "text_key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
     # distinct contexts: copies of a text have equal ones, and a text with several adds at most two here
-    apart = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.size(F.collect_set("low")).alias("lows"), F.size(F.collect_set("high")).alias("highs"))
+    apart = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("low").alias("lows"), F.count_distinct("high").alias("highs"))
     pairs = apart.where(F.greatest("lows", "highs") >= min_contexts).select("entity", "term", "both")
     per_entity = found.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     # a term's texts are at least those whose contexts hold it; with more than this many it cannot reach the threshold

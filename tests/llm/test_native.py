@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ortholens.llm import decontaminate, mixing, oracles, pii, quality_rules, queries, secrets
-from ortholens.llm.common import table
+from ortholens.llm.common import spans, table
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -191,6 +191,41 @@ def test_re_parameterised_items_are_caught(spark):
     assert not {0, 1} & {r["doc_id"] for r in rest.collect()} and rest.columns == d.columns
 
 
+NAMES = "When Maria met Paolo, Chiara and Dmitri in the garden with Jonas, Ingrid gave them 12 pears, 7 plums and 30 nuts to share among all the others who had come along."
+FORMS = {
+    "as it is": lambda t: t, "wrapped": lambda t: t.replace(" ", "\n"), "doubled": lambda t: t.replace(" ", "  "), "lower": str.lower, "upper": str.upper, "tabs": lambda t: t.replace(", ", ",\t\t"),
+    "wrapped lower": lambda t: t.lower().replace(" ", " \n"), "other names": lambda t: t.replace("Maria", "Lena").replace("12", "15"), "other names wrapped": lambda t: t.replace("Maria", "Lena").replace(" ", "\n   "),
+}
+
+
+def test_copies_in_other_white_space_and_case(spark):
+    d = docs(spark, [f"They said so.\n{f(NAMES)}\nAnd so on it went." for f in FORMS.values()] + [NAMES[:60], "Maria met Paolo, Chiara and Dmitri elsewhere."])
+    got = {r["doc_id"]: r["consistency"] for r in decontaminate.matches(d, spark.createDataFrame([(1, NAMES)], "item_id long, text string")).collect()}
+    assert [name for k, name in enumerate(FORMS) if k not in got] == [] and len(got) == len(FORMS)
+    assert all(c == 1 for c in got.values())
+
+
+def test_all_items_in_all_forms(spark, monkeypatch):
+    """Every benchmark item of five tokens or more, in every form, in a text of its own, with and without broadcasts."""
+    bench = table(spark, SF, "benchmark")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    made = [(i * 100 + k, f"so it was that {f(t)} and that was it") for i, t in items.items() for k, f in enumerate(list(FORMS.values())[:7])]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, bench).collect()}
+        assert {(i, i // 100) for i, _ in made} <= got
+
+
+def test_many_matches_in_one_text(spark):
+    """Blocks of matches stand where a plain search finds them, also beside texts that need none."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["ab", "é", " ", "😀 ", "ab ab"]) for _ in range(n)) + end for n in (3, 40, 60, 400, 9000) for end in ("", "ab")]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", spans(F.col("t"), "a(b)", "x", 0, (1,)).alias("s")).collect()
+    for r in got:
+        assert [(x["start"], x["end"], x["g1"]) for x in r["s"]] == [(m.start(), m.end(), "b") for m in re.finditer("ab", texts[r["k"]])]
+
+
 def test_inconsistent_slots_are_no_match(spark):
     bench = spark.createDataFrame([(1, "take 5 then 5 then 5 then 5 then 5 then 5 then 5 then 5")], "item_id long, text string")
     d = docs(spark, ["take 9 then 9 then 9 then 9 then 9 then 9 then 9 then 9", "take 1 then 2 then 3 then 4 then 6 then 7 then 8 then 9"])
