@@ -38,16 +38,14 @@ def _uncertain(s, d):
 
 def _pair_rows(s, d):
     """Reference groups seen as rows of species-pair tables."""
-    r = ref(s, d).where("spp in ('1-URGENT', '2-HIGH', '3-MEDIUM')").select("group_id", "spp", "gene")
+    r = ref(s, d).select("group_id", "spp", "gene")
     pairs = r.select("group_id", F.col("spp").alias("s")).distinct()
     x = pairs.select("group_id", F.col("s").alias("spp_a")).join(pairs.select("group_id", F.col("s").alias("spp_b")), "group_id").where("spp_a < spp_b")
     return x.join(r, "group_id").where("spp = spp_a or spp = spp_b").select("spp_a", "spp_b", F.col("group_id").alias("row_id"), "spp", "gene")
 
 
 def _states(s, d):
-    c = table(s, d, "orders").groupBy(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("org")).agg(F.min("o_orderstatus").alias("state"), F.count(F.lit(1)).alias("count"))
-    return c.where("org in ('1-URGENT', '2-HIGH', '3-MEDIUM')")
-
+    return table(s, d, "orders").groupBy(F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("org")).agg(F.min("o_orderstatus").alias("state"), F.count(F.lit(1)).alias("count"))
 
 def _copies(s, d):
     """Orders with few distinct members, of one or two kinds: many have the same set."""
@@ -98,7 +96,7 @@ QUERIES = {
     "missing_counts": lambda s, d: groups.missing_counts(ref(s, d), pred(s, d)),
     "top_repeated": lambda s, d: groups.top_repeated(lines(s, d)),
     "seeded_sample": lambda s, d: groups.seeded_sample(pred(s, d), "gene"),
-    "pattern_by_state": lambda s, d: groups.pattern_by_state(_states(s, d), {"1-URGENT": ("F", "O"), "2-HIGH": ("O",), "3-MEDIUM": ("F", "P")}, ("1-URGENT", "2-HIGH")),
+    "pattern_by_state": lambda s, d: groups.pattern_by_state(_states(s, d), {"1-URGENT": ("F", "O"), "2-HIGH": ("O",), "3-MEDIUM": ("F", "P"), "4-NOT SPECIFIED": ("F", "O", "P"), "5-LOW": ("F", "O")}, ("1-URGENT", "2-HIGH")),
     "gene_index": lambda s, d: pos(s, d),
     "nearest_member_reason": lambda s, d: compare.missing_reasons(ref(s, d), pred(s, d), pos(s, d)),
     "multi_grouped_reason": lambda s, d: compare.missing_reasons(multi(s, d), pred(s, d), pos(s, d)),
@@ -324,10 +322,10 @@ SELECT type, (SELECT count(*) FROM dc WHERE dc.type = y.type) AS n_groups, count
     "missing_counts": with_views("pred", "ref") + " SELECT spp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM pred p WHERE p.spp = r.spp AND p.gene = r.gene)) AS n_missing, count(*) AS n_genes FROM (SELECT DISTINCT spp, gene FROM ref) r GROUP BY spp",
     "top_repeated": with_views("lines") + " SELECT spp, gene, count(DISTINCT group_id) AS n_groups FROM lines GROUP BY ALL HAVING count(DISTINCT group_id) > 1 ORDER BY n_groups DESC, spp, gene LIMIT 10",
     "pattern_by_state": """
-WITH c AS (SELECT o_custkey AS group_id, o_orderpriority AS org, min(o_orderstatus) AS state, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL)
-SELECT a.group_id, a.state AS "1-URGENT_state", a.n AS "1-URGENT_count", b.state AS "2-HIGH_state", b.n AS "2-HIGH_count", c.state AS "3-MEDIUM_state", c.n AS "3-MEDIUM_count", 3::BIGINT AS n_orgs,
-  list_aggregate(list_transform(list_sort([{'k': -a.n, 'o': '1-URGENT'}, {'k': -b.n, 'o': '2-HIGH'}, {'k': -c.n, 'o': '3-MEDIUM'}]), lambda x: x.o), 'string_agg', ',') AS orgs_by_count, greatest(a.n, b.n, c.n) AS top_count
-FROM c a JOIN c b ON a.group_id = b.group_id JOIN c ON c.group_id = a.group_id WHERE a.org = '1-URGENT' AND b.org = '2-HIGH' AND c.org = '3-MEDIUM'
+WITH c AS (SELECT o_custkey AS group_id, o_orderpriority AS org, min(o_orderstatus) AS state, count(*) AS n FROM orders GROUP BY ALL)
+SELECT a.group_id, a.state AS "1-URGENT_state", a.n AS "1-URGENT_count", b.state AS "2-HIGH_state", b.n AS "2-HIGH_count", c.state AS "3-MEDIUM_state", c.n AS "3-MEDIUM_count", d.state AS "4-NOT SPECIFIED_state", d.n AS "4-NOT SPECIFIED_count", e.state AS "5-LOW_state", e.n AS "5-LOW_count", 5::BIGINT AS n_orgs,
+  list_aggregate(list_transform(list_sort([{'k': -a.n, 'o': '1-URGENT'}, {'k': -b.n, 'o': '2-HIGH'}, {'k': -c.n, 'o': '3-MEDIUM'}, {'k': -d.n, 'o': '4-NOT SPECIFIED'}, {'k': -e.n, 'o': '5-LOW'}]), lambda x: x.o), 'string_agg', ',') AS orgs_by_count, greatest(a.n, b.n, c.n, d.n, e.n) AS top_count
+FROM c a JOIN c b ON a.group_id = b.group_id JOIN c ON c.group_id = a.group_id JOIN c d ON d.group_id = a.group_id JOIN c e ON e.group_id = a.group_id WHERE d.org = '4-NOT SPECIFIED' AND e.org = '5-LOW' AND e.state IN ('F', 'O') AND a.org = '1-URGENT' AND b.org = '2-HIGH' AND c.org = '3-MEDIUM'
   AND a.state IN ('F', 'O') AND b.state = 'O' AND c.state IN ('F', 'P') AND a.n <= b.n""",
     "gene_index": with_views("genes", "pos") + " SELECT * FROM pos",
     "nearest_member_reason": with_views("pred", "ref", "genes", "pos") + ", o AS (SELECT * FROM ref), p AS (SELECT * FROM pred)," + _REASON + " SELECT * FROM rs",
@@ -369,7 +367,7 @@ SELECT group_id, CASE WHEN n_pred = 0 THEN 'Absent' WHEN missing = 0 AND rest =
   (SELECT count(*) FROM (SELECT DISTINCT p.spp, p.gene FROM t JOIN pred p ON p.group_id = t.pg WHERE t.group_id = j.group_id) x ANTI JOIN (SELECT * FROM ref r WHERE r.group_id = j.group_id) y USING (spp, gene)
    SEMI JOIN (SELECT spp, gene FROM ref WHERE group_id IN (SELECT group_id FROM ref GROUP BY 1 HAVING count(DISTINCT spp) = 1)) z USING (spp, gene)) AS n_paralogs FROM j""",
     "pairwise_tables": with_views("pred", "ref") + """,
-r AS (SELECT * FROM ref WHERE spp IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+r AS (SELECT * FROM ref),
 k AS (SELECT DISTINCT x.group_id, x.spp AS spp_a, y.spp AS spp_b FROM r x JOIN r y ON x.group_id = y.group_id AND x.spp < y.spp),
 w AS (SELECT spp_a, spp_b, k.group_id, count(*) AS n, count(p.group_id) AS f, count(DISTINCT p.group_id) AS g FROM k JOIN r ON r.group_id = k.group_id AND r.spp IN (spp_a, spp_b) LEFT JOIN pred p ON p.spp = r.spp AND p.gene = r.gene GROUP BY ALL)
 SELECT spp_a, spp_b, count(*) AS n_rows, count(*) FILTER (n = f AND g = 1) AS equal, count(*) FILTER (n = f AND g > 1) AS split, count(*) FILTER (n > f AND g = 1) AS partly_one,

@@ -175,8 +175,8 @@ def loose_groups(s, d):
 
 def partition_roundtrip(s, d):
     path = shared_path(s, "by-group")
-    writers.write_partitioned(lines(s, d).where("group_id % 400 = 0").select(F.col("gene").cast("string").alias("gene"), F.col("group_id")), path, "group_id", "csv")
-    return s.read.csv(path, schema="gene string, group_id long").distinct()
+    writers.write_partitioned(lines(s, d).select(F.col("gene").cast("string").alias("gene"), "group_id", "spp"), path, "spp", "csv")
+    return s.read.csv(path, schema="gene string, group_id long, spp string").distinct()
 
 
 def number_models(s, d):
@@ -215,7 +215,7 @@ def lift_counts(s, d):
 
 
 def window_overlap(s, d):
-    w = _line(s, d).where("l_quantity <= 2 and l_discount >= 0.09").select(F.col("l_suppkey").alias("chrom"), (_days() - 5).alias("w_start"), (_days() + 5).alias("w_end"), F.col("l_orderkey").alias("anchor"))
+    w = _line(s, d).select(F.col("l_suppkey").alias("chrom"), (_days() - 5).alias("w_start"), (_days() + 5).alias("w_end"), F.col("l_orderkey").alias("anchor"))
     both = annotation.overlapping(_intervals(s, d), w, 64)
     return both.groupBy("chrom", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bp"))
 
@@ -228,7 +228,7 @@ def _te(s, d, flag: str):
 
 def te_windows(s, d):
     te = _intervals(s, d).where("strand = '+'").select("chrom", "start", "end", F.col("gene_id").alias("te"))
-    a = _intervals(s, d).where("strand = '-' and `end` - start >= 50").select("chrom", "start", "end", F.col("gene_id").alias("anchor"))
+    a = _intervals(s, d).where("strand = '-'").select("chrom", "start", "end", F.col("gene_id").alias("anchor"))
     return synteny.te_in_windows(te, a, 10).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("te").alias("n_te"))
 
 
@@ -337,7 +337,7 @@ def _chroms(s, d, col: str, n: int):
 
 
 def alg_table(s, d):
-    t = lines(s, d).where("gene % 3 = 0").select(F.expr("group_id").alias("cluster_id"), F.expr("substring(spp, 7, 1)").alias("org"), F.expr("gene % 2").alias("chrom"))
+    t = lines(s, d).select(F.expr("group_id").alias("cluster_id"), F.expr("substring(spp, 7, 1)").alias("org"), F.expr("gene % 2").alias("chrom"))
     return synteny.alg_table(t, 2, 2)
 
 
@@ -395,9 +395,8 @@ def hits_for_groups(s, d):
 
 
 def group_matrix(s, d):
-    chosen = pred(s, d).where("group_id % 50 = 1")
-    h = table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("gene_a"), F.explode(F.array(F.col("o_orderkey") + 1, F.col("o_orderkey") + 2, F.col("o_orderkey") * 2)).alias("gene_b"), F.col("o_totalprice").alias("score"))
-    return hits.group_matrix(h.unionByName(_next_order(s, d).select("gene_a", "gene_b", F.lit(1.5).alias("score"))), chosen)
+    h = table(s, d, "orders").select(F.col("o_orderkey").alias("gene_a"), F.explode(F.array(F.col("o_orderkey") + 1, F.col("o_orderkey") + 2, F.col("o_orderkey") * 2)).alias("gene_b"), F.col("o_totalprice").alias("score"))
+    return hits.group_matrix(h.unionByName(_next_order(s, d).select("gene_a", "gene_b", F.lit(1.5).alias("score"))), pred(s, d))
 
 
 def duplicated_regression(s, d):
@@ -559,16 +558,16 @@ FROM (SELECT *, min(start) OVER (PARTITION BY gene_id) AS gs, max("end") OVER (P
     "fasta_roundtrip": "SELECT 'D' || doc_id AS seq_id, lang AS gene, source AS transcript, length(q)::BIGINT AS length, md5(q) AS seq_md5 FROM (SELECT *, regexp_replace(text, '[^A-Za-z]', '', 'g') AS q FROM documents) WHERE q <> ''",
     "wide_roundtrip": with_views("pred") + " SELECT group_id::VARCHAR AS group_id, spp, gene::VARCHAR AS gene FROM pred",
     "loose_groups": with_views("lines") + " SELECT DISTINCT group_id::VARCHAR AS group_id, gene::VARCHAR AS gene FROM lines",
-    "partition_roundtrip": with_views("lines") + " SELECT DISTINCT gene::VARCHAR AS gene, group_id FROM lines WHERE group_id % 400 = 0",
+    "partition_roundtrip": with_views("lines") + " SELECT DISTINCT gene::VARCHAR AS gene, group_id, spp FROM lines",
     "number_models": f"""WITH h AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, 'c' || (l_suppkey % 7) AS chrom, l_linestatus AS kind, {_DAYS} AS start, {_DAYS} + l_quantity::BIGINT AS "end" FROM lineitem),
 n AS (SELECT *, 'ncRNA-' || kind || '-' || row_number() OVER (PARTITION BY kind ORDER BY chrom, start, "end", line) AS id FROM h)
 SELECT id, feature, kind, chrom, start, "end" FROM n, (VALUES ('gene'), ('transcript'), ('exon')) AS v(feature)""",
     "lift_to_contigs": f"""WITH {_INTERVALS}, x AS (SELECT *, (start - 1) // 200 AS k FROM iv WHERE (start - 1) // 200 = ("end" - 1) // 200 AND (start - 1) // 200 <= 13)
 SELECT chrom, start, "end", strand, gene_id, 'ctg' || k AS contig, CASE WHEN k % 2 = 1 THEN 200 - ("end" - k * 200) + 1 ELSE start - k * 200 END AS new_start,
  CASE WHEN k % 2 = 1 THEN 200 - (start - k * 200) + 1 ELSE "end" - k * 200 END AS new_end, CASE WHEN k % 2 = 1 THEN CASE strand WHEN '+' THEN '-' WHEN '-' THEN '+' ELSE strand END ELSE strand END AS new_strand FROM x""",
-    "window_overlap": f"""WITH {_INTERVALS}, w AS (SELECT l_suppkey AS chrom, {_DAYS} - 5 AS ws, {_DAYS} + 5 AS we, l_orderkey AS anchor FROM lineitem WHERE l_quantity <= 2 AND l_discount >= 0.09)
+    "window_overlap": f"""WITH {_INTERVALS}, w AS (SELECT l_suppkey AS chrom, {_DAYS} - 5 AS ws, {_DAYS} + 5 AS we, l_orderkey AS anchor FROM lineitem)
 SELECT chrom, anchor, count(*) AS n, sum("end" - start)::BIGINT AS bp FROM iv JOIN w USING (chrom) WHERE start <= we AND "end" >= ws GROUP BY ALL""",
-    "te_windows": f"""WITH {_INTERVALS} SELECT t.chrom, count(*) AS n, count(DISTINCT t.gene_id) AS n_te FROM iv t JOIN iv a ON a.chrom = t.chrom AND t.strand = '+' AND a.strand = '-' AND a."end" - a.start >= 50 AND t.start <= a."end" + 10 AND t."end" >= a.start - 10 GROUP BY t.chrom""",
+    "te_windows": f"""WITH {_INTERVALS} SELECT t.chrom, count(*) AS n, count(DISTINCT t.gene_id) AS n_te FROM iv t JOIN iv a ON a.chrom = t.chrom AND t.strand = '+' AND a.strand = '-' AND t.start <= a."end" + 10 AND t."end" >= a.start - 10 GROUP BY t.chrom""",
     "te_ortholog_pairs": f"""WITH a0 AS (SELECT te, arg_min({{'a': anchor, 'f': family}}, anchor) AS x FROM {_TE.format('A')} GROUP BY te), b0 AS (SELECT te, arg_min({{'a': anchor, 'f': family}}, anchor) AS x FROM {_TE.format('R')} GROUP BY te),
 a AS (SELECT te, x.a AS anchor, x.f AS family, row_number() OVER (PARTITION BY x.a, x.f ORDER BY te) AS k, count(*) OVER (PARTITION BY x.a, x.f) AS n FROM a0),
 b AS (SELECT te, x.a AS anchor, x.f AS family, row_number() OVER (PARTITION BY x.a, x.f ORDER BY te) AS k, count(*) OVER (PARTITION BY x.a, x.f) AS n FROM b0)
@@ -600,7 +599,7 @@ i AS (SELECT t.*, CASE WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_
    WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_a AND q.org_a = t.org_a AND q.org_b = t.org_b) THEN 'not linked'
    WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_a AND q.org_a = t.org_a AND q.org_b = t.org_b AND q.gene_b = t.gene_b) THEN 'other gene' END AS issue FROM t)
 SELECT org_a AS org, gene_a AS gene, string_agg(org_b || ' ' || gene_b || ' ' || issue, '; ' ORDER BY org_b || ' ' || gene_b || ' ' || issue) AS issues FROM i WHERE issue IS NOT NULL GROUP BY ALL""",
-    "alg_table": with_views("lines") + """, t AS (SELECT group_id AS c, substr(spp, 7, 1) AS org, gene % 2 AS chrom FROM lines WHERE gene % 3 = 0),
+    "alg_table": with_views("lines") + """, t AS (SELECT group_id AS c, substr(spp, 7, 1) AS org, gene % 2 AS chrom FROM lines),
 k AS (SELECT c, string_agg(DISTINCT org || ':' || chrom, ',' ORDER BY org || ':' || chrom) AS key FROM t GROUP BY c HAVING count(DISTINCT org) = 2),
 n AS (SELECT key, count(*) AS n_clusters FROM k GROUP BY key HAVING count(*) >= 2)
 SELECT key, org, chrom, count(*) AS n_genes, (sum(count(*)) OVER (PARTITION BY key))::BIGINT AS total, n_clusters FROM t JOIN k USING (c) JOIN n USING (key) GROUP BY key, n_clusters, org, chrom""",
@@ -641,8 +640,8 @@ FROM (SELECT *, count(*) OVER (PARTITION BY both_dup) AS c FROM x) WHERE l_partk
     "ohnolog_candidates": with_views("ref") + f", {_OHNO} SELECT * FROM oc",
     "ohnolog_summary": with_views("ref") + f", {_OHNO}, x AS (SELECT coalesce(category, 0)::INT AS category FROM ag LEFT JOIN oc USING (group_id)) SELECT category, count(*) AS n, round(count(*) / (SELECT count(*) FROM x)::DOUBLE * 100, 2) AS percent FROM x GROUP BY category",
     "hits_for_groups": with_views("pred") + " SELECT group_id, count(*) AS n_hits, max(l_extendedprice) AS best, count(DISTINCT l_partkey) AS n_subjects FROM lineitem JOIN pred ON gene = l_orderkey GROUP BY group_id",
-    "group_matrix": with_views("pred") + f""", {_NEXT.format(k=1)}, c AS (SELECT * FROM pred WHERE group_id % 50 = 1),
-h AS (SELECT o_orderkey AS a, unnest([o_orderkey + 1, o_orderkey + 2, o_orderkey * 2]) AS b, o_totalprice AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT gene_a, gene_b, 1.5 FROM nx1 WHERE gene_b IS NOT NULL),
+    "group_matrix": with_views("pred") + f""", {_NEXT.format(k=1)}, c AS (SELECT * FROM pred),
+h AS (SELECT o_orderkey AS a, unnest([o_orderkey + 1, o_orderkey + 2, o_orderkey * 2]) AS b, o_totalprice AS s FROM orders UNION ALL SELECT gene_a, gene_b, 1.5 FROM nx1 WHERE gene_b IS NOT NULL),
 m AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(s) AS s FROM h GROUP BY ALL)
 SELECT x.group_id, x.gene AS gene_a, y.gene AS gene_b, coalesce(s, 0) AS best, true AS same_group FROM c x JOIN c y ON x.group_id = y.group_id AND x.spp <> y.spp AND x.gene < y.gene LEFT JOIN m ON m.a = x.gene AND m.b = y.gene
 UNION ALL SELECT x.group_id, x.gene, y.gene, s, false FROM m JOIN c x ON x.gene = m.a JOIN c y ON y.gene = m.b WHERE x.spp <> y.spp AND x.group_id <> y.group_id""",

@@ -38,10 +38,10 @@ def third(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi(spark: SparkSession, sf: str) -> DataFrame:
-    """A grouping with multi-grouped genes: orders by supplier of their lines."""
-    line = table(spark, sf, "lineitem").where("l_quantity >= 35").select("l_orderkey", "l_suppkey").distinct()
+    """A grouping with multi-grouped genes: orders by supplier of their large lines, and by their small ones."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.expr("if(l_quantity >= 35, l_suppkey % 3, 3)").alias("part")).distinct()
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.expr("o_custkey * 100 + l_suppkey % 3").alias("group_id"), F.col("o_orderpriority").alias("spp"), F.col("o_orderkey").alias("gene")).distinct()
+    return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.expr("o_custkey * 100 + part").alias("group_id"), F.col("o_orderpriority").alias("spp"), F.col("o_orderkey").alias("gene")).distinct()
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ SQL = {
     "pred": "pred AS (SELECT o_custkey AS group_id, o_orderpriority AS spp, o_orderkey AS gene FROM orders WHERE o_orderkey % 11 <> 0)",
     "ref": f"ref AS (SELECT {_REF.format(div='//')} AS group_id, o_orderpriority AS spp, o_orderkey AS gene FROM orders WHERE o_orderkey % 13 <> 0 OR o_custkey % 6 = 0)",
     "third": "third AS (SELECT o_custkey // 3 AS group_id, o_orderpriority AS spp, o_orderkey AS gene FROM orders WHERE o_orderkey % 17 <> 0)",
-    "multi": "multi AS (SELECT DISTINCT o_custkey * 100 + l_suppkey % 3 AS group_id, o_orderpriority AS spp, o_orderkey AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 35)",
+    "multi": "multi AS (SELECT DISTINCT o_custkey * 100 + CASE WHEN l_quantity >= 35 THEN l_suppkey % 3 ELSE 3 END AS group_id, o_orderpriority AS spp, o_orderkey AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "lines": "lines AS (SELECT l_orderkey AS group_id, p_brand AS spp, l_partkey AS gene FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "genes": "genes AS (SELECT o_orderpriority AS spp, o_orderkey AS gene, 'chr' || (o_custkey % 20) AS chrom, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS start FROM orders WHERE o_orderkey % 7 <> 3)",
     "pos": "pos AS (SELECT spp, gene, chrom, start, row_number() OVER (PARTITION BY spp, chrom ORDER BY start, gene) AS idx FROM genes)",
