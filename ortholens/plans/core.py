@@ -94,6 +94,7 @@ QUERIES = {
     "duplicate_counts": lambda s, d: groups.duplicate_counts(_copies(s, d)),
     "missing_members": lambda s, d: groups.missing_in(pred(s, d), ref(s, d)),
     "missing_counts": lambda s, d: groups.missing_counts(ref(s, d), pred(s, d)),
+    "repeated_members": lambda s, d: groups.repeated_members(lines(s, d)),
     "top_repeated": lambda s, d: groups.top_repeated(lines(s, d)),
     "seeded_sample": lambda s, d: groups.seeded_sample(pred(s, d), "gene"),
     "pattern_by_state": lambda s, d: groups.pattern_by_state(_states(s, d), {"1-URGENT": ("F", "O"), "2-HIGH": ("O",), "3-MEDIUM": ("F", "P"), "4-NOT SPECIFIED": ("F", "O", "P"), "5-LOW": ("F", "O")}, ("1-URGENT", "2-HIGH")),
@@ -320,6 +321,7 @@ x AS (SELECT DISTINCT type, unnest(s) AS g FROM dc), y AS (SELECT type, g FROM x
 SELECT type, (SELECT count(*) FROM dc WHERE dc.type = y.type) AS n_groups, count(*) AS n_genes FROM y GROUP BY type""",
     "missing_members": with_views("pred", "ref") + " SELECT DISTINCT spp, gene FROM pred ANTI JOIN ref USING (spp, gene)",
     "missing_counts": with_views("pred", "ref") + " SELECT spp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM pred p WHERE p.spp = r.spp AND p.gene = r.gene)) AS n_missing, count(*) AS n_genes FROM (SELECT DISTINCT spp, gene FROM ref) r GROUP BY spp",
+    "repeated_members": with_views("lines") + " SELECT spp, gene, count(*) AS n_rows FROM lines GROUP BY ALL HAVING count(*) > 1",
     "top_repeated": with_views("lines") + " SELECT spp, gene, count(DISTINCT group_id) AS n_groups FROM lines GROUP BY ALL HAVING count(DISTINCT group_id) > 1 ORDER BY n_groups DESC, spp, gene LIMIT 10",
     "pattern_by_state": """
 WITH c AS (SELECT o_custkey AS group_id, o_orderpriority AS org, min(o_orderstatus) AS state, count(*) AS n FROM orders GROUP BY ALL)

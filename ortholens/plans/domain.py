@@ -336,6 +336,21 @@ def _chroms(s, d, col: str, n: int):
     return _line(s, d).select(F.expr(f"{col} % {n}").alias("chrom")).groupBy("chrom").agg(F.count(F.lit(1)).alias("length")).where("chrom <> 3").withColumn("spp", F.lit(col))
 
 
+def three_genomes(s, d):
+    """Suppliers' chromosomes beside their best parts' ones, and those beside orders' ones."""
+    line = _line(s, d)
+    further = line.select(F.expr("l_partkey % 12").alias("chrom_a"), F.expr("l_orderkey % 9").alias("chrom_b"), _days().alias("start_a"), (_days() + F.col("l_quantity").cast("long")).alias("end_a"), F.col("l_orderkey").alias("start_b"))
+    parts = _chroms(s, d, "l_partkey", 12)
+    return synteny.chain(synteny.chrom_pairs(_anchors(s, d), _chroms(s, d, "l_suppkey", 10), parts), synteny.chrom_pairs(further, parts, _chroms(s, d, "l_orderkey", 9)))
+
+
+def low_certainty(s, d):
+    """Lines as uncertain members: the parts that the map knows are replaced by their gene."""
+    assign = _line(s, d).select(F.col("l_orderkey").alias("group_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein"))
+    known = table(s, d, "part").where("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("isoform"), F.col("p_brand").alias("gene"))
+    return references.apply_low_certainty(assign, known).groupBy("group_id", "gene").agg(F.count(F.lit(1)).alias("n"))
+
+
 def alg_table(s, d):
     t = lines(s, d).select(F.expr("group_id").alias("cluster_id"), F.expr("substring(spp, 7, 1)").alias("org"), F.expr("gene % 2").alias("chrom"))
     return synteny.alg_table(t, 2, 2)
@@ -476,6 +491,8 @@ QUERIES = {
     "anchor_contradictions": anchor_contradictions,
     "tree_vs_pairs": tree_vs_pairs,
     "alg_table": alg_table,
+    "three_genomes": three_genomes,
+    "low_certainty": low_certainty,
     "partner_chrom": lambda s, d: synteny.best_partner_chrom(_anchors(s, d)),
     "orientation": lambda s, d: synteny.orientation(_anchors(s, d)),
     "chrom_pairs": lambda s, d: synteny.chrom_pairs(_anchors(s, d), _chroms(s, d, "l_suppkey", 10), _chroms(s, d, "l_partkey", 12)),
@@ -599,6 +616,11 @@ i AS (SELECT t.*, CASE WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_
    WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_a AND q.org_a = t.org_a AND q.org_b = t.org_b) THEN 'not linked'
    WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.gene_a = t.gene_a AND q.org_a = t.org_a AND q.org_b = t.org_b AND q.gene_b = t.gene_b) THEN 'other gene' END AS issue FROM t)
 SELECT org_a AS org, gene_a AS gene, string_agg(org_b || ' ' || gene_b || ' ' || issue, '; ' ORDER BY org_b || ' ' || gene_b || ' ' || issue) AS issues FROM i WHERE issue IS NOT NULL GROUP BY ALL""",
+    "three_genomes": """WITH x AS (SELECT l_suppkey % 10 AS a, l_partkey % 12 AS b, l_orderkey % 9 AS c, l_quantity::BIGINT AS q FROM lineitem),
+ab AS (SELECT a, b, count(*) AS n FROM x WHERE a <> 3 AND b <> 3 GROUP BY a, b QUALIFY row_number() OVER (PARTITION BY a ORDER BY sum(q) DESC, b) = 1),
+bc AS (SELECT b, c, count(*) AS n FROM x WHERE b <> 3 AND c <> 3 GROUP BY ALL)
+SELECT b AS chrom_b, a AS chrom_a, ab.n AS n_ab, c AS chrom_c, bc.n AS n_bc FROM ab JOIN bc USING (b)""",
+    "low_certainty": "SELECT l_orderkey AS group_id, CASE WHEN p_size > 10 THEN p_brand ELSE 'p' || l_partkey END AS gene, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL",
     "alg_table": with_views("lines") + """, t AS (SELECT group_id AS c, substr(spp, 7, 1) AS org, gene % 2 AS chrom FROM lines),
 k AS (SELECT c, string_agg(DISTINCT org || ':' || chrom, ',' ORDER BY org || ':' || chrom) AS key FROM t GROUP BY c HAVING count(DISTINCT org) = 2),
 n AS (SELECT key, count(*) AS n_clusters FROM k GROUP BY key HAVING count(*) >= 2)

@@ -76,6 +76,26 @@ def annotations_folder(s, d):
     return r.groupBy("spp", "feature", "bad", "gene_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_tables(s, d):
+    """All lines as rows of three pair tables, named by their flags: an order on one side, its part and supplier on the other."""
+    path = shared_path(s, "pairs")
+    line = table(s, d, "lineitem")
+    cells = F.concat_ws("\t", F.format_string("r%d.%d.%d", "l_orderkey", "l_linenumber", "l_partkey"), F.lit("9"), F.format_string("o%d 1.0", "l_orderkey"), F.format_string("p%d 1.0 s%d 0.5", "l_partkey", "l_suppkey"))
+    for flag in "ANR":
+        writers.write_named(line.where(F.col("l_returnflag") == flag).select(cells.alias("value")), path, f"table.o.faa-{flag}.faa")
+    return readers.read_pair_tables(s, path).distinct()
+
+
+def group_dir(s, d):
+    """Parts as genes, one file a manufacturer's brand."""
+    path = shared_path(s, "group-dir")
+    part = table(s, d, "part")
+    for k in range(1, 6):
+        own = part.where(F.col("p_brand").startswith(f"Brand#{k}")).select(F.col("p_partkey").cast("string").alias("value"))
+        writers.write_named(own.coalesce(1), path, f"og{k}.txt")
+    return readers.read_group_dir(s, path, "og")
+
+
 def agp_file(s, d):
     at = {0: "l_suppkey", 1: "l_partkey", 2: "l_partkey + 99", 3: "l_linenumber", 4: "CASE WHEN l_returnflag = 'A' THEN 'N' ELSE 'W' END", 5: "l_orderkey", 6: "1", 7: "100", 8: "CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END"}
     return readers.read_agp(s, _written(s, d, "lineitem", at))
@@ -148,7 +168,7 @@ def report_file(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        groups_long_file, group_table_file, group_lines_file, odb_genes_file, og2genes_file, ogs_file, ref_groups_file, ref_groups_counts, annotations_folder, agp_file, anchor_pairs_file, segdups_file,
+        groups_long_file, group_table_file, group_lines_file, odb_genes_file, og2genes_file, ogs_file, ref_groups_file, ref_groups_counts, annotations_folder, pair_tables, group_dir, agp_file, anchor_pairs_file, segdups_file,
         chromosomes_file, tree_clusters_file, homologs_file, hits_file, rbh_file, id_map_file, list_file, rename_map_file, te_gff_file, duplicates_file, report_file,
     )
 }
@@ -162,6 +182,9 @@ ORACLES = {
   p_type AS uniprot, concat('c', p_size) AS ensembl FROM part""",
     "og2genes_file": "SELECT l_orderkey::VARCHAR AS og_id, l_partkey::VARCHAR AS gene_id FROM lineitem",
     "ogs_file": "SELECT o_orderkey::VARCHAR AS og_id, (o_custkey % 7)::VARCHAR AS level_id, concat('n', o_custkey % 50) AS name FROM orders",
+    "pair_tables": """SELECT DISTINCT 'o' AS spp_a, l_returnflag AS spp_b, 'r' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS row_id, x.spp, x.gene FROM lineitem,
+ LATERAL (SELECT unnest([{'spp': 'o', 'gene': 'o' || l_orderkey}, {'spp': l_returnflag, 'gene': 'p' || l_partkey}, {'spp': l_returnflag, 'gene': 's' || l_suppkey}]) AS x)""",
+    "group_dir": "SELECT substr(p_brand, 7, 1) AS group_id, p_partkey::VARCHAR AS gene FROM part WHERE substr(p_brand, 7, 1) BETWEEN '1' AND '5'",
     "ref_groups_counts": "SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus <> 'F') AS n_skipped FROM orders",
     "annotations_folder": """SELECT CASE WHEN l_returnflag = 'A' THEN 'aaa' ELSE 'bbb' END AS spp, CASE WHEN l_linenumber = 1 THEN 'gene' ELSE 'CDS' END AS feature, l_orderkey % 9 = 0 AS bad,
 CASE WHEN l_orderkey % 9 <> 0 THEN 'g' || l_orderkey END AS gene_id, count(*) AS n FROM lineitem GROUP BY ALL""",
