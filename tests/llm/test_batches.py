@@ -230,6 +230,7 @@ def test_repeated_passages_against_all_pairs(spark, of_table):
     linked = _classes((r["doc_id"], r["mate_doc_id"]) for r in got)
     assert set(linked) == {x for p in near for x in p} == {r["doc_id"] for r in got}
     assert all(linked[a] == linked[b] for a, b in near)
+    assert all(r["class_id"] == min(x for x in linked if linked[x] == linked[r["doc_id"]]) for r in got)
 
 
 def test_repeated_passages_of_odd_rows(spark):
