@@ -11,9 +11,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fields(attributes: Column) -> Column:
-    """Trimmed non-empty fields between semicolons."""
-    return F.filter(F.transform(F.split(attributes, ";"), lambda x: F.trim(x)), lambda x: x != "")
+#: A field begins at the text's start or after a semicolon, blanks left out.
+_FIELD = r"(?:^|;) *"
+#: Key, one blank or =, what values are cleaned of, and a value up to its last character that stays.
+_PAIR = _FIELD + r"([^\s=;]+)[\s=][\s\"'=,]*+([^;]*[^;\s\"'=,])"
+#: The only field that is not blank.
+_LONE = r"^[; ]*+([^;]*[^; ])[; ]*$"
 
 
 def _clean(value: Column) -> Column:
@@ -22,31 +25,23 @@ def _clean(value: Column) -> Column:
 
 def gene_id(attributes: Column) -> Column:
     """The gene of a record: the first gene_id field, else the last ID field, else a lone field as it is; null otherwise."""
-    f = fields(attributes)
-    first = F.get(F.filter(f, lambda x: x.startswith("gene_id")), F.lit(0))
-    last = F.get(F.reverse(F.filter(f, lambda x: x.startswith("ID"))), F.lit(0))
-    lone = F.when(F.size(f) == 1, F.get(f, F.lit(0)))
-    found = F.coalesce(_clean(F.regexp_replace(first, "^gene_id", "")), _clean(F.regexp_replace(last, "^ID", "")), _clean(lone))
-    return F.when(found != "", found)
+    rest = lambda key: F.regexp_extract_all(attributes, F.lit(f"{_FIELD}{key}([^;]*)"), F.lit(1))
+    first, last, lone = F.get(rest("gene_id"), F.lit(0)), F.try_element_at(rest("ID"), F.lit(-1)), F.regexp_extract(attributes, _LONE, 1)
+    return let(F.coalesce(_clean(first), _clean(last), _clean(lone)), lambda found: F.when(found != "", found))
 
 
 def to_map(attributes: Column) -> Column:
     """All attributes as a map; key and value part at the first blank, else the first =; empty values are left out, the last of
     repeated keys wins."""
-    parts = F.transform(
-        fields(attributes),
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^([^\s=]+)[\s=]", 1).alias("k"), _clean(F.regexp_replace(x, r"^[^\s=]+[\s=]", "")).alias("v")
-        ),
-    )
-    full = F.filter(parts, lambda p: (p["k"] != "") & (p["v"] != ""))
+    part = lambda k: F.regexp_extract_all(attributes, F.lit(_PAIR), F.lit(k))
 
-    def last_wins(f: Column) -> Column:
-        keys = F.transform(f, lambda p: p["k"])
-        kept = F.filter(f, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(f)), p["k"]))
-        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(f), f).otherwise(kept))
+    def last_wins(p: Column) -> Column:
+        keys, values = p["k"], p["v"]
+        entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+        kept = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(kept))
 
-    return let(full, last_wins)
+    return let(F.struct(part(1).alias("k"), part(2).alias("v")), last_wins)
 
 
 def isoform_id(attrs: Column) -> Column:
