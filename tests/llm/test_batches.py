@@ -116,6 +116,20 @@ def test_one_bucket_of_unlike_nodes_stays_linear(spark, monkeypatch):
         assert sum(judged) <= n * (1 + near_dedup.LEADS)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_every_pair_of_one_bucket_is_found(spark, monkeypatch, block):
+    """One bucket of 70 unlike texts with 50 near copies among them, no equal samples: neither stars nor leads find the pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(31)
+    texts = [prose(rnd, 150) for _ in range(70)]
+    texts += [edited(rnd, t, 1) for t in texts[:50]]
+    d = docs(spark, texts)
+    rows = [(k, [rnd.randrange(1 << 30) for _ in range(near_dedup.SAMPLES)], [7] + [rnd.randrange(1 << 60) for _ in range(near_dedup.BANDS - 1)]) for k in range(120)]
+    nodes = spark.createDataFrame(rows, "node long, sig array<int>, keys array<bigint>")
+    sent = spark.sparkContext.broadcast(near_dedup.Weights(*near_dedup.frequent_shingles(d)))
+    assert sorted((r["a"], r["b"]) for r in near_dedup.links(nodes, d, sent).collect()) == [(k + 70, k) for k in range(50)]
+
+
 def test_large_groups_of_near_copies(spark):
     """Copies of one text with edits of their own: all that are similar to the text are in one class, whatever the group's size."""
     rnd = random.Random(12)
