@@ -130,6 +130,20 @@ def test_every_pair_of_one_bucket_is_found(spark, monkeypatch, block):
     assert sorted((r["a"], r["b"]) for r in near_dedup.links(nodes, d, sent).collect()) == [(k + 70, k) for k in range(50)]
 
 
+def test_pipeline_drops_every_near_copy_of_one_bucket(spark, monkeypatch):
+    """The pipeline's stage, with signatures that share one bucket and no sample."""
+    real = near_dedup.signatures
+    other = lambda k, salt: F.xxhash64("copy", F.lit(salt + k))
+    sig = F.array(*(F.pmod(other(k, 0), F.lit(1 << 30)).cast("int") for k in range(near_dedup.SAMPLES)))
+    keys = F.array(F.lit(7).cast("long"), *(other(k, 100) for k in range(near_dedup.BANDS - 1)))
+    monkeypatch.setattr(near_dedup, "signatures", lambda *args: real(*args).withColumn("sig", sig).withColumn("keys", keys))
+    rnd = random.Random(32)
+    texts = [prose(rnd, 150) for _ in range(50)]
+    d = docs(spark, texts + [edited(rnd, t, 1) for t in texts[:40]])
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, d, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(50))
+
+
 def test_large_groups_of_near_copies(spark):
     """Copies of one text with edits of their own: all that are similar to the text are in one class, whatever the group's size."""
     rnd = random.Random(12)
