@@ -261,6 +261,23 @@ def test_repeated_passages_against_all_pairs(spark, of_table):
     assert all(r["class_id"] == min(x for x in linked if linked[x] == linked[r["doc_id"]]) for r in got)
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_passages_between_inner_documents_of_groups_are_found(spark, monkeypatch, block):
+    """Texts that hold one common line, which is no passage; in the middle of the group, pairs share a passage around the line."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rnd = random.Random(41)
+    line, texts = prose(rnd, 30), []
+    for k in range(40):
+        texts.append(prose(rnd, 60) + " " + line + " " + prose(rnd, 60))
+    for k in range(10, 20):  # 14 words before and after the line: too little for a passage without it
+        before, after = prose(rnd, 14), prose(rnd, 14)
+        for j in (k, k + 10):
+            texts[j] = prose(rnd, 60) + " " + before + " " + line + " " + after + " " + prose(rnd, 60)
+    got = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert {(max(r["doc_id"], r["mate_doc_id"]), min(r["doc_id"], r["mate_doc_id"])) for r in got} == {(k + 10, k) for k in range(10, 20)}
+    assert all(r["class_id"] == min(r["doc_id"], r["mate_doc_id"]) for r in got)
+
+
 def test_repeated_passages_of_odd_rows(spark):
     rnd = random.Random(8)
     text, other = prose(rnd, 70), prose(rnd, 90)
