@@ -83,12 +83,12 @@ def disclosing(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEX
     The unit is the distinct text, so copies of a document are one witness. A term that shares fewer than min_contexts distinct
     contexts with an entity is not judged.
     """
-    context = F.xxhash64("terms")
-    beside = found.select("text_key", "entity", context.alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
-    seen = beside.groupBy("entity", "term", "text_key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
-    # distinct contexts: copies of a text have equal ones, and a text with several adds at most two here
-    apart = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("low").alias("lows"), F.count_distinct("high").alias("highs"))
-    pairs = apart.where(F.greatest("lows", "highs") >= min_contexts).select("entity", "term", "both")
+    beside = found.select("text_key", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
+    # distinct contexts: copies of a text have equal ones, and each one of a text counts
+    contexts = beside.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    judged = stash(contexts.where(F.col("contexts") >= min_contexts).select("entity", "term"), "pii-judged")
+    texts = beside.join(judged, ["entity", "term"], "left_semi").select("entity", "term", "text_key").distinct()
+    pairs = texts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     per_entity = found.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     # a term's texts are at least those whose contexts hold it; with more than this many it cannot reach the threshold
     n_texts = max(docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).distinct().count(), 1)

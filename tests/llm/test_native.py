@@ -142,6 +142,20 @@ def test_disclosing_terms_are_sanitised(spark):
     assert all("Zarathustra" in r["text"] for r in pii.sanitise(copies).where("doc_id < 6").collect())
 
 
+@pytest.mark.parametrize("per_text", [6, 3, 2])
+def test_all_contexts_of_a_text_count(spark, per_text):
+    """Six mentions in different surroundings, in one text, two or three: as many contexts as in six texts."""
+    rnd = random.Random(9)
+    filler = [f"word{k}" for k in range(400)]
+    say = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    told = [f"{say(12)} Zarathustra writes from zed@example.com about {say(12)}" for _ in range(6)]
+    plain = [f"{say(30)} writes from home about {say(5)}" for _ in range(200)]
+    d = docs(spark, [" ".join(told[k : k + per_text]) for k in range(0, 6, per_text)] + plain)
+    told_of = {(r["entity"], r["term"]) for r in pii.disclosing(d, pii.mentions(d)).collect()}
+    assert ("email:zed@example.com", "zarathustra") in told_of
+    assert all("Zarathustra" not in r["text"] for r in pii.sanitise(d).where(F.col("doc_id") < 6 // per_text).collect())
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     d = docs(spark, ["call +378282246310005 or 1.2.3.4 now", None, ""])
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
