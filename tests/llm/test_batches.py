@@ -278,6 +278,46 @@ def test_passages_between_inner_documents_of_groups_are_found(spark, monkeypatch
     assert all(r["class_id"] == min(r["doc_id"], r["mate_doc_id"]) for r in got)
 
 
+def test_shared_counts_are_exact():
+    rng = np.random.RandomState(3)
+    line = rng.choice(1 << 16, 30, replace=False)
+    sets = [np.unique(np.concatenate((line[: rng.randint(31)], rng.choice(3000, rng.randint(0, 400))))) for _ in range(70)]
+    for left, right in ((sets, sets), (sets[:9], sets[9:]), (sets[:1], sets[1:2])):
+        got = np.array(list(substring_dedup.shared_counts(left, right)))
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    for n in (1, 50, 4000):
+        h = np.unique(shingles.mix(np.arange(n, dtype=np.uint64)))
+        data, same = substring_dedup.packed(h)
+        assert substring_dedup.unpacked(data).tolist() == np.unique(h >> np.uint64(48)).tolist() and len(h) == same + len(substring_dedup.unpacked(data))
+
+
+def test_distinct_counts_against_brute_force():
+    rng = np.random.RandomState(5)
+    for n, kinds in ((46, 3), (200, 1), (300, 40), (300, 10_000)):
+        h = rng.randint(0, kinds, n).astype(np.uint64)
+        assert substring_dedup.distinct_counts(h, 46).tolist() == [len(set(h[k : k + 46].tolist())) for k in range(n - 45)]
+
+
+def test_long_texts_that_share_a_line_are_not_verified(spark, monkeypatch):
+    """One line in long texts, which is no passage; bins of all their shingles would agree by chance. Copies are searched once."""
+    real, judged = substring_dedup.verified, []
+
+    def counted(pairs, *args):
+        judged.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(substring_dedup, "verified", counted)
+    rnd = random.Random(43)
+    line, other = prose(rnd, 20), prose(rnd, 80)
+    texts = [prose(rnd, 500) + " " + line + " " + prose(rnd, 500) for _ in range(30)] + [other + " " + prose(rnd, 30), prose(rnd, 30) + " " + other]
+    got = substring_dedup.repeated_passages(docs(spark, texts + texts)).collect()
+    assert judged[1] <= 20  # of 435 pairs of texts; 1 653 of documents
+    assert {r["doc_id"] for r in got} == set(range(64))
+    assert all(r["class_id"] == (30 if r["doc_id"] % 32 >= 30 else r["doc_id"] % 32) for r in got)
+    whole = {r["doc_id"]: r for r in got if r["doc_id"] >= 32}
+    assert all((r["start"], r["end"], r["mate_doc_id"], r["similarity"]) == (0, len(texts[k - 32].split()), k - 32, 1.0) for k, r in whole.items())
+
+
 def test_repeated_passages_of_odd_rows(spark):
     rnd = random.Random(8)
     text, other = prose(rnd, 70), prose(rnd, 90)
