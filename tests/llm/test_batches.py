@@ -219,6 +219,26 @@ def test_likeness_is_the_jaccard_similarity_of_the_ranges():
             assert pair.likeness(i, j, k, m) == len(x & y) / len(x | y)
 
 
+def test_stretches_without_a_chance_are_not_searched():
+    """Words that are replaced often enough in both texts rule a passage out; no stretch with a passage is."""
+    rnd = np.random.RandomState(9)
+    say = lambda n: rnd.randint(1, 2**62, n).astype(np.uint64)
+    kept = 0
+    for every in (12, 20, 30, 60, 400):
+        for _ in range(10):
+            a = say(300)
+            b = a.copy()
+            b[5::every] = say(len(b[5::every]))
+            h, index = shingles.shingle_hashes(a), substring_dedup.Index(shingles.shingle_hashes(b))
+            own, hit = substring_dedup.Own(h, 46), np.isin(h, index.values)
+            spans, may = substring_dedup.chances(own, index, hit, substring_dedup.stretches(hit, 46), 0.8)
+            found = substring_dedup.passages(own, index)
+            assert all(any(x <= p[0] and p[1] - shingles.WORDS + 1 <= y for x, y in spans) for p in found)
+            assert not (may & ~hit).any() and (every < 400 or found) and (every > 12 or not spans)
+            kept += bool(spans)
+    assert 20 <= kept < 50
+
+
 def _classes(pairs):
     up = {}
 
