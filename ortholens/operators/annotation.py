@@ -66,15 +66,19 @@ def overlapping(points: DataFrame, windows: DataFrame, width: int) -> DataFrame:
 
 
 def merge(*annotations: DataFrame) -> DataFrame:
-    """All records with order: genes by chromosome and place, children beside their gene. Rows carry gene_id and feature."""
+    """All records with order: genes by chromosome and place, children beside their gene. Rows carry gene_id and feature.
+
+    Records of a gene with the same place and source stand exons first, then by feature, whatever order they are read in.
+    """
     all_ = annotations[0]
     for a in annotations[1:]:
         all_ = all_.unionByName(a)
     own = Window.partitionBy("gene_id")
     g = all_.withColumn("g_start", F.min("start").over(own)).withColumn("g_end", F.max("end").over(own))
     kind = F.when(F.col("feature") == "gene", 0).when(F.col("feature") == "transcript", 1).otherwise(2)
-    order = ["g_start", "g_end", "gene_id", "__kind", "start", "end", "source"]
-    return numbered(g.withColumn("__kind", kind), ["chrom"], order, "place").drop("g_start", "g_end", "__kind")
+    order = ["g_start", "g_end", "gene_id", "__kind", "start", "end", "source", "__rest", "feature"]
+    ranked = g.withColumns({"__kind": kind, "__rest": F.col("feature") != "exon"})
+    return numbered(ranked, ["chrom"], order, "place").drop("g_start", "g_end", "__kind", "__rest")
 
 
 def fill_parent(records: DataFrame) -> DataFrame:
