@@ -197,7 +197,8 @@ def top_scores(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
     seeded = stash(seeded.mapInArrow(_met(width, exact, k, top, True), _PACK), "queries")
     slices = max(1, blocks.count())
     sent = named(seeded.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "q")
-    met = sent.join(named(blocks.withColumn("slice", F.pmod(F.xxhash64("nr"), F.lit(slices)).cast("int")), "c").drop("nr"), "slice").drop("slice")
+    # Merged, as Spark takes sent for as small as the queries before they are copied, and would broadcast all copies.
+    met = sent.hint("merge").join(named(blocks.withColumn("slice", F.pmod(F.xxhash64("nr"), F.lit(slices)).cast("int")), "c").drop("nr"), "slice").drop("slice")
     found = met.mapInArrow(_met(width, exact, k, top, False), "rid bigint, query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
